@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import simhash
+from loomstone.llm import decontaminate, simhash
 from loomstone.llm.common import table
 
 
@@ -16,8 +16,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark"))
+    found = found.select(F.col("_row.doc_id").alias("doc_id"), F.col("_n_words").alias("n_words"), decontaminate.n_hit().alias("n_hit"), "_items")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
