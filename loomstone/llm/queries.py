@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, simhash
+from loomstone.llm import decontaminate, sentencepiece_codec, simhash
 from loomstone.llm.common import table
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.xxhash64("_ids").alias("ids_xxhash64"),
+        F.col("_exact").alias("exact"),
+        F.col("_parity").alias("parity"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,6 +42,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
     "op9_decontaminate": op9_decontaminate,
 }
