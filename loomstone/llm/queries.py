@@ -7,10 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, quality, sentencepiece_codec, simhash
+from loomstone.llm import decontaminate, line_dedup, quality, secrets, sentencepiece_codec, sharding, simhash
 from loomstone.llm.common import table
 
 
+#: Bytes of text in a shard: small, so that small tables split too.
+SHARD_BYTES = 1 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sharding.assign(docs, ["doc_id"], F.octet_length(docs["text"]), SHARD_BYTES)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        secrets.digest(F.col("base")).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
@@ -27,6 +54,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.mark(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        F.col("_lines").alias("n_lines"),
+        F.size("_gone").cast("long").alias("n_removed"),
+        F.array_join(F.transform("_gone", lambda x: x.cast("string")), ",").alias("removed"),
+        F.md5("_text").alias("text_md5"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.judge(docs, keep=["doc_id"])
@@ -49,8 +87,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_secrets": op2_secrets,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op5_line_dedup": op5_line_dedup,
     "op7_quality": op7_quality,
     "op9_decontaminate": op9_decontaminate,
 }
