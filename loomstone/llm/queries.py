@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, line_dedup, quality, secrets, sentencepiece_codec, sharding, simhash
+from loomstone.llm import decontaminate, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, simhash
 from loomstone.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.judge(docs, keep=["doc_id"])
@@ -92,8 +97,111 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SHARDING = f"""
+WITH rows AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
+  FROM documents
+),
+low AS (SELECT greatest(0, CAST(ceil(log2(greatest(1, sum(bytes) / {SHARD_BYTES}.0))) AS INT) - 2) AS low FROM rows),
+depths AS (SELECT unnest(range(0, 41)) AS depth),
+buckets AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(bytes) AS shard_bytes
+  FROM rows, depths, low WHERE depth >= low GROUP BY ALL HAVING sum(bytes) <= {SHARD_BYTES}
+),
+fits AS (
+  SELECT doc_id, bytes, h, min(struct_pack(depth := b.depth, shard_bytes := b.shard_bytes)) AS s
+  FROM rows r JOIN buckets b ON b.prefix = r.h >> (60 - b.depth) GROUP BY doc_id, bytes, h
+)
+SELECT doc_id, CAST(bytes AS BIGINT) AS bytes,
+  CASE WHEN s.depth = 0 THEN '' ELSE right(bin(h + (1::BIGINT << 60)), 60)[:s.depth] END AS shard,
+  CAST(s.depth AS INT) AS depth, CAST(s.shard_bytes AS BIGINT) AS shard_bytes
+FROM fits
+"""
+
+
+def _sql_spans(pattern: str, rank: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, owner, repository, {rank} AS rank, m[i] AS match,
+    CAST(list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (
+    SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, owner, repository, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM docs
+    ) WHERE len(m) > 0
+  )"""
+
+
+_RANDOM = f"len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')"
+_SQL_ASSIGN = secrets.ASSIGN.replace("'", "''")
+_SECRETS = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents
+),
+raw AS ({" UNION ALL ".join(_sql_spans(p, k) for k, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.GENERIC)))}),
+found AS (
+  SELECT *, start + length(match) AS stop, ['assign', 'access', 'hex', 'generic'][rank + 1] AS kind,
+    CASE WHEN rank = 0 THEN regexp_extract(match, '{_SQL_ASSIGN}', 2) ELSE match END AS value FROM raw
+),
+good AS (
+  SELECT * FROM found WHERE (rank = 0 AND length(value) >= {secrets.MIN_VALUE}) OR rank IN (1, 2) OR (rank = 3 AND {_RANDOM})
+),
+owners AS (SELECT value, count(DISTINCT owner) AS n_owners FROM good GROUP BY value),
+judged AS (SELECT g.*, n_owners, n_owners <= {secrets.MAX_LIVE} AND {_RANDOM.replace("value", "g.value")} AS live FROM good g JOIN owners o ON g.value = o.value),
+docwise AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (n_owners > {secrets.MAX_LIVE}) AS n_copied
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM documents LEFT JOIN docwise USING (doc_id)
+"""
+
+_LINES = f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents
+),
+long_lines AS (SELECT * FROM lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {line_dedup.MIN_WORDS}),
+boiler AS (
+  SELECT line, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM long_lines GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+),
+gone AS (SELECT l.doc_id, l.pos FROM long_lines l JOIN boiler b ON l.line = b.line AND struct_pack(doc_id := l.doc_id, pos := l.pos) <> b.first)
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+  coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos) FILTER (g.pos IS NOT NULL), '') AS removed,
+  md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '')) AS text_md5
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+"""
+
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_DECONTAMINATE = f"""
+WITH bench AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM benchmark),
+phrases AS (
+  SELECT item, unnest(list_transform(range(1, greatest(2, len(w) - {decontaminate.WINDOW - 2})), lambda i: w[i:i + {decontaminate.WINDOW - 1}])) AS phrase FROM bench WHERE len(w) > 0
+),
+lengths AS (SELECT DISTINCT len(phrase) AS n FROM phrases),
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n),
+windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM places),
+hits AS (SELECT doc_id, item, w.i, w.n FROM windows w JOIN (SELECT DISTINCT item, array_to_string(phrase, ' ') AS phrase FROM phrases) p USING (phrase)),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": _SHARDING,
+    "op2_secrets": _SECRETS,
+    "op5_line_dedup": _LINES,
+    "op9_decontaminate": _DECONTAMINATE,
+}
