@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, simhash
+from loomstone.llm import decontaminate, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, url_filter
 from loomstone.llm.common import table
 
 
@@ -77,6 +77,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), *counts, F.round("distance", 6).alias("distance"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark"))
@@ -91,6 +98,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
@@ -99,7 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_url_filter": op10_url_filter,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
