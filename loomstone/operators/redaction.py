@@ -1,0 +1,103 @@
+"""Detection and redaction of secrets and personal data.
+
+Detection is one explode over a fixed list of patterns, JVM-side: each pattern's matches and the texts between them give the
+places. False-positive rules look at the value and at its line.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Type, kind, confidence and pattern.
+PATTERNS = [
+    ("api_key_aws_access", "secret", 0.95, r"AKIA[0-9A-Z]{16}"),
+    ("api_key_aws_secret", "secret", 0.4, r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])"),
+    ("api_key_github", "secret", 0.98, r"gh[pous]_[a-zA-Z0-9]{36}"),
+    ("api_key_github_fine_grained", "secret", 0.98, r"github_pat_[a-zA-Z0-9]{22}_[a-zA-Z0-9]{59}"),
+    ("api_key_stripe", "secret", 0.98, r"[sr]k_live_[a-zA-Z0-9]{24,}"),
+    ("api_key_sendgrid", "secret", 0.98, r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}"),
+    ("api_key_twilio", "secret", 0.9, r"SK[a-f0-9]{32}"),
+    ("api_key_slack", "secret", 0.98, r"xoxb-[0-9]{10,13}-[0-9]{10,13}-[a-zA-Z0-9]{24}"),
+    ("api_key_openai", "secret", 0.95, r"sk-[a-zA-Z0-9]{20,}"),
+    ("jwt_token", "secret", 0.95, r"eyJ[a-zA-Z0-9_-]*\.eyJ[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]*"),
+    ("private_key", "secret", 0.99, r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    ("bearer_token", "secret", 0.8, r"(?i)Bearer\s+[a-zA-Z0-9_-]{20,}"),
+    ("basic_auth", "secret", 0.85, r"https?://[^:/\s]+:[^@/\s]+@[^\s]+"),
+    ("connection_string", "secret", 0.7, r"(?:mongodb|postgres|mysql|redis|amqp)://[^\s'\"]+"),
+    ("api_key_generic", "secret", 0.6, r"(?i)(?:api[_-]?key|apikey|api[_-]?secret|secret[_-]?key)\s*[=:]\s*[\"']([a-zA-Z0-9_-]{20,})[\"']"),
+    ("ssn", "pii", 0.9, r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("ssn", "pii", 0.5, r"\b\d{9}\b"),
+    ("phone_number", "pii", 0.8, r"\b\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b"),
+    ("email_address", "pii", 0.9, r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
+    ("credit_card", "pii", 0.85, r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b"),
+    ("credit_card", "pii", 0.7, r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"),
+    ("ip_address_v4", "pii", 0.7, r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"),
+    ("ip_address_v6", "pii", 0.85, r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"),
+]
+PLACEHOLDER = r"(?i)example|placeholder|your[_-]|xxxx|changeme|dummy"
+ALLOWED_LINE = r"(?i)allow-secret|pragma:\s*allowlist"
+MASKED = r"\*{3,}|\[REDACTED"
+ENV_ACCESS = r"process\.env|os\.environ|getenv\("
+CODE_DECLARATION = r"^\s*(?:const|let|var|export|def|function)\b"
+THRESHOLD = 0.5
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits a character; 0 for an empty text."""
+    chars = F.array_remove(F.split(text, ""), "")
+    size = F.size(chars)
+    parts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / size)
+    return F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+
+def _matches(docs: DataFrame, key: str, text: str) -> DataFrame:
+    each = [
+        F.struct(
+            F.lit(i).alias("rule"), F.lit(t).alias("type"), F.lit(kind).alias("kind"), F.lit(c).alias("confidence"),
+            F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"),
+            F.when(F.col(text).rlike(p), F.split(text, p, -1)).alias("between"),
+        )
+        for i, (t, kind, c, p) in enumerate(PATTERNS)
+    ]
+    per = docs.select(key, text, F.explode(F.filter(F.array(*each), lambda m: F.size(m["found"]) > 0)).alias("m"))
+    one = per.select(key, text, "m.*", F.posexplode("m.found").alias("i", "value"))
+    before = F.aggregate(F.slice("between", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, x: a + F.length(x))
+    earlier = F.aggregate(F.slice("found", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
+    return one.select(key, text, "rule", "type", "kind", "confidence", "value", (before + earlier).alias("start"))
+
+
+def detect(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, type, kind, value_md5, start, end, confidence and false_positive. Of overlapping detections that start at the same
+    place or within the one before, the more confident stays, then the longer."""
+    m = _matches(docs.select(key, text), key, text).withColumn("end", F.col("start") + F.length("value"))
+    head = F.substring_index(F.substring(text, F.lit(1), F.col("start")), "\n", -1)
+    tail = F.substring_index(F.col(text).substr(F.col("start") + 1, F.length(text)), "\n", 1)
+    line = F.concat(head, tail)
+    wrong = (
+        line.rlike(ALLOWED_LINE) | F.col("value").rlike(MASKED) | F.col("value").rlike(PLACEHOLDER)
+        | (line.rlike(CODE_DECLARATION) & (line.rlike(ENV_ACCESS) | (entropy(F.col("value")) <= 3.5)))
+    )
+    m = m.select(key, "rule", "type", "kind", "value", "start", "end", "confidence", wrong.alias("false_positive"))
+    w = Window.partitionBy(key).orderBy("start", F.desc("end"))
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = m.withColumn("new", (F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("int")).withColumn("cluster", F.sum("new").over(w))
+    best = Window.partitionBy(key, "cluster").orderBy(F.desc("confidence"), F.desc(F.col("end") - F.col("start")), "start", "rule")
+    kept = grouped.withColumn("r", F.row_number().over(best)).filter("r = 1")
+    return kept.select(key, "type", "kind", F.md5("value").alias("value_md5"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "confidence", "false_positive")
+
+
+def redact(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """key, redacted (detections replaced by [REDACTED:TYPE]) and n_redacted, for every row. key must identify a row."""
+    found = detect(docs, key, text).filter(~F.col("false_positive") & (F.col("confidence") >= threshold))
+    spans = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
+
+    def cut(acc, s):
+        piece = F.col(text).substr(acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))
+        mark = F.concat(F.lit("[REDACTED:"), F.upper(s["type"]), F.lit("]"))
+        return F.struct(s["end"].cast("int").alias("at"), F.concat(acc["out"], piece, mark).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate("spans", zero, cut, lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text))))
+    met = docs.select(key, text).join(spans, key, "left")
+    return met.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(whole).alias("redacted"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_redacted"))
