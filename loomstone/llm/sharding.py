@@ -53,7 +53,8 @@ def _settle(leaves: DataFrame, low: int, high: int, limit: int) -> DataFrame:
             total = F.aggregate(F.filter(every, under), F.lit(0).cast("long"), lambda a, x: a + x["bytes"])
             return F.struct(depth.alias("depth"), total.alias("shard_bytes"))
 
-        return F.filter(F.transform(F.sequence(F.lit(low), F.lit(high)), at), lambda s: s["shard_bytes"] <= limit)[0]
+        fitting = F.filter(F.transform(F.sequence(F.lit(low), F.lit(high)), at), lambda s: s["shard_bytes"] <= limit)
+        return F.get(fitting, F.lit(0))
 
     settled = F.transform("all", lambda x: F.struct(x["leaf"].alias("leaf"), x["bytes"].alias("bytes"), x["n"].alias("n"), x["alike"].alias("alike"), sized(x, F.col("all")).alias("s")))
     out = by_bucket.select(F.inline(settled))
