@@ -48,6 +48,6 @@ def normalize_tags(tags: Column) -> Column:
 
 def normalize_keywords(keywords: Column) -> Column:
     """Trimmed keywords of over two characters; of spellings that differ in case the first stays."""
-    kept = F.filter(F.transform(keywords, F.trim), lambda k: F.length(k) > 2)
+    kept = F.filter(F.transform(keywords, lambda k: F.trim(k)), lambda k: F.length(k) > 2)
     lower = F.transform(kept, F.lower)
     return F.filter(kept, lambda k, i: F.array_position(lower, F.lower(k)) == i + 1)

@@ -48,7 +48,7 @@ def read_chatgpt_export(spark: SparkSession, path: str) -> DataFrame:
     """conversations.json whose mapping is a message tree: user and assistant messages by their time."""
     schema = t.StructType.fromDDL("id string, title string, mapping map<string, struct<message: struct<id: string, author: struct<role: string>, create_time: double, content: struct<parts: array<string>>>>>")
     rows = spark.read.schema(schema).json(path, multiLine=True).select("id", "title", F.explode(F.map_values("mapping")).alias("n"))
-    m = rows.select("id", "title", "n.message.*").withColumn("content", F.array_join("content.parts", "\n"))
+    m = rows.select("id", "title", F.col("n.message.author").alias("author"), F.col("n.message.create_time").alias("create_time"), F.array_join("n.message.content.parts", "\n").alias("content"))
     kept = m.filter(F.col("author.role").isin("user", "assistant") & (F.trim("content") != ""))
     w = Window.partitionBy("id").orderBy("create_time", "content")
     return kept.select(F.col("id").alias("thread_id"), "title", (F.row_number().over(w) - 1).alias("turn_index"), F.col("author.role").alias("role"), "content")

@@ -1,0 +1,277 @@
+"""The library's operators on small tables with values worked out by hand, and its queries against their SQL."""
+
+from __future__ import annotations
+
+from datetime import datetime
+from pathlib import Path
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import loomstone.queries  # noqa: F401
+from loomstone import registry
+from loomstone.functions import taxonomy
+from loomstone.functions import text as T
+from loomstone.operators import changes, chunking, export, graph, redaction, search
+from loomstone.operators.spelling import osa_distance
+from loomstone.plans import filters
+from loomstone.queries.search import correct
+from loomstone.sources import chats, files
+from loomstone.streaming import quotas
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
+    return row.select(column.alias("x")).first()["x"]
+
+
+# filters
+
+
+@pytest.fixture(scope="module")
+def letters(spark):
+    return spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate([("a", 1), ("b", None), ("AB", 3), (None, 4), ("a_b%", 5), ("x\\y", 6)])], "id int, n string, c int")
+
+
+@pytest.mark.parametrize(
+    ("tree", "ids"),
+    [
+        ({"field": "c", "operator": "=", "value": 1}, {0}),
+        ({"field": "c", "operator": "!=", "value": 1}, {2, 3, 4, 5}),
+        ({"field": "c", "operator": "=", "value": 1, "negate": True}, {2, 3, 4, 5}),
+        ({"field": "n", "operator": "CONTAINS", "value": "A"}, {0, 2, 4}),
+        ({"field": "n", "operator": "CONTAINS", "value": "a_b"}, {4}),
+        ({"field": "n", "operator": "CONTAINS", "value": "x\\y"}, {5}),
+        ({"field": "n", "operator": "REGEX", "value": "^[ab]$"}, {0, 1}),
+        ({"field": "c", "operator": "IN", "value": [1, 3]}, {0, 2}),
+        ({"field": "c", "operator": "IN", "value": []}, {0, 1, 2, 3, 4, 5}),
+        ({"field": "c", "operator": "IN", "value": [], "negate": True}, {0, 1, 2, 3, 4, 5}),
+        ({"field": "c", "operator": "BETWEEN", "value": [3, 5]}, {2, 3, 4}),
+        ({"field": "c", "operator": "BETWEEN", "value": [3]}, {0, 1, 2, 3, 4, 5}),
+        ([{"field": "c", "operator": ">", "value": 1}, {"field": "c", "operator": "<", "value": 5}], {2, 3}),
+        ({"operator": "OR", "filters": [{"field": "c", "operator": "=", "value": 1}, {"operator": "AND", "filters": []}]}, {0}),
+        ({"operator": "OR", "negate": True, "filters": [{"field": "c", "operator": "<=", "value": 3}, {"field": "n", "operator": "=", "value": "x\\y"}]}, {4}),
+    ],
+)
+def test_filter_trees(letters, tree, ids):
+    assert {r["id"] for r in filters.apply_filter(letters, tree).collect()} == ids
+
+
+def test_filter_validation_and_pages(letters):
+    assert filters.validate([{"field": "n", "operator": "="}, {"operator": "XOR", "filters": []}, {"field": "1;drop", "operator": "~"}], ["n"]) == ["group operator 'XOR'", "field '1;drop'", "operator '~'"]
+    assert [r["id"] for r in filters.page(letters, [F.desc("id")], 2, 2).collect()] == [3, 2]
+    for bad in ((0, 10), (1, 101), (100, 100)):
+        with pytest.raises(ValueError, match="page"):
+            filters.page(letters, ["id"], *bad)
+
+
+def test_relative_dates():
+    now = datetime(2024, 3, 31)
+    assert filters.parse_relative_date("last 2 weeks", now) == (datetime(2024, 3, 17), now)
+    assert filters.parse_relative_date("last 1 month", now) == (datetime(2024, 3, 2), now)
+    assert filters.parse_relative_date("2024-01-01 to 2024-02-01", now) == (datetime(2024, 1, 1), datetime(2024, 2, 1))
+    assert filters.parse_relative_date("soon", now) is None
+
+
+# expressions
+
+
+def test_taxonomy(spark):
+    assert [one(spark, taxonomy.normalize_category(F.lit(c))) for c in ("Technical", "best practice", "", "nonsense", " data ")] == ["programming", "programming", "general", "general", "data"]
+    assert one(spark, taxonomy.normalize_tags(F.array(*[F.lit(t) for t in (" C++ Lang ", "c-lang", "!!", "a/b", "a/b", "-x-")]))) == ["c-lang", "a/b", "x"]
+    assert one(spark, taxonomy.normalize_keywords(F.array(*[F.lit(t) for t in ("React", "react", "ab", " Hooks ")]))) == ["React", "Hooks"]
+
+
+@pytest.mark.parametrize(
+    ("role", "text", "kind"),
+    [("user", "How so", "question"), ("user", "is it?", "question"), ("assistant", "is it?", "insight"), ("assistant", "a function", "code"), ("user", "I recommend", "decision"), ("user", "see docs", "reference"), ("user", "", "insight")],
+)
+def test_types(spark, role, text, kind):
+    assert one(spark, T.infer_type(F.lit(role), F.lit(text))) == kind
+
+
+def test_text_rules(spark):
+    assert one(spark, T.auto_tag(F.lit("Fix the Python auth API"), F.lit("code"))) == ["code", "python", "api", "auth", "security", "bugfix"]
+    assert one(spark, T.categorize(F.lit("build it"))) == "design"
+    assert one(spark, T.title_of(F.lit("\n  \n" + "x" * 90))) == "x" * 77 + "..." and one(spark, T.title_of(F.lit(" "))) == "Untitled"
+    assert one(spark, T.snippet(F.lit("a  b\nNeedle c"), "needle")) == "a b Needle c"
+    long = "x" * 200 + " needle " + "y" * 200
+    assert one(spark, T.snippet(F.lit(long), "needle")) == "..." + long[111:297] + "..."
+    assert one(spark, T.clean_html(F.lit("<nav>n</nav><h2 a='b'>T</h2><ul><li>i</li></ul><script>s</script>"))) == " \n## T\n\n\n- i\n\n "
+    code = one(spark, T.code_blocks(F.lit("a ```py\nx = 1\n``` b ```\ny\n```")))
+    assert [(c["language"], c["code"]) for c in code] == [("py", "x = 1\n"), ("", "y\n")]
+    assert one(spark, T.markdown_images(F.lit("![alt](u) ![](v)")))[1]["src"] == "v" and one(spark, T.html_images(F.lit("<img a src='q.png'>"))) == ["q.png"]
+    assert one(spark, T.similarity(F.lit(" Kitten"), F.lit("sitting"))) == pytest.approx(4 / 7) and one(spark, T.similarity(F.lit(""), F.lit("a"))) == 0
+    assert one(spark, T.title_from_path(F.lit("/a/my_file-name.md"))) == "my file name"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("abc", max_size=6), st.text("abc", max_size=6))
+def test_osa_distance_is_a_bounded_symmetric_distance(a, b):
+    d = osa_distance(a, b)
+    assert d == osa_distance(b, a) and abs(len(a) - len(b)) <= d <= max(len(a), len(b)) and (d == 0) == (a == b)
+
+
+def test_spelling(spark):
+    assert osa_distance("teh", "the") == 1 and osa_distance("abcdef", "badcfe") == 3
+    words = spark.createDataFrame([("teh",), ("the",), ("zzzzzz",)], "word string")
+    dictionary = spark.createDataFrame([("the", 100), ("ten", 1), ("zebra", 5)], "term string, frequency long")
+    got = {r["word"]: (r["term"], r["distance"]) for r in correct(words, dictionary).collect()}
+    assert got == {"teh": ("the", 1), "the": ("the", 0)}
+
+
+# search
+
+
+def test_bm25_and_fusion(spark):
+    docs = spark.createDataFrame([(1, "red fish red"), (2, "red"), (3, "blue fish"), (4, None)], "id int, t string")
+    got = {r["id"]: r["score"] for r in search.bm25(docs.filter("t is not null"), "id", "t", ["red"]).collect()}
+    idf, mean = __import__("math").log(1 + 1.5 / 2.5), 2.0
+    assert got == {1: pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean))), 2: pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 / mean)))}
+    a = spark.createDataFrame([(1, 2.0), (2, 1.0)], "id int, score double")
+    b = spark.createDataFrame([(2, 9.0), (3, 1.0)], "id int, score double")
+    fused = {r["id"]: r["score"] for r in search.reciprocal_rank_fusion(a, b, "id", (0.6, 0.4)).collect()}
+    assert fused == {1: pytest.approx(0.6 / 61), 2: pytest.approx(0.6 / 62 + 0.4 / 61), 3: pytest.approx(0.4 / 62)}
+    assert search.visual_intent("how to build") and not search.visual_intent("plain")
+
+
+# graph
+
+
+def test_graph_steps(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "c"), ("d", "a")]
+    edges = spark.createDataFrame([(s, d, "related", 0.5) for s, d in rows], "src string, dst string, relationship_type string, confidence double")
+    start = spark.createDataFrame([("a",)], "node string")
+    assert {(r["node"], r["hop"]) for r in graph.neighborhood(edges, start, 2).collect()} == {("a", 0), ("b", 1), ("e", 1), ("c", 2)}
+    assert [r["node"] for r in graph.shortest_path(edges, "a", "d").orderBy("position").collect()] == ["a", "b", "c", "d"]
+    assert graph.shortest_path(edges, "a", "nowhere").collect() == [] and [r["node"] for r in graph.shortest_path(edges, "a", "a").collect()] == ["a"]
+    layers = {(r["layer"], r["src"], r["dst"], r["back"]) for r in graph.branches(edges, start, 4).collect()}
+    assert layers == {(1, "a", "b", False), (1, "a", "e", False), (2, "b", "c", False), (2, "e", "c", False), (3, "c", "d", False), (4, "d", "a", True)}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.sets(st.sampled_from("abcdef"), max_size=5), min_size=2, max_size=8))
+def test_keyword_pairs_lose_no_pair(spark, sets):
+    units = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id int, k array<string>")
+    got = {(r["a"], r["b"]) for r in graph.keyword_pairs(units, "id", "k", 0.5).collect()}
+    assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a | b and len(a & b) / len(a | b) >= 0.5}
+
+
+# changes, text rows, sources, sinks, streams
+
+
+def test_change_capture(spark):
+    old = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, hash string")
+    new = spark.createDataFrame([(1, "x"), (2, "q"), (4, "w")], "id int, hash string")
+    for full, gone in ((True, "delete"), (False, "keep")):
+        got = {r["id"]: r["action"] for r in changes.capture_changes(old, new, ["id"], "hash", full).collect()}
+        assert got == {1: "skip", 2: "update", 3: gone, 4: "insert"}
+    assert {(r["id"], r["hash"]) for r in changes.upsert(old, new, ["id"]).collect()} == {(1, "x"), (2, "q"), (3, "z"), (4, "w")}
+    assert changes.delete_by_key(old, new, ["id"]).count() == 1
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.co and 10.0.0.1"), (2, "key AKIA" + "A1B2C3D4E5F6G7H8" + " end"), (3, None), (4, "key AKIA" + "EXAMPLEEXAMPLE12"), (5, "nothing")]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    got = {r["id"]: r["redacted"] for r in redaction.redact(docs, "id", "t").collect()}
+    assert got[1] == "mail [REDACTED:EMAIL_ADDRESS] and [REDACTED:IP_ADDRESS_V4]" and got[2] == "key [REDACTED:API_KEY_AWS_ACCESS] end"
+    assert got[3] is None and got[4] == rows[3][1] and got[5] == "nothing"
+    assert one(spark, redaction.entropy(F.lit("aabb"))) == pytest.approx(1.0)
+
+
+def test_sections_and_chunks():
+    text = "# A\n\n" + "p" * 60 + "\n\n- x\n- y\n\n## B\n> q\n\n```py\ncode\n```\n| a | b |"
+    got = [(k, level, parent) for k, level, _, _, parent, _ in chunking._with_parents(chunking.section_rows(text))]
+    assert got == [("heading", 0, None), ("paragraph", 1, 0), ("list", 1, 0), ("heading", 1, 0), ("blockquote", 2, 7), ("code", 2, 7), ("table", 2, 7)]
+    assert chunking.semantic_pieces("a" * 900 + "\n" + "b" * 900 + "\n" + "c" * 10) == ["a" * 900, "b" * 900 + "\n" + "c" * 10]
+    assert chunking.mock_vector("a", 2) == chunking.mock_vector("a", 2) != chunking.mock_vector("b", 2)
+
+
+def test_transcripts_and_exports(spark, tmp_path):
+    assert chats.transcript_turns("intro\nUser: hi\nthere\n## Assistant\nok\nSystem:\n") == [("user", "hi\nthere"), ("assistant", "ok")]
+    (tmp_path / "claude.json").write_text('[{"uuid": "u", "name": "n", "chat_messages": [{"sender": "human", "text": "q"}, {"sender": "assistant", "text": "a"}]}]')
+    assert [(r["role"], r["content"]) for r in chats.read_claude_export(spark, str(tmp_path / "claude.json")).orderBy("turn_index").collect()] == [("user", "q"), ("assistant", "a")]
+    node = '{"message": {"id": "%s", "author": {"role": "%s"}, "create_time": %d, "content": {"parts": ["%s"]}}}'
+    tree = ",".join(f'"{i}": ' + node % (i, r, t, c) for i, (r, t, c) in enumerate([("assistant", 2, "a"), ("user", 1, "q"), ("system", 0, "s")]))
+    (tmp_path / "gpt.json").write_text('[{"id": "1", "title": "t", "mapping": {%s}}]' % tree)
+    assert [r["content"] for r in chats.read_chatgpt_export(spark, str(tmp_path / "gpt.json")).orderBy("turn_index").collect()] == ["q", "a"]
+    (tmp_path / "copilot.json").write_text('{"id": "1", "title": "t", "exchanges": [{"prompt": "p", "response": "r"}]}')
+    assert [(r["turn_index"], r["role"]) for r in chats.read_messages_export(spark, str(tmp_path / "copilot.json")).collect()] == [(0, "user"), (1, "assistant")]
+    (tmp_path / "marks.json").write_text('{"roots": {"bar": {"name": "bar", "children": [{"name": "x", "url": "http://x", "date_added": "13300000000000000"}]}}}')
+    assert [(r["name"], r["added"].year) for r in chats.read_bookmarks(spark, str(tmp_path / "marks.json"), depth=3).collect()] == [("x", 2022)]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "my-note.md").write_text("hello")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "bin.txt").write_bytes(b"a\0b")
+    (tmp_path / "pic.png").write_text("x")
+    got = files.scan_federated(spark, str(tmp_path), "s").collect()
+    assert [(r["title"], r["content"]) for r in got] == [("my note", "hello")]
+    assert files.read_local_files(spark, str(tmp_path), "*.md").first()["format"] == "markdown"
+
+
+def test_exports(spark, tmp_path):
+    units = spark.createDataFrame([("1", 'a "b"', "insight", "general", ["x", "y"], "c & d", 1704067200)], "id string, title string, type string, category string, tags array<string>, content string, created long")
+    assert units.select(export.csv_line([F.col("id"), F.col("title")]).alias("x")).first()["x"] == '1,"a ""b"""'
+    assert "c &amp; d" in units.select(export.html_unit().alias("x")).first()["x"]
+    for kind in ("csv", "ndjson", "parquet", "md"):
+        export.write_export(units, str(tmp_path / kind), kind)
+    assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').first()["title"] == 'a "b"'
+    assert (tmp_path / "md" / "year_month=2024-01").is_dir() and export.dispatch("rss")[1] == "xml"
+
+
+def test_streams(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "1.json").write_text('{"id": 1, "t": 1, "v": "a"}\n{"id": 1, "t": 2, "v": "b"}\n{"id": 2, "t": 1, "v": "c"}')
+    for n, name in enumerate(("1.json", "2.json")):
+        if n:
+            (source / name).write_text('{"id": 2, "t": 5, "v": "d"}')
+        stream = quotas.watch_files(spark, str(source), "id int, t int, v string")
+        quotas.upsert_stream(stream, "id", "t", str(target), str(tmp_path / "ck")).awaitTermination()
+    assert {(r["id"], r["v"]) for r in spark.read.parquet(str(target / "v1")).collect()} == {(1, "b"), (2, "d")}
+    assert quotas.bucket_rows([0, 0, 0, 1], rate=1, burst=2) == [True, True, False, True]
+
+
+def test_anchored_quota_stream(spark, tmp_path):
+    (tmp_path / "e.json").write_text("\n".join('{"u": "a", "ts": "2024-01-01T00:00:%02dZ"}' % s for s in (5, 10, 20, 40, 50)))
+    stream = spark.readStream.schema("u string, ts timestamp").json(str(tmp_path))
+    out = quotas.anchored_quota(stream, "u", "ts", 30, 2).writeStream.format("memory").queryName("quota").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert [r["allowed"] for r in spark.sql("select allowed from quota order by ts").collect()] == [True, True, False, True, True]
+
+
+# queries against their SQL
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return None if value != value else f"{value:.9g}"
+    return value
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from '{p}'")
+    return c
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["flt_group", "agg_facets_all", "agg_chunk_formats", "join_cooccur", "win_token_windows", "txt_keywords", "hybrid_rrf", "suggest_multi", "dup_find", "gr_detect", "sink_fed_upsert", "agg_wordcloud"])
+def test_query_matches_its_sql(spark, duck, name):
+    frame = registry.QUERIES[name](spark, str(DATA))
+    columns = sorted(frame.columns)
+    found = duck.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    want = sorted(repr([_plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
+    got = sorted(repr([_plain(r[c]) for c in columns]) for r in frame.collect())
+    assert got == want
