@@ -116,35 +116,48 @@ def vectors(counted: DataFrame) -> DataFrame:
     )
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, means and covariances of the rows by group."""
-    sums = [F.count("*").cast("double").alias("n")]
-    sums += [F.avg(x).alias(f"m_{i}") for i, x in enumerate(_X)]
-    sums += [F.covar_pop(_X[i], _X[j]).alias(f"c_{i}_{j}") for i in range(len(_X)) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(*sums)
+def _moments(near: Column | None, tag: str) -> list[Column]:
+    """Count, means and covariances of the rows where `near` holds, as aggregates named by tag."""
+    x = {name: F.col(name) if near is None else F.when(near, F.col(name)) for name in _X}
+    sums = [F.count(x[_X[0]]).cast("double").alias(f"{tag}_n")]
+    sums += [F.avg(x[name]).alias(f"{tag}_m_{i}") for i, name in enumerate(_X)]
+    return sums + [F.covar_pop(x[_X[i]], x[_X[j]]).alias(f"{tag}_c_{i}_{j}") for i in range(len(_X)) for j in range(i + 1)]
 
 
-def _inverse(moments: DataFrame, factor: float) -> DataFrame:
-    """Adds the inverse Cholesky factor w_i_j of factor * covariance + floors, and log_det, its log determinant."""
+def _inverse(moments: DataFrame, tag: str, factor: float) -> DataFrame:
+    """Adds the inverse Cholesky factor w_i_j of factor * covariance + floors, and log_det, its log determinant, named by tag."""
     p, out = len(_X), moments
+
+    def at(letter: str, i: int, j: int) -> Column:
+        return F.col(f"{tag}_{letter}_{i}_{j}")
+
     for i in range(p):
         for j in range(i + 1):
-            part = F.col(f"c_{i}_{j}") * factor + (F.lit(FLOORS[_X[i]] ** 2) if i == j else F.lit(0.0))
+            part = at("c", i, j) * factor + (F.lit(FLOORS[_X[i]] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
-                part = part - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(part) if i == j else part / F.col(f"l_{j}_{j}"))
+                part = part - at("l", i, k) * at("l", j, k)
+            out = out.withColumn(f"{tag}_l_{i}_{j}", F.sqrt(part) if i == j else part / at("l", j, j))
     for j in range(p):
-        out = out.withColumn(f"w_{j}_{j}", 1 / F.col(f"l_{j}_{j}"))
+        out = out.withColumn(f"{tag}_w_{j}_{j}", 1 / at("l", j, j))
         for i in range(j + 1, p):
-            total = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)])
-            out = out.withColumn(f"w_{i}_{j}", -total / F.col(f"l_{i}_{i}"))
-    log_det = reduce(lambda a, b: a + b, [2 * F.ln(f"l_{i}_{i}") for i in range(p)])
-    return out.withColumn("log_det", log_det)
+            total = reduce(lambda a, b: a + b, [at("l", i, k) * at("w", k, j) for k in range(j, i)])
+            out = out.withColumn(f"{tag}_w_{i}_{j}", -total / at("l", i, i))
+    log_det = reduce(lambda a, b: a + b, [2 * F.ln(at("l", i, i)) for i in range(p)])
+    return out.withColumn(f"{tag}_log_det", log_det)
+
 
+def _estimates(tag: str) -> list[str]:
+    """Names of the columns that a distance needs."""
+    p = len(_X)
+    return [f"{tag}_m_{i}" for i in range(p)] + [f"{tag}_w_{i}_{j}" for i in range(p) for j in range(i + 1)]
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance from the columns m_i and w_i_j."""
-    z = [reduce(lambda a, b: a + b, [F.col(f"w_{i}_{j}") * (F.col(_X[j]) - F.col(f"m_{j}")) for j in range(i + 1)]) for i in range(len(_X))]
+
+def _distance(tag: str) -> Column:
+    """Squared Mahalanobis distance from the estimates named by tag."""
+    z = [
+        reduce(lambda a, b: a + b, [F.col(f"{tag}_w_{i}_{j}") * (F.col(_X[j]) - F.col(f"{tag}_m_{j}")) for j in range(i + 1)])
+        for i in range(len(_X))
+    ]
     return reduce(lambda a, b: a + b, [x * x for x in z])
 
 
@@ -165,43 +178,46 @@ def _consistency(share: float, p: int) -> float:
     return share / below(lo, p + 2)
 
 
-def robust_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Minimum-covariance-determinant estimates (m_i, w_i_j, n) by group over the columns of FLOORS.
+_STARTS = ["a", "b"]
 
-    Groups with fewer than MIN_GROUP rows are left out.
+
+def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
+    """Minimum-covariance-determinant estimates (e_m_i, e_w_i_j) by `group` over the columns of FLOORS.
+
+    Groups with fewer than MIN_GROUP rows are left out. Both starts take their steps in the same passes: a pass for the
+    limits of the distances and one for the moments of the rows within them.
     """
-    rows = rows.select(*keys, *_X)
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys])
+    rows = rows.select(group, *_X)
+    p = range(len(_X))
 
-    def with_estimates(estimates: DataFrame) -> DataFrame:
-        return rows.join(estimates.withColumnsRenamed({k: f"g_{k}" for k in keys}), same)
+    def met(estimates: DataFrame) -> DataFrame:
+        return rows.join(estimates, group)
 
-    middle = rows.groupBy(*keys).agg(F.count("*").alias("size"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(_X)])
+    middle = rows.groupBy(group).agg(
+        F.count("*").alias("size"), *[F.percentile_approx(x, 0.5, 1000).alias(f"a_m_{i}") for i, x in enumerate(_X)], *_moments(None, "b")
+    )
     middle = staged(middle.filter(F.col("size") >= MIN_GROUP), "quality-medians")
-    spread = with_estimates(middle).groupBy(*keys).agg(
-        *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(_X))],
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(_X)],
+    spread = met(middle).groupBy(group).agg(
+        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"a_m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(_X)]
     )
     zero = F.lit(0.0)
-    scales = {f"c_{i}_{j}": F.pow(F.col(f"s_{i}") * 1.4826, 2) if i == j else zero for i in range(len(_X)) for j in range(i + 1)}
+    scales = {f"a_c_{i}_{j}": F.pow(F.col(f"s_{i}") * 1.4826, 2) if i == j else zero for i in p for j in range(i + 1)}
+    now = middle.join(spread, group).withColumns(scales)
+    for tag in _STARTS:
+        now = _inverse(now, tag, 1.0)
+    names = [c for tag in _STARTS for c in _estimates(tag)]
+    now = staged(now.select(group, *names), "quality-start")
     factor = _consistency(SUBSET, len(_X))
-    starts = [
-        staged(_inverse(spread.withColumns(scales), 1.0), "quality-start"),
-        staged(_inverse(_moments(rows, keys).filter(F.col("n") >= MIN_GROUP), 1.0), "quality-start"),
-    ]
-    ends = []
-    for number, now in enumerate(starts):
-        for _ in range(STEPS):
-            far = with_estimates(now).withColumn("d", _distance())
-            limit = staged(far.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 1000).alias("limit")), "quality-limits")
-            near = with_estimates(now.join(limit.withColumnsRenamed({k: f"g_{k}" for k in keys}), same).select(*[now[c] for c in now.columns], "limit"))
-            near = near.filter(_distance() <= F.col("limit"))
-            now = staged(_inverse(_moments(near, keys), factor), "quality-step")
-        ends.append(now.withColumn("start", F.lit(number)))
-    both = ends[0].unionByName(ends[1])
-    best = both.groupBy(*keys).agg(F.min_by(F.struct(*both.columns), F.struct("log_det", "start")).alias("best"))
-    names = [c for c in both.columns if c[0] in "mw" and c[1] == "_"]
-    return staged(best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in names]), "quality-estimates")
+    for _ in range(STEPS):
+        limits = met(now).groupBy(group).agg(*[F.percentile_approx(_distance(t), SUBSET, 1000).alias(f"{t}_limit") for t in _STARTS])
+        limited = staged(now.join(limits, group), "quality-limits")
+        moments = met(limited).groupBy(group).agg(*[m for t in _STARTS for m in _moments(_distance(t) <= F.col(f"{t}_limit"), t)])
+        for tag in _STARTS:
+            moments = _inverse(moments, tag, factor)
+        now = staged(moments.select(group, *names, *[f"{t}_log_det" for t in _STARTS]), "quality-step")
+    first = F.col("a_log_det") <= F.col("b_log_det")
+    best = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(a.replace("a_", "e_", 1)) for a, b in zip(*map(_estimates, _STARTS), strict=True)]
+    return staged(now.select(group, *best), "quality-estimates")
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -215,15 +231,15 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    clean = rows.filter(~F.col("base_failed"))
-    by_source = robust_estimates(clean, ["_lang", "_source"])
-    by_lang = robust_estimates(clean, ["_lang"])
-    numbers = [c for c in by_lang.columns if c != "_lang"]
-    one = by_source.select(F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"), F.struct(*numbers).alias("e1"))
-    two = by_lang.select(F.col("_lang").alias("h_lang"), F.struct(*numbers).alias("e2"))
-    met = rows.join(one, F.col("_lang").eqNullSafe(F.col("g_lang")) & F.col("_source").eqNullSafe(F.col("g_source")), "left")
-    met = met.join(two, F.col("_lang").eqNullSafe(F.col("h_lang")), "left").withColumn("e", F.coalesce("e1", "e2"))
-    met = met.select(*rows.columns, "e.*").withColumn("distance", _distance())
+    # JSON of a struct leaves nulls out, so a null language or source is a group of its own.
+    own, wide = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang", F.lit("*").alias("any")))
+    clean = rows.filter(~F.col("base_failed")).select(F.explode(F.array(own, wide)).alias("group"), *_X)
+    found = robust_estimates(staged(clean, "quality-vectors"), "group")
+    numbers = _estimates("e")
+    one = found.select(F.col("group").alias("g1"), F.struct(*numbers).alias("e1"))
+    two = found.select(F.col("group").alias("g2"), F.struct(*numbers).alias("e2"))
+    met = rows.join(one, own == F.col("g1"), "left").join(two, wide == F.col("g2"), "left")
+    met = met.select(*rows.columns, F.coalesce("e1", "e2").alias("e")).select(*rows.columns, "e.*").withColumn("distance", _distance("e"))
     met = met.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF)))
     return met.drop(*numbers)
 
