@@ -44,8 +44,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     band = max(1.0, ERRORS * 1.04 / 2 ** (LOG_REGISTERS / 2) * min_sites)
     spread = staged(spread.filter(F.col("sites") >= min_sites - band), "lines-spread")
     near = spread.filter(F.col("sites") <= min_sites + band)
-    pairs = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
-    exact = pairs.groupBy("h1", "h2").agg(F.count("site").alias("exact")).filter(F.col("exact") >= min_sites)
+    # Lines are brought down to distinct (line, site) pairs, in their tasks first, before they meet the near ones.
+    pairs = lines.filter(F.col("site").isNotNull()).select("h1", "h2", "site").distinct()
+    exact = pairs.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    exact = exact.filter(F.col("exact") >= min_sites)
     sure = spread.filter(F.col("sites") > min_sites + band).select("h1", "h2", "first")
     return sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "first"))
 
