@@ -20,6 +20,9 @@ UNIT_FIELDS = [
     "embedding_status",
 ]
 FIELD_ALIASES = {"conversationId": "conversation_id"}
+ARRAY_FIELDS = ("tags", "keywords")
+#: Operators that a vector store's filter lacks.
+NOT_IN_VECTOR_FILTERS = ("CONTAINS", "REGEX", "BETWEEN")
 
 
 def validate(tree, fields: list[str]) -> list[str]:
@@ -33,8 +36,22 @@ def validate(tree, fields: list[str]) -> list[str]:
     return wrong + ([] if tree.get("operator") in OPERATORS else [f"operator {tree.get('operator')!r}"])
 
 
+def _array_leaf(column: Column, operator: str, value) -> Column | None:
+    """Leaves over tags and keywords: an element equals, contains, or is one of the values."""
+    if operator == "IN":
+        return F.arrays_overlap(column, F.array(*[F.lit(v) for v in value])) if isinstance(value, (list, tuple)) and value else None
+    if operator == "=":
+        return F.array_contains(column, value)
+    if operator == "CONTAINS":
+        return F.exists(column, lambda x: x.ilike("%" + str(value).replace("\\", "\\\\") + "%"))
+    raise ValueError(f"operator {operator!r} on an array")
+
+
 def _leaf(leaf: dict) -> Column | None:
-    column, operator, value = F.col(FIELD_ALIASES.get(leaf["field"], leaf["field"])), leaf["operator"], leaf.get("value")
+    field, operator, value = FIELD_ALIASES.get(leaf["field"], leaf["field"]), leaf["operator"], leaf.get("value")
+    column = F.col(field)
+    if field in ARRAY_FIELDS:
+        return _array_leaf(column, operator, value)
     simple = {"=": column.__eq__, "!=": column.__ne__, ">": column.__gt__, "<": column.__lt__, ">=": column.__ge__, "<=": column.__le__}
     if operator in simple:
         return simple[operator](value)
@@ -42,7 +59,7 @@ def _leaf(leaf: dict) -> Column | None:
         return column.isin(list(value)) if isinstance(value, (list, tuple)) and value else None
     if operator == "BETWEEN":
         return column.between(*value) if isinstance(value, (list, tuple)) and len(value) == 2 else None
-    if operator == "CONTAINS":  # LIKE with the user's wildcards; only ASCII letters fold
+    if operator == "CONTAINS":  # LIKE with the user's wildcards
         return column.ilike("%" + str(value).replace("\\", "\\\\") + "%")
     if operator == "REGEX":
         return column.rlike(value)
@@ -95,13 +112,44 @@ def parse_relative_date(text: str, now: datetime) -> tuple[datetime, datetime] |
     return day, day
 
 
-#: Built-in presets: a name and a filter tree.
+def for_vector_store(tree):
+    """The tree without the operators that a vector store's filter lacks; groups that lose everything vanish."""
+    if isinstance(tree, list):
+        tree = {"operator": "AND", "filters": tree}
+    if "filters" in tree:
+        kept = [t for t in map(for_vector_store, tree["filters"]) if t is not None]
+        return {**tree, "filters": kept} if kept else None
+    return None if tree["operator"] in NOT_IN_VECTOR_FILTERS else tree
+
+
+def preset(name: str, now: datetime) -> list[dict]:
+    """A preset's filters with relative dates resolved to epoch seconds before `now`."""
+
+    def resolved(leaf: dict) -> dict:
+        if leaf.get("field") != "created":
+            return leaf
+        start, _ = parse_relative_date(leaf["value"], now)
+        return {**leaf, "value": int(start.timestamp())}
+
+    return [resolved(f) for f in PRESETS[name]]
+
+
+# The built-in presets.
 PRESETS = {
-    "recent-code": [{"field": "type", "operator": "=", "value": "code"}],
-    "decisions": [{"field": "type", "operator": "=", "value": "decision"}],
-    "questions": [{"field": "type", "operator": "=", "value": "question"}],
-    "insights": [{"field": "type", "operator": "=", "value": "insight"}],
-    "programming": [{"field": "category", "operator": "=", "value": "programming"}],
-    "writing": [{"field": "category", "operator": "=", "value": "writing"}],
-    "research-and-design": [{"field": "category", "operator": "IN", "value": ["research", "design"]}],
+    "recent-code": [
+        {"field": "category", "operator": "=", "value": "programming"},
+        {"field": "type", "operator": "=", "value": "insight"},
+        {"field": "created", "operator": ">", "value": "last 30 days"},
+    ],
+    "unanswered-questions": [{"field": "type", "operator": "=", "value": "question"}],
+    "all-decisions": [{"field": "type", "operator": "=", "value": "decision"}],
+    "recent-design": [
+        {"field": "category", "operator": "=", "value": "design"},
+        {"field": "created", "operator": ">", "value": "last 60 days"},
+    ],
+    "typescript-only": [{"field": "tags", "operator": "CONTAINS", "value": "typescript"}],
+    "exclude-incomplete": [{"field": "tags", "operator": "IN", "value": ["draft", "incomplete", "todo"], "negate": True}],
+    "react-ecosystem": [
+        {"operator": "OR", "filters": [{"field": "tags", "operator": "CONTAINS", "value": tag} for tag in ("react", "typescript", "web")]},
+    ],
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.plans.filters import PRESETS, apply_filter, page
+from loomstone.plans.filters import apply_filter, for_vector_store, page, parse_relative_date, preset
 from loomstone.registry import query
 from loomstone.sources.tables import SQL_DOCUMENT_UNITS, SQL_DOCUMENTS, SQL_UNITS, document_units, documents, read, units
 
@@ -59,9 +61,27 @@ def flt_mem(spark, sf_dir):
     return read(spark, sf_dir, "part").filter(F.col("p_name").contains("e") & (F.col("p_size") > 20)).select("p_partkey", "p_name")
 
 
-@query("flt_presets", f"WITH {SQL_UNITS} SELECT id, type, category FROM units WHERE category IN ('research', 'design')")
+@query("flt_presets", f"WITH {SQL_UNITS} SELECT id, category FROM units WHERE NOT list_has_any(tags, ['draft', 'incomplete', 'todo']) AND category = 'design' AND created > 1704067200 + 3 * 86400")
 def flt_presets(spark, sf_dir):
-    return apply_filter(units(spark, sf_dir), PRESETS["research-and-design"]).select("id", "type", "category")
+    """Two presets at once: recent design work (60 days before a given day) without incomplete items."""
+    now = datetime(2024, 3, 4, tzinfo=UTC)
+    return apply_filter(units(spark, sf_dir), preset("exclude-incomplete", now) + preset("recent-design", now)).select("id", "category")
+
+
+@query("flt_vector_where", "SELECT vec_id, label FROM embeddings WHERE label >= 1 AND NOT (label = 3)")
+def flt_vector_where(spark, sf_dir):
+    tree = [
+        {"field": "label", "operator": ">=", "value": 1},
+        {"field": "label", "operator": "BETWEEN", "value": [0, 1]},
+        {"operator": "AND", "negate": True, "filters": [{"field": "label", "operator": "=", "value": 3}]},
+    ]
+    return apply_filter(read(spark, sf_dir, "embeddings").select("vec_id", "label"), for_vector_store(tree))
+
+
+@query("flt_date_parse", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-17'")
+def flt_date_parse(spark, sf_dir):
+    start, end = parse_relative_date("2024-01-10 to 2024-01-17", datetime(2024, 2, 1))
+    return read(spark, sf_dir, "events").filter(F.col("ts").between(start.isoformat(" "), end.isoformat(" "))).select("event_id")
 
 
 @query(

@@ -36,34 +36,57 @@ def instant(value: Column) -> Column:
     return F.timestamp_seconds(F.when(value > 1e12, value / 1000).otherwise(value))
 
 
-def read_claude_export(spark: SparkSession, path: str) -> DataFrame:
-    """conversations.json with chat_messages."""
-    message = t.StructType([t.StructField(n, t.StringType()) for n in ("sender", "text", "created_at")])
-    schema = t.StructType([t.StructField("uuid", t.StringType()), t.StructField("name", t.StringType()), t.StructField("chat_messages", t.ArrayType(message))])
-    rows = spark.read.schema(schema).json(path, multiLine=True).select("uuid", "name", F.posexplode("chat_messages").alias("i", "m"))
+# The exports' fields.
+CLAUDE = "struct<uuid: string, name: string, chat_messages: array<struct<sender: string, text: string, created_at: string>>>"
+CHATGPT = "struct<id: string, title: string, mapping: map<string, struct<message: struct<id: string, author: struct<role: string>, create_time: double, content: struct<parts: array<string>>>>>>"
+_TURN = "array<struct<role: string, content: string>>"
+MESSAGES = f"struct<id: string, title: string, messages: {_TURN}, turns: {_TURN}, exchanges: array<struct<prompt: string, response: string>>>"
+
+
+def claude_turns(threads: DataFrame) -> DataFrame:
+    """Turns of threads with chat_messages (columns of CLAUDE)."""
+    rows = threads.select("uuid", "name", F.posexplode("chat_messages").alias("i", "m"))
     return rows.select(F.col("uuid").alias("thread_id"), F.col("name").alias("title"), F.col("i").alias("turn_index"), map_role(F.col("m.sender")).alias("role"), F.col("m.text").alias("content"))
 
 
-def read_chatgpt_export(spark: SparkSession, path: str) -> DataFrame:
-    """conversations.json whose mapping is a message tree: user and assistant messages by their time."""
-    schema = t.StructType.fromDDL("id string, title string, mapping map<string, struct<message: struct<id: string, author: struct<role: string>, create_time: double, content: struct<parts: array<string>>>>>")
-    rows = spark.read.schema(schema).json(path, multiLine=True).select("id", "title", F.explode(F.map_values("mapping")).alias("n"))
-    m = rows.select("id", "title", F.col("n.message.author").alias("author"), F.col("n.message.create_time").alias("create_time"), F.array_join("n.message.content.parts", "\n").alias("content"))
-    kept = m.filter(F.col("author.role").isin("user", "assistant") & (F.trim("content") != ""))
+def chatgpt_turns(threads: DataFrame) -> DataFrame:
+    """Turns of threads whose mapping is a message tree (columns of CHATGPT): user and assistant messages by their time."""
+    rows = threads.select("id", "title", F.explode(F.map_values("mapping")).alias("n"))
+    m = rows.select("id", "title", F.col("n.message.author.role").alias("role"), F.col("n.message.create_time").alias("create_time"), F.array_join("n.message.content.parts", "\n").alias("content"))
+    kept = m.filter(F.col("role").isin("user", "assistant") & (F.trim("content") != ""))
     w = Window.partitionBy("id").orderBy("create_time", "content")
-    return kept.select(F.col("id").alias("thread_id"), "title", (F.row_number().over(w) - 1).alias("turn_index"), F.col("author.role").alias("role"), "content")
+    return kept.select(F.col("id").alias("thread_id"), "title", (F.row_number().over(w) - 1).alias("turn_index"), "role", "content")
 
 
-def read_messages_export(spark: SparkSession, path: str) -> DataFrame:
-    """An array, or a single thread, of {id, title, messages | turns: [{role, content}]}; copilot's exchanges become two turns each."""
-    turn = "array<struct<role: string, content: string>>"
-    schema = t.StructType.fromDDL(f"id string, title string, messages {turn}, turns {turn}, exchanges array<struct<prompt: string, response: string>>")
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+def message_turns(threads: DataFrame) -> DataFrame:
+    """Turns of threads with messages, turns or exchanges (columns of MESSAGES); an exchange becomes two turns."""
     pairs = F.flatten(F.transform("exchanges", lambda e: F.array(F.struct(F.lit("user").alias("role"), e["prompt"].alias("content")), F.struct(F.lit("assistant").alias("role"), e["response"].alias("content")))))
-    each = rows.select("id", "title", F.posexplode(F.coalesce("messages", "turns", pairs)).alias("i", "m")).filter(F.trim("m.content") != "")
+    each = threads.select("id", "title", F.posexplode(F.coalesce("messages", "turns", pairs)).alias("i", "m")).filter(F.trim("m.content") != "")
     return each.select(F.col("id").alias("thread_id"), "title", F.col("i").alias("turn_index"), map_role(F.col("m.role")).alias("role"), F.col("m.content").alias("content"))
 
 
+def parsed_json(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """The columns of a JSON text; texts that do not parse give nulls."""
+    return rows.select(F.from_json(column, schema).alias("j")).select("j.*")
+
+
+def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The threads of export files, each an array of threads or one thread."""
+    return spark.read.schema(t.StructType.fromDDL(schema.removeprefix("struct<").removesuffix(">"))).json(path, multiLine=True)
+
+
+def read_claude_export(spark: SparkSession, path: str) -> DataFrame:
+    return claude_turns(read_export(spark, path, CLAUDE))
+
+
+def read_chatgpt_export(spark: SparkSession, path: str) -> DataFrame:
+    return chatgpt_turns(read_export(spark, path, CHATGPT))
+
+
+def read_messages_export(spark: SparkSession, path: str) -> DataFrame:
+    return message_turns(read_export(spark, path, MESSAGES))
+
+
 _NAMES = "|".join(ROLES)
 _TAGGED = re.compile(rf"^[\s#>*-]*({_NAMES})\s*[:-]\s*(.*)$", re.I)
 _HEADED = re.compile(rf"^\s*#{{1,6}}\s*({_NAMES})\s*$", re.I)
