@@ -139,7 +139,7 @@ def test_secrets_of_odd_tables(docs, empty):
 
 
 def test_codec_has_parity_and_round_trip(docs, empty):
-    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     got = sentencepiece_codec.encode(docs, keep=["doc_id", "text"], parity_every=1).collect()
     assert len(got) == len(ROWS)
     for r in got:
@@ -153,9 +153,9 @@ def test_codec_has_parity_and_round_trip(docs, empty):
 
 
 def test_codec_on_odd_texts():
-    with open(sentencepiece_codec.default_model(), "rb") as f:
+    with open(sentencepiece_codec.MODEL, "rb") as f:
         codec = sentencepiece_codec.Codec(f.read(), 1)
-    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     texts = ["", " ", "   a  b   ", "\n\n\tx", "▁▁a", "a▁ b", "😀é中文", "<s> hi </s>", "<unk>", "<0x0A>", "\x00", "a" * 5000, " " * 300, "​"]
     assert codec.encode(texts) == [reference.encode(t) for t in texts]
     assert codec.decode(codec.encode(texts[:4])) == texts[:4]
@@ -163,9 +163,9 @@ def test_codec_on_odd_texts():
 
 def test_memory_of_chunks_is_bounded(monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "MEMORY", 10)
-    with open(sentencepiece_codec.default_model(), "rb") as f:
+    with open(sentencepiece_codec.MODEL, "rb") as f:
         codec = sentencepiece_codec.Codec(f.read(), 1)
-    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     for i in range(5):
         assert codec.encode([prose(i)]) == [reference.encode(prose(i))]
         assert len(codec.places) <= 70
@@ -320,7 +320,9 @@ def test_quality_counts(spark, docs, empty):
     assert quality.judge(empty).collect() == []
 
 
-def test_quality_outliers_match_a_numpy_version(spark):
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_quality_outliers_match_a_numpy_version(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", most)
     rng = np.random.default_rng(1)
     texts = [prose(i, int(rng.integers(50, 300))) for i in range(300)] + [" ".join(w + "###" for w in prose(900 + i).split()) for i in range(20)]
     rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
@@ -512,7 +514,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
     rows += [(30, prose(101, 80), "en", "s1"), (31, "too short", "en", "s1"), (32, f"{prose(200, 80)} {passage}", "en", "s2")]
     spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == set(range(30))  # the copy, the short and the contaminated document are gone
     want = {i: t for i, t, *_ in rows}
