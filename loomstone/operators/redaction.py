@@ -52,15 +52,19 @@ def entropy(text: Column) -> Column:
 
 
 def _matches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    each = [
-        F.struct(
-            F.lit(i).alias("rule"), F.lit(t).alias("type"), F.lit(kind).alias("kind"), F.lit(c).alias("confidence"),
-            F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"),
-            F.when(F.col(text).rlike(p), F.split(text, p, -1)).alias("between"),
-        )
-        for i, (t, kind, c, p) in enumerate(PATTERNS)
-    ]
-    per = docs.select(key, text, F.explode(F.filter(F.array(*each), lambda m: F.size(m["found"]) > 0)).alias("m"))
+    def rule(i: int) -> Column:
+        """The rule's matches and, where there are any, the texts between them; one scan of a text without a match."""
+        kind, group, confidence, pattern = PATTERNS[i]
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+        def both(f: Column) -> Column:
+            between = F.when(F.size(f) > 0, F.split(text, pattern, -1))
+            return F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("type"), F.lit(group).alias("kind"), F.lit(confidence).alias("confidence"), f.alias("found"), between.alias("between"))
+
+        return F.transform(F.array(found), both)[0]
+
+    each = F.array(*[rule(i) for i in range(len(PATTERNS))])
+    per = docs.select(key, text, F.explode(F.filter(each, lambda m: F.size(m["found"]) > 0)).alias("m"))
     one = per.select(key, text, "m.*", F.posexplode("m.found").alias("i", "value"))
     before = F.aggregate(F.slice("between", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, x: a + F.length(x))
     earlier = F.aggregate(F.slice("found", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))

@@ -17,18 +17,39 @@ _PAIRS = f"""s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, {_S} AS title, CAS
 scored AS (SELECT a, b, CASE WHEN title >= 0.95 THEN greatest(1.0, 0.5 * title + 0.3 * kw + 0.2 * cat) ELSE 0.5 * title + 0.3 * kw + 0.2 * cat END AS score FROM s)"""
 
 
+def _halves(name, size):
+    """Keys of the halves of names that are `size` long or one longer or shorter: a name with one edit keeps one half."""
+    half = F.floor(size / 2).cast("int")
+    return F.array(
+        F.concat(F.lit("<"), size.cast("string"), F.lit(":"), F.substring(name, F.lit(1), half)),
+        F.concat(F.lit(">"), size.cast("string"), F.lit(":"), F.when(size > half, name.substr(F.length(name) - (size - half) + 1, size - half)).otherwise("")),
+    )
+
+
 def scored_pairs(spark, sf_dir, threshold: float = 0.7):
     """(a, b, score) of parts within a type: half the name's similarity, 0.3 for keywords, 0.2 for the category; names over 0.95 alike
-    count as one. Types are the blocks, and a bound on the name's length drops pairs before the edit distance is computed."""
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
+    count as one. For thresholds of 0.7 and more, pairs that share no keyword (brand) must have names over 0.95 alike.
+
+    Pairs of one brand meet on type and brand. The others are at most one edit apart while names are below 40 characters and meet
+    on the halves of their names; longer names meet within their type. Bounds on the length come before the edit distance.
+    """
+    p = read(spark, sf_dir, "part").select("p_partkey", F.lower(F.trim("p_name")).alias("name"), "p_brand", "p_size", "p_type")
     a, b = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns]), p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns])
-    la, lb = F.length(F.trim("a_p_name")), F.length(F.trim("b_p_name"))
+    la, lb = F.length("a_name"), F.length("b_name")
+    order, kind = F.col("a_p_partkey") < F.col("b_p_partkey"), F.col("a_p_type") == F.col("b_p_type")
+    one_brand = a.join(b, kind & (F.col("a_p_brand") == F.col("b_p_brand"))).filter(order)
+    other = ~F.col("a_p_brand").eqNullSafe(F.col("b_p_brand"))
+    sizes = F.array(F.length("b_name") - 1, F.length("b_name"), F.length("b_name") + 1)
+    left = a.filter(la < 40).withColumn("key", F.explode(_halves(F.col("a_name"), la)))
+    right = b.filter(lb < 40).withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _halves(F.col("b_name"), F.greatest(n, F.lit(0))))))))
+    short = left.join(right, (left["key"] == right["key"]) & kind).filter(order & other).drop("key").dropDuplicates(["a_p_partkey", "b_p_partkey"])
+    long = a.join(b, kind & ((la >= 40) | (lb >= 40)) & (F.least(la, lb) >= 0.95 * F.greatest(la, lb) - 1e-9)).filter(order & other)
+    met = one_brand.unionByName(short).unionByName(long)
     rest = 0.3 * F.when(F.col("a_p_brand") == F.col("b_p_brand"), 1.0).otherwise(0.0) + 0.2 * F.when(F.col("a_p_size") == F.col("b_p_size"), 1.0).otherwise(0.0)
     near = F.least(la, lb) / F.greatest(la, lb, F.lit(1)) >= F.least(F.lit(0.95), 2 * (threshold - rest)) - 1e-9
-    met = a.join(b, (F.col("a_p_type") == F.col("b_p_type")) & (F.col("a_p_partkey") < F.col("b_p_partkey"))).filter(near)
-    title = T.similarity(F.col("a_p_name"), F.col("b_p_name"))
+    title = T.similarity(F.col("a_name"), F.col("b_name"))
     score = F.when(title >= 0.95, F.greatest(F.lit(1.0), 0.5 * title + rest)).otherwise(0.5 * title + rest)
-    return met.select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), score.alias("score")).filter(F.col("score") >= threshold - 1e-9)
+    return met.filter(near).select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), score.alias("score")).filter(F.col("score") >= threshold - 1e-9)
 
 
 @query("dup_find", f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM scored WHERE score >= 0.7 - 1e-9")
