@@ -32,6 +32,9 @@ SUBSET = 0.75
 STEPS = 3
 #: A group with fewer rows uses the estimates of its language, and a language with fewer rows rejects nothing.
 MIN_GROUP = 100
+#: Estimates of so many groups (about 600 bytes each) are broadcast; beyond it their joins are salted.
+BROADCAST_GROUPS = 10_000
+SALTS = 32
 #: Transformed statistics and the standard deviation added to each as a floor.
 FLOORS = {"x_word_length": 0.06, "x_symbols": 0.04, "x_lines": 0.15, "x_repeats": 0.15, "x_upper": 0.05}
 #: Squared distance beyond which a document is rejected; chi-square with 5 degrees of freedom exceeds 45 once in 7e7.
@@ -181,6 +184,16 @@ def _consistency(share: float, p: int) -> float:
 _STARTS = ["a", "b"]
 
 
+def _with_estimates(rows: DataFrame, estimates: DataFrame, group: str, groups: int) -> DataFrame:
+    """rows joined with their group's estimates, so that a large group does not meet in one task: the estimates are sent to all
+    tasks if they are few, else the join's key is salted."""
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(estimates), group)
+    salted = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.withColumn("_salt", F.pmod(F.xxhash64(*_X), F.lit(SALTS)).cast("int"))
+    return own.join(salted, [group, "_salt"]).drop("_salt")
+
+
 def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
     """Minimum-covariance-determinant estimates (e_m_i, e_w_i_j) by `group` over the columns of FLOORS.
 
@@ -191,12 +204,13 @@ def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
     p = range(len(_X))
 
     def met(estimates: DataFrame) -> DataFrame:
-        return rows.join(estimates, group)
+        return _with_estimates(rows, estimates, group, groups)
 
     middle = rows.groupBy(group).agg(
         F.count("*").alias("size"), *[F.percentile_approx(x, 0.5, 1000).alias(f"a_m_{i}") for i, x in enumerate(_X)], *_moments(None, "b")
     )
     middle = staged(middle.filter(F.col("size") >= MIN_GROUP), "quality-medians")
+    groups = middle.count()
     spread = met(middle).groupBy(group).agg(
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"a_m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(_X)]
     )
