@@ -32,7 +32,7 @@ SUBSET = 0.75
 STEPS = 3
 #: A group with fewer rows uses the estimates of its language, and a language with fewer rows rejects nothing.
 MIN_GROUP = 100
-#: Estimates of so many groups (about 600 bytes each) are broadcast; beyond it their joins are salted.
+#: Estimates of so many groups (about 800 bytes each) are broadcast; beyond it their joins are salted.
 BROADCAST_GROUPS = 10_000
 SALTS = 32
 #: Transformed statistics and the standard deviation added to each as a floor.
@@ -120,48 +120,62 @@ def vectors(counted: DataFrame) -> DataFrame:
 
 
 def _moments(near: Column | None, tag: str) -> list[Column]:
-    """Count, means and covariances of the rows where `near` holds, as aggregates named by tag."""
-    x = {name: F.col(name) if near is None else F.when(near, F.col(name)) for name in _X}
-    sums = [F.count(x[_X[0]]).cast("double").alias(f"{tag}_n")]
-    sums += [F.avg(x[name]).alias(f"{tag}_m_{i}") for i, name in enumerate(_X)]
-    return sums + [F.covar_pop(x[_X[i]], x[_X[j]]).alias(f"{tag}_c_{i}_{j}") for i in range(len(_X)) for j in range(i + 1)]
-
-
-def _inverse(moments: DataFrame, tag: str, factor: float) -> DataFrame:
-    """Adds the inverse Cholesky factor w_i_j of factor * covariance + floors, and log_det, its log determinant, named by tag."""
-    p, out = len(_X), moments
-
-    def at(letter: str, i: int, j: int) -> Column:
-        return F.col(f"{tag}_{letter}_{i}_{j}")
-
-    for i in range(p):
-        for j in range(i + 1):
-            part = at("c", i, j) * factor + (F.lit(FLOORS[_X[i]] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                part = part - at("l", i, k) * at("l", j, k)
-            out = out.withColumn(f"{tag}_l_{i}_{j}", F.sqrt(part) if i == j else part / at("l", j, j))
-    for j in range(p):
-        out = out.withColumn(f"{tag}_w_{j}_{j}", 1 / at("l", j, j))
-        for i in range(j + 1, p):
-            total = reduce(lambda a, b: a + b, [at("l", i, k) * at("w", k, j) for k in range(j, i)])
-            out = out.withColumn(f"{tag}_w_{i}_{j}", -total / at("l", i, i))
-    log_det = reduce(lambda a, b: a + b, [2 * F.ln(at("l", i, i)) for i in range(p)])
-    return out.withColumn(f"{tag}_log_det", log_det)
-
-
-def _estimates(tag: str) -> list[str]:
-    """Names of the columns that a distance needs."""
+    """Count, sums and sums of products of the rows where `near` holds, as aggregates named by tag."""
+    x = [F.col(name) if near is None else F.when(near, F.col(name)) for name in _X]
+    sums = [F.count(x[0]).alias(f"{tag}_n")] + [F.sum(x[i]).alias(f"{tag}_s_{i}") for i in range(len(_X))]
+    return sums + [F.sum(x[i] * x[j]).alias(f"{tag}_q_{i}_{j}") for i in range(len(_X)) for j in range(i + 1)]
+
+
+def _centre(tag: str) -> Column:
+    return F.array(*[F.col(f"{tag}_s_{i}") / F.greatest(f"{tag}_n", F.lit(1)) for i in range(len(_X))])
+
+
+def _covariance(tag: str) -> Column:
+    """Rows of the covariance matrix."""
+    n = F.greatest(f"{tag}_n", F.lit(1))
+
+    def at(i: int, j: int) -> Column:
+        return F.col(f"{tag}_q_{max(i, j)}_{min(i, j)}") / n - F.col(f"{tag}_s_{i}") / n * F.col(f"{tag}_s_{j}") / n
+
+    return F.array(*[F.array(*[at(i, j) for j in range(len(_X))]) for i in range(len(_X))])
+
+
+def _inverse(covariance: Column, factor: float) -> Column:
+    """(inverse, log_det) of factor * covariance + floors, by Gauss-Jordan elimination; the floors keep every pivot positive."""
+    floors = F.array(*[F.lit(f**2) for f in FLOORS.values()])
     p = len(_X)
-    return [f"{tag}_m_{i}" for i in range(p)] + [f"{tag}_w_{i}_{j}" for i in range(p) for j in range(i + 1)]
+
+    def unit(i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.when(i == j, 1.0).otherwise(0.0))
+
+    def widened(row: Column, i: Column) -> Column:
+        return F.concat(F.transform(row, lambda v, j: v * factor + F.when(i == j, floors[i]).otherwise(0.0)), unit(i))
+
+    def step(acc: Column, k: Column) -> Column:
+        pivot = acc["m"][k]
+        scaled = F.transform(pivot, lambda v: v / pivot[k])
+        rest = F.transform(acc["m"], lambda row, i: F.when(i == k, scaled).otherwise(F.zip_with(row, scaled, lambda a, b: a - row[k] * b)))
+        return F.struct(rest.alias("m"), (acc["log_det"] + F.ln(pivot[k])).alias("log_det"))
+
+    def finish(acc: Column) -> Column:
+        right = F.transform(acc["m"], lambda row: F.slice(row, p + 1, p))
+        return F.struct(right.alias("inverse"), acc["log_det"].alias("log_det"))
+
+    start = F.struct(F.transform(covariance, widened).alias("m"), F.lit(0.0).alias("log_det"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), start, step, finish)
 
 
 def _distance(tag: str) -> Column:
-    """Squared Mahalanobis distance from the estimates named by tag."""
-    z = [
-        reduce(lambda a, b: a + b, [F.col(f"{tag}_w_{i}_{j}") * (F.col(_X[j]) - F.col(f"{tag}_m_{j}")) for j in range(i + 1)])
-        for i in range(len(_X))
-    ]
-    return reduce(lambda a, b: a + b, [x * x for x in z])
+    """Squared Mahalanobis distance from the estimates {tag} (a struct of centre, inverse and log_det)."""
+    e = F.col(tag)
+    d = [F.col(x) - e["centre"][i] for i, x in enumerate(_X)]
+    parts = [(1 if i == j else 2) * e["inverse"][i][j] * d[i] * d[j] for i in range(len(_X)) for j in range(i + 1)]
+    return reduce(lambda a, b: a + b, parts)
+
+
+def _estimate(centre: Column, covariance: Column, factor: float, tag: str) -> Column:
+    found = _inverse(covariance, factor)
+    return let(found, lambda f: F.struct(centre.alias("centre"), f["inverse"].alias("inverse"), f["log_det"].alias("log_det"))).alias(tag)
 
 
 def _consistency(share: float, p: int) -> float:
@@ -195,7 +209,7 @@ def _with_estimates(rows: DataFrame, estimates: DataFrame, group: str, groups: i
 
 
 def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
-    """Minimum-covariance-determinant estimates (e_m_i, e_w_i_j) by `group` over the columns of FLOORS.
+    """Minimum-covariance-determinant estimates (struct e: centre, inverse, log_det) by `group` over the columns of FLOORS.
 
     Groups with fewer than MIN_GROUP rows are left out. Both starts take their steps in the same passes: a pass for the
     limits of the distances and one for the moments of the rows within them.
@@ -206,32 +220,21 @@ def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
     def met(estimates: DataFrame) -> DataFrame:
         return _with_estimates(rows, estimates, group, groups)
 
-    middle = rows.groupBy(group).agg(
-        F.count("*").alias("size"), *[F.percentile_approx(x, 0.5, 1000).alias(f"a_m_{i}") for i, x in enumerate(_X)], *_moments(None, "b")
-    )
-    middle = staged(middle.filter(F.col("size") >= MIN_GROUP), "quality-medians")
-    groups = middle.count()
-    spread = met(middle).groupBy(group).agg(
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"a_m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(_X)]
-    )
-    zero = F.lit(0.0)
-    scales = {f"a_c_{i}_{j}": F.pow(F.col(f"s_{i}") * 1.4826, 2) if i == j else zero for i in p for j in range(i + 1)}
-    now = middle.join(spread, group).withColumns(scales)
-    for tag in _STARTS:
-        now = _inverse(now, tag, 1.0)
-    names = [c for tag in _STARTS for c in _estimates(tag)]
-    now = staged(now.select(group, *names), "quality-start")
+    middle = F.array(*[F.percentile_approx(x, 0.5, 1000) for x in _X]).alias("middle")
+    first = rows.groupBy(group).agg(F.count("*").alias("size"), middle, *_moments(None, "b")).filter(F.col("size") >= MIN_GROUP)
+    first = staged(first.select(group, "middle", _estimate(_centre("b"), _covariance("b"), 1.0, "b")), "quality-medians")
+    groups = first.count()
+    apart = F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col("middle")[i]), 0.5, 1000) for i, x in enumerate(_X)]).alias("apart")
+    spread = met(first.select(group, "middle")).groupBy(group).agg(apart)
+    scales = F.array(*[F.array(*[F.pow(F.col("apart")[i] * 1.4826, 2) if i == j else F.lit(0.0) for j in p]) for i in p])
+    now = staged(first.join(spread, group).select(group, _estimate(F.col("middle"), scales, 1.0, "a"), "b"), "quality-start")
     factor = _consistency(SUBSET, len(_X))
     for _ in range(STEPS):
         limits = met(now).groupBy(group).agg(*[F.percentile_approx(_distance(t), SUBSET, 1000).alias(f"{t}_limit") for t in _STARTS])
         limited = staged(now.join(limits, group), "quality-limits")
         moments = met(limited).groupBy(group).agg(*[m for t in _STARTS for m in _moments(_distance(t) <= F.col(f"{t}_limit"), t)])
-        for tag in _STARTS:
-            moments = _inverse(moments, tag, factor)
-        now = staged(moments.select(group, *names, *[f"{t}_log_det" for t in _STARTS]), "quality-step")
-    first = F.col("a_log_det") <= F.col("b_log_det")
-    best = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(a.replace("a_", "e_", 1)) for a, b in zip(*map(_estimates, _STARTS), strict=True)]
-    return staged(now.select(group, *best), "quality-estimates")
+        now = staged(moments.select(group, *[_estimate(_centre(t), _covariance(t), factor, t) for t in _STARTS]), "quality-step")
+    return now.select(group, F.when(F.col("a.log_det") <= F.col("b.log_det"), F.col("a")).otherwise(F.col("b")).alias("e"))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -249,13 +252,11 @@ def _judged(rows: DataFrame) -> DataFrame:
     own, wide = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang", F.lit("*").alias("any")))
     clean = rows.filter(~F.col("base_failed")).select(F.explode(F.array(own, wide)).alias("group"), *_X)
     found = robust_estimates(staged(clean, "quality-vectors"), "group")
-    numbers = _estimates("e")
-    one = found.select(F.col("group").alias("g1"), F.struct(*numbers).alias("e1"))
-    two = found.select(F.col("group").alias("g2"), F.struct(*numbers).alias("e2"))
+    one, two = found.select(F.col("group").alias("g1"), F.col("e").alias("e1")), found.select(F.col("group").alias("g2"), F.col("e").alias("e2"))
     met = rows.join(one, own == F.col("g1"), "left").join(two, wide == F.col("g2"), "left")
-    met = met.select(*rows.columns, F.coalesce("e1", "e2").alias("e")).select(*rows.columns, "e.*").withColumn("distance", _distance("e"))
+    met = met.select(*rows.columns, F.coalesce("e1", "e2").alias("e")).withColumn("distance", _distance("e")).drop("e")
     met = met.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF)))
-    return met.drop(*numbers)
+    return met
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
