@@ -160,7 +160,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         ends = _compare(fp[first], None if (first & second).all() else fp[second], radius).view(np.int64)
         return pa.table({"src": pa.array(ends[:, 0]), "dst": pa.array(ends[:, 1])})
 
-    return one.unionByName(many).groupBy("pair").applyInArrow(compare, "src long, dst long").distinct()
+    # A number of partitions of its own: these rows are few bytes and much work, and would be gathered into one task.
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = one.unionByName(many).repartition(n, "pair")
+    return tiles.groupBy("pair").applyInArrow(compare, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
