@@ -13,6 +13,7 @@ third of all rows is neither one shard nor one task. A single row over the limit
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,12 +119,18 @@ def _overflow(rows: DataFrame, limit: int, depth: int) -> DataFrame:
 
 
 def write_shards(rows: DataFrame, keys: list[str], size: Column, limit: int, path: str) -> DataFrame:
-    """Write rows as one Parquet folder for each shard under `path` (shard=...) and return the directory: shard, rows and bytes.
+    """Write rows as one Parquet folder for each shard under `path` and return the directory: shard, rows and bytes.
 
-    `keys` must identify a row.
+    The folders are shard=s<bits>; where rows has a column shard, its name gets underscores until it is free. `keys` must
+    identify a row.
     """
+    name = "shard"
+    while name in rows.columns:
+        name += "_"
     shards = staged(assign(rows, keys, size, limit), "shards")
-    met = rows.alias("r").join(shards.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "shard").alias("s"), [F.col(f"r.{k}").eqNullSafe(F.col(f"s._k{i}")) for i, k in enumerate(keys)])
-    named = F.when(F.col("s.shard") == "", F.lit("all")).otherwise(F.col("s.shard"))
-    met.select("r.*", named.alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    own = shards.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.concat(F.lit("s"), "shard").alias("folder"))
+    row = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), *[rows[k].alias(f"of_{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(f"of_{i}").eqNullSafe(F.col(f"key_{i}")) for i in range(len(keys))])
+    met = row.join(own, same).repartition("folder")
+    met.select("row.*", F.col("folder").alias(name)).write.partitionBy(name).parquet(path)
     return shards.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))

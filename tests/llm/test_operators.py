@@ -89,6 +89,15 @@ def test_sharding_of_one_hot_key(spark):
     assert sum(r["n"] for r in got) == 2000 and all(r["b"] <= 1000 for r in got)
 
 
+def test_shards_are_written_as_folders(spark, tmp_path):
+    rows = spark.range(500).select("id", F.lit("x" * 20).alias("text"), F.lit(1).alias("shard"))
+    found = sharding.write_shards(rows, ["id"], F.octet_length("text"), 2000, str(tmp_path / "out")).collect()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 500 and back.columns == ["id", "text", "shard", "shard_"]
+    assert {"s" + r["shard"]: r["rows"] for r in found} == {r["shard_"]: r["count"] for r in back.groupBy("shard_").count().collect()}
+    assert all(r["bytes"] <= 2000 for r in found)
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.assign(empty, ["doc_id"], F.octet_length("text"), 100).collect() == []
 
