@@ -232,7 +232,9 @@ def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
     for _ in range(STEPS):
         limits = met(now).groupBy(group).agg(*[F.percentile_approx(_distance(t), SUBSET, 1000).alias(f"{t}_limit") for t in _STARTS])
         limited = staged(now.join(limits, group), "quality-limits")
-        moments = met(limited).groupBy(group).agg(*[m for t in _STARTS for m in _moments(_distance(t) <= F.col(f"{t}_limit"), t)])
+        # The distance stands once for each start in the plan; the sums refer to whether a row is near.
+        near = met(limited).select(group, *_X, *[(_distance(t) <= F.col(f"{t}_limit")).alias(f"{t}_near") for t in _STARTS])
+        moments = near.groupBy(group).agg(*[m for t in _STARTS for m in _moments(F.col(f"{t}_near"), t)])
         now = staged(moments.select(group, *[_estimate(_centre(t), _covariance(t), factor, t) for t in _STARTS]), "quality-step")
     return now.select(group, F.when(F.col("a.log_det") <= F.col("b.log_det"), F.col("a")).otherwise(F.col("b")).alias("e"))
 
