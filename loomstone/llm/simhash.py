@@ -228,7 +228,12 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of rows that repeat its doc_id and text one stays, the one with the smallest hash of the whole row.
     """
-    found = near_duplicates(docs, radius).filter("representative").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    return keep_representatives(docs, near_duplicates(docs, radius))
+
+
+def keep_representatives(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of docs that marked (doc_id, th, representative) names, one for each doc_id and th."""
+    found = marked.filter("representative").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
     heads = staged(found, "simhash-heads")
     row = docs.select(
         docs["doc_id"].cast("long").alias("_id"),

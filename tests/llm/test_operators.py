@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomstone.llm import decontaminate, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from loomstone.llm import decontaminate, licenses, line_dedup, near_copies, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, uid long, _row string, fp long, n_words long, shard string"
 PROSE = "the quick brown fox jumps over a lazy dog while seven wizards quietly mix potions in old stone towers by the river"
@@ -503,6 +503,39 @@ def test_propagation_matches_a_plain_loop(spark):
 # pipeline
 
 
+def plain_copies(texts):
+    """Components of Jaccard >= 0.8 over 5-word shingles, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+            old, new = root[j], root[i]
+            root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_near_dedup_stage_matches_all_pairs(spark, monkeypatch, tmp_path, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = np.random.default_rng(5)
+    texts = [None, " ", "a b", "A  b", prose(300, 4)]
+    for k in range(12):
+        base = prose(310 + k, int(rng.integers(5, 400))).split()
+        for _ in range(int(rng.integers(1, 30))):
+            copy = list(base)
+            for at in rng.integers(0, len(base), rng.integers(0, max(2, len(base) // 25))):
+                copy[at] = f"x{rng.integers(1000)}"
+            texts.append(" ".join(copy[int(rng.integers(0, 3)) :]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, str(tmp_path)).collect()}
+    root = plain_copies(texts)
+    assert kept == {root.index(r) for r in root} and len(kept) < len(texts) / 2
+
+
 def test_pipeline_stages_on_odd_tables(spark, docs, empty, tmp_path):
     spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for table in (docs, empty, docs.select("doc_id", "text", "lang", "source", "n_chars")):
