@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -76,26 +77,30 @@ def agg_dedup_stats(spark, sf_dir):
     return scored_pairs(spark, sf_dir).groupBy("a").agg(F.count("*").cast("long").alias("partners"), F.round(F.max("score"), 6).alias("best"))
 
 
+def _greedy(batches):
+    """Takes every pair whose ends are both free; pairs arrive by type, best first, so only the type's taken parts are held."""
+    kind, taken = None, set()
+    for batch in batches:
+        keep = []
+        for k, a, b in zip(*[batch.column(c).to_pylist() for c in ("kind", "a", "b")], strict=True):
+            if k != kind:
+                kind, taken = k, set()
+            keep.append(a not in taken and b not in taken)
+            if keep[-1]:
+                taken.update((a, b))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "score"])
+
+
 @query("dup_batch")
 def dup_batch(spark, sf_dir):
-    """Greedy merging: pairs in descending score, each unit merged once at most, as rounds of locally best pairs.
+    """Greedy merging: pairs in descending score, ties by key, each unit merged once at most.
 
-    A pair is taken when it is the best of both its ends; that gives the same matching as going through a sorted list.
+    Pairs stand within a type, so every type's sorted pairs are gone through in one pass, whatever the size of its groups.
     """
-    left = scored_pairs(spark, sf_dir).select("a", "b", "score").persist()
-    taken = None
-    for _ in range(64):
-        order = F.struct((-F.col("score")).alias("s"), F.col("a"), F.col("b"))
-        ends = left.select(F.col("a").alias("v"), order.alias("o")).unionByName(left.select(F.col("b").alias("v"), order.alias("o")))
-        best = ends.groupBy("v").agg(F.min("o").alias("o"))
-        now = best.groupBy("o").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("o.a").alias("a"), F.col("o.b").alias("b"), (-F.col("o.s")).alias("score"))
-        now = now.persist()
-        if now.isEmpty():
-            break
-        taken = now if taken is None else taken.unionByName(now)
-        gone = now.select(F.col("a").alias("v")).unionByName(now.select(F.col("b").alias("v")))
-        left = left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti").persist()
-    out = taken if taken is not None else left
+    kinds = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.col("p_type").alias("kind"))
+    pairs = scored_pairs(spark, sf_dir).join(kinds, "a").select("kind", "a", "b", "score")
+    ordered = pairs.repartition("kind").sortWithinPartitions("kind", F.desc("score"), "a", "b")
+    out = ordered.mapInArrow(_greedy, ordered.select("a", "b", "score").schema)
     return out.select("a", "b", F.round("score", 6).alias("score"))
 
 

@@ -275,3 +275,17 @@ def test_query_matches_its_sql(spark, duck, name):
     want = sorted(repr([_plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
     got = sorted(repr([_plain(r[c]) for c in columns]) for r in frame.collect())
     assert got == want
+
+
+def test_greedy_merging_of_large_equal_groups(spark, tmp_path):
+    from loomstone.queries import dedup_graph
+
+    rows = [(i, "steel rod", "b1", 1, "t1") for i in range(300)] + [(i, f"name {i % 7} of some length {i % 3}", f"b{i % 2}", i % 4, "t2") for i in range(300, 360)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    want, taken = set(), set()
+    for r in sorted(dedup_graph.scored_pairs(spark, str(tmp_path)).collect(), key=lambda r: (-r["score"], r["a"], r["b"])):
+        if not {r["a"], r["b"]} & taken:
+            taken |= {r["a"], r["b"]}
+            want.add((r["a"], r["b"]))
+    got = [(r["a"], r["b"]) for r in dedup_graph.dup_batch(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {(i, i + 1) for i in range(0, 300, 2)} <= want
