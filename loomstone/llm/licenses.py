@@ -2,9 +2,10 @@
 
 Templates are short licence notices and clauses. Their words form the licence vocabulary, and an index holds for each word
 its postings: (template, position). Document frequencies of the vocabulary are counted over the whole corpus, and give
-every word its IDF. A file is then scanned by looking up its licence words of highest IDF: each occurrence votes, by its
-postings, for (template, start of the template in the file). Starts with enough votes are aligned word by word, and a match
-counts only if the template's mandatory key phrase stands in its place.
+every word its IDF. Of each template's mandatory key phrase the words of highest IDF are its anchors. A file is then scanned by
+looking up the anchors that it holds: each occurrence votes, by its postings, for (template, start of the template in the file).
+A match needs its whole key phrase, so a start that lacks the vote of an anchor cannot be one; the others are aligned word by word.
+Every template has anchors of its own, so a file may hold any number of them.
 
 The index holds the templates alone and is sent to the tasks; its size does not depend on the corpus.
 """
@@ -44,9 +45,8 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
-#: Licence words of a file that are looked up, highest IDF first.
-RARE = 16
-#: Votes that a start needs, and the share of the template's words that must stand in place.
+#: Anchors of a template (places of its key phrase, highest IDF first), all of which must vote for a start, and the share of the
+#: template's words that must stand in place.
 VOTES = 2
 COVERAGE = 0.8
 
@@ -74,19 +74,26 @@ class Index:
         self.base_first = {p[0] for p in self.base}
         self.vocabulary = frozenset(self.postings) | self.base_first
 
-    def matches(self, words: list[bytes], places: dict[bytes, list[int]], idf: dict[bytes, float]) -> dict[int, float]:
+    def anchors(self, idf: dict[bytes, float]) -> dict[bytes, list[tuple[int, int]]]:
+        """Postings of the templates' anchors."""
+        found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, (at, key) in enumerate(self.keys):
+            for i in sorted(range(len(key)), key=lambda i: (-idf.get(key[i], math.inf), key[i], i))[:VOTES]:
+                found[key[i]].append((t, at + i))
+        return dict(found)
+
+    def matches(self, words: list[bytes], places: dict[bytes, list[int]], anchors: dict[bytes, list[tuple[int, int]]]) -> dict[int, float]:
         """The best coverage of every template found in a file, from the places of its licence words."""
-        rare = sorted((w for w in places if w in self.postings), key=lambda w: (-idf.get(w, math.inf), w))[:RARE]
         votes: Counter[tuple[int, int]] = Counter()
-        for w in rare:
-            for t, i in self.postings[w]:
+        for w in anchors.keys() & places.keys():
+            for t, i in anchors[w]:
                 for p in places[w]:
                     votes[t, p - i] += 1
         found: dict[int, float] = {}
         for (t, start), n in votes.items():
-            if n < VOTES or start < 0:
-                continue
             at, key = self.keys[t]
+            if n < min(VOTES, len(key)) or start < 0:
+                continue
             if words[start + at : start + at + len(key)] != key:
                 continue
             text = self.texts[t]
@@ -138,24 +145,24 @@ def scan(docs: DataFrame, keep: list[str] | None = None, templates: list[tuple[s
     base_labels, labels and score (the best coverage of a template; 0.5 where only base phrases stand; else 0).
 
     A null text counts as empty. Repeated rows each keep a row. No rows in: no rows out. Texts of any length are scanned
-    whole; words of equal IDF are taken in their own order.
+    whole, and every template is looked for.
     """
     index = Index(templates or TEMPLATES)
     rows, counts = document_frequencies(docs, index)
     idf = {w: math.log((rows + 1) / (counts.get(w, 0) + 1)) for w in index.vocabulary}
-    send = docs.sparkSession.sparkContext.broadcast((index, idf))
+    send = docs.sparkSession.sparkContext.broadcast((index, index.anchors(idf)))
     source = docs.select(docs["text"].cast("string").alias("_text"), F.struct(*[docs[c] for c in keep or docs.columns]).alias("_row"))
     new = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
     schema = source.select("_row", *[F.lit(None).cast(kind).alias(name) for name, kind in new]).schema
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
-    def one(text: bytes | None, index: Index, idf: dict[bytes, float]):
+    def one(text: bytes | None, index: Index, anchors: dict[bytes, list[tuple[int, int]]]):
         words = words_of(text)
         places = _places(words, index.vocabulary)
         if not places:
             return len(words), 0, None, None, "", "", 0.0
         base = index.base_places(words, places)
-        found = index.matches(words, places, idf)
+        found = index.matches(words, places, anchors)
         own = {label for _, label in base}
         labels = own | {index.labels[t] for t in found}
         starts = [i for i, _ in base]
@@ -163,11 +170,11 @@ def scan(docs: DataFrame, keep: list[str] | None = None, templates: list[tuple[s
         return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf = send.value
+        index, anchors = send.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [one(t, index, idf) for t in part.column(0).cast(pa.binary()).to_pylist()]
+                found = [one(t, index, anchors) for t in part.column(0).cast(pa.binary()).to_pylist()]
                 columns = [pa.array(list(c), kinds[kind]) for c, (_, kind) in zip(zip(*found, strict=True), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1), *columns], names=["_row", *[n for n, _ in new]])
 

@@ -302,6 +302,17 @@ def test_license_base_phrases_and_templates(spark, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_a_text_with_all_notices_has_all_labels(spark):
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    rows = [(1, "\n".join(notices)), (2, " word ".join(reversed(notices * 3))), *enumerate(notices, 10)]
+    got = {r["_row"]["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
+    every = {label for label, _, _ in licenses.TEMPLATES}
+    for i in (1, 2):
+        assert every <= set(got[i]["labels"].split(",")) and got[i]["score"] == 1
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES, 10):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1
+
+
 # 7 quality
 
 
