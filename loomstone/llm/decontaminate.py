@@ -13,8 +13,10 @@ All phrases are searched at once: backward search narrows every phrase's range o
 of the ranges that end up non-empty are located by walking the transform back to a sampled position. The occurrences
 of a document are merged into removal spans.
 
-The benchmark is the query set: it is read in blocks of at most BLOCK_BYTES of text, each block sent to the tasks and
-searched in all rows, so its size is bounded whatever the table's size; one block is the usual case.
+The benchmark is the query set: it is read in blocks of at most BLOCK_BYTES of text. Each block is sent to the tasks, searched in all
+rows and dropped before the next one is read, so neither the driver nor a task ever holds more than one. Of several blocks, each
+leaves a table of the rows that it hits; their spans meet by row. In a shard only those phrases are searched whose words all
+occur in it.
 """
 
 from __future__ import annotations
@@ -24,15 +26,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import packed, plain, replaced, staged, staged_rows
+
 WINDOW = 13
 #: Words of a shard, before words outside the benchmark are left out.
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
-#: Text bytes of the benchmark that one pass sends to the tasks.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of the benchmark that one pass sends to the tasks (as phrases about a hundred times as much memory).
+BLOCK_BYTES = 1 << 20
+#: Text bytes and rows that a task takes apart at once.
+PART_BYTES = 16 << 20
+PART_ROWS = 4096
 #: A document is contaminated when hits make up at least 1 / SHARE of its words.
 SHARE = 20
 
@@ -173,7 +181,11 @@ class Phrases:
         places = np.arange(int(sizes.sum())) - np.repeat(shift - starts, sizes)
         text = whole[places]  # the place behind a run is a separator
         index = FMIndex(text, len(self.vocabulary))
-        lo, hi = index.search(self.symbols, self.lengths)
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[text] = True  # 0, a separator here, stands for "no word" in the phrases
+        tried = np.nonzero(there[self.symbols].all(axis=1))[0]
+        lo, hi = np.zeros((2, len(self.lengths)), np.int64)
+        lo[tried], hi[tried] = index.search(self.symbols[tried], self.lengths[tried])
         hit = np.nonzero(lo < hi)[0]
         if not len(hit):
             return found
@@ -231,27 +243,47 @@ def contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and SHARE * n_hit >= n_words
 
 
-def _search_part(part: pa.RecordBatch, known: Phrases, last: bool, cut: bool, out: list[str]) -> pa.RecordBatch:
-    texts = part.column("_text").cast(pa.binary()).to_pylist()
-    n_words, spans, items = [], part.column("_spans").to_pylist(), part.column("_items").to_pylist()
-    for docs in _shards(texts, known.vocabulary, SHARD_WORDS):
-        base = len(n_words)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most PART_ROWS rows and about PART_BYTES bytes of `_text`; a longer text is a slice of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy()
+        start = total = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and (i - start >= PART_ROWS or total + size > PART_BYTES):
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def _hits(part: pa.RecordBatch, known: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """Words, merged spans and items of every row."""
+    n_words, spans, items = [], [], []
+    for docs in _shards(part.column("_text").cast(pa.binary()).to_pylist(), known.vocabulary, SHARD_WORDS):
         n_words += [len(d) for d in docs]
-        for i, hits in enumerate(known.occurrences(docs), base):
-            if hits:
-                both = merge_spans([(s["start"], s["end"]) for s in spans[i]] + [(s, e) for s, e, _ in hits])
-                spans[i] = [{"start": s, "end": e} for s, e in both]
-                items[i] = sorted({x for _, _, p in hits for x in known.owners[p] if x is not None} | set(items[i]))
-    new = {"_n_words": n_words, "_spans": spans, "_items": items}
-    if last and cut and any(spans):
-        plain = part.column("_text").to_pylist()
+        for hits in known.occurrences(docs):
+            spans.append(merge_spans((s, e) for s, e, _ in hits) if hits else [])
+            items.append(sorted({x for _, _, p in hits for x in known.owners[p] if x is not None}) if hits else [])
+    return n_words, spans, items
+
+
+def _dicts(spans: list[list[tuple[int, int]]]) -> list[list[dict[str, int]]]:
+    return [[{"start": a, "end": b} for a, b in s] for s in spans]
+
+
+def _cut(part: pa.RecordBatch, n_words: list[int], spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """The texts without their spans; contaminated ones stay as they are."""
+    texts = part.column("_text")
+    if any(spans):
+        texts = texts.to_pylist()
         for i, found in enumerate(spans):
-            merged = [(x["start"], x["end"]) for x in found]
-            if merged and not contaminated(sum(e - s for s, e in merged), n_words[i]):
-                plain[i] = cut_words(plain[i], merged)
-        new["_text"] = plain
-    columns = {n: part.column(n) for n in out} | {n: pa.array(v, part.schema.field(n).type) for n, v in new.items()}
-    return pa.RecordBatch.from_arrays([columns[n] for n in out], names=out)
+            if found and not contaminated(sum(e - s for s, e in found), n_words[i]):
+                texts[i] = cut_words(texts[i], found)
+    return texts if isinstance(texts, pa.Array) else pa.array(texts, part.schema.field("_text").type)
+
+
+_SPANS = "array<struct<start:int,end:int>>"
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
@@ -261,35 +293,61 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
     Null and blank texts have no words. Nulls and blank texts in the benchmark give no windows. An item shorter than
     `window` is one window. item_ids are compared and sorted as strings; rows of the benchmark that share one are one
-    item; a null item_id still hits and is left out of the items. An empty benchmark hits nothing. Repeated rows of docs
-    each keep a row.
+    item; a null item_id still hits and is left out of the items. An empty benchmark hits nothing. Overlapping and touching spans
+    are one. Texts of any length and with any number of hits are searched whole. Repeated rows of docs each keep a row. Other
+    columns keep their values, whatever their names. No rows in: no rows out.
     """
     spark = docs.sparkSession
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("string").alias("text"))
+    bare, at = plain(benchmark)
+    items = bare.select(F.col(at["item_id"]).cast("string").alias("item"), F.col(at["text"]).cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
-    others = [docs[c] for c in docs.columns if c != "text"] or [F.lit(None).cast("string").alias("none")]
-    found = docs.select(
-        docs["text"].cast("string").alias("_text"),
-        F.lit(0).cast("long").alias("_n_words"),
-        F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("_spans"),
-        F.expr("cast(array() as array<string>)").alias("_items"),
-        F.struct(*others).alias("_row"),
-    )
+    bare, own, row = packed(docs, without="text")
+    source = bare.select(F.col(own["text"]).cast("string").alias("_text"), row.alias("_row"))
+    new = [("_n_words", "long"), ("_spans", _SPANS), ("_items", "array<string>"), *([("_text", "string")] if keep_text else [])]
+    schema = source.select("_row", *[F.lit(None).cast(kind).alias(name) for name, kind in new]).schema
+
+    def sent(block: DataFrame):
+        rows = ((r["item"], None if r["text"] is None else r["text"].encode()) for r in block.toLocalIterator())
+        return spark.sparkContext.broadcast(Phrases(rows, window))
+
+    def batch(part: pa.RecordBatch, n_words: list[int], spans: list[list[tuple[int, int]]], items: list[list[str]]) -> pa.RecordBatch:
+        columns = [part.column("_row"), pa.array(n_words, pa.int64()), pa.array(_dicts(spans), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*columns, *([_cut(part, n_words, spans)] if keep_text else [])], names=["_row", *[n for n, _ in new]])
+
+    if n_blocks == 1:
+        phrases = sent(items)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _parts(batches):
+                yield batch(part, *_hits(part, phrases.value))
+
+        return source.mapInArrow(search, schema)
+
+    source = staged_rows(source.withColumn("_uid", F.monotonically_increasing_id()), "decontaminate-rows")  # from here on _uid is fixed
+    hit = None
     for k in range(n_blocks):
-        last = k == n_blocks - 1
-        mine = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k)
-        block = ((r["item"], None if r["text"] is None else r["text"].encode()) for r in mine.toLocalIterator())
-        phrases = spark.sparkContext.broadcast(Phrases(block, window))
-        schema = found.schema if keep_text or not last else found.drop("_text").schema
+        phrases = sent(items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k))
+
+        def among(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+            for part in _parts(batches):
+                _, spans, found = _hits(part, phrases.value)
+                some = [i for i, s in enumerate(spans) if s]
+                columns = [part.column("_uid").take(pa.array(some, pa.int64())), pa.array(_dicts([spans[i] for i in some]), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([found[i] for i in some], pa.list_(pa.string()))], names=["_uid", "_spans", "_items"])
+
+        mine = source.select("_uid", "_text").mapInArrow(among, f"_uid long, _spans {_SPANS}, _items array<string>")
+        hit = staged(mine if hit is None else hit.unionByName(mine), "decontaminate-hits", hit)
+        phrases.destroy()
+    per = hit.groupBy("_uid").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
 
-        def search(batches, phrases=phrases, last=last, out=schema.names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    yield _search_part(batch.slice(at, 2048), phrases.value, last, keep_text, out)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            n_words = [len(words_of(t)) for t in part.column("_text").cast(pa.binary()).to_pylist()]
+            spans = [merge_spans((x["start"], x["end"]) for x in s or []) for s in part.column("_spans").to_pylist()]
+            yield batch(part, n_words, spans, [x or [] for x in part.column("_items").to_pylist()])
 
-        found = found.mapInArrow(search, schema)
-    return found
+    return source.join(per, "_uid", "left").drop("_uid").mapInArrow(merge, schema)
 
 
 def n_hit(spans: str = "_spans"):
@@ -302,6 +360,7 @@ def is_contaminated(hits, words):
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents; from the others the spans of benchmark words are cut out of the text."""
+    """docs without contaminated documents; from the others the spans of benchmark words are cut out of the text. The cases of
+    find_spans() hold."""
     found = find_spans(docs, benchmark, keep_text=True).filter(~is_contaminated(n_hit(), F.col("_n_words")))
-    return found.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+    return replaced(found, docs.columns, "text", "_text")

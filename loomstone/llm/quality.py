@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import SPACE, column_or_null, let, staged
+from loomstone.llm.common import SPACE, column_or_null, let, packed, staged, staged_rows, unpacked
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -79,7 +79,8 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     A null text counts as an empty one: it has no words and fails.
     """
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    bare, own, row = packed(docs, keep)
+    text = F.coalesce(F.col(own["text"]).cast("string"), F.lit(""))
     w = let(
         words(text),
         lambda w: F.struct(
@@ -91,10 +92,10 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     lines = let(F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, WHITE[1:], " ")) != ""), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     upper = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    counted = docs.select(
-        F.struct(*[docs[c] for c in keep or docs.columns]).alias("_row"),
-        column_or_null(docs, "lang", "string").alias("_lang"),
-        column_or_null(docs, "source", "string").alias("_source"),
+    counted = bare.select(
+        row.alias("_row"),
+        column_or_null(bare, own, "lang", "string").alias("_lang"),
+        column_or_null(bare, own, "source", "string").alias("_source"),
         w.alias("w"),
         symbols.cast("long").alias("n_symbols"),
         upper.cast("long").alias("n_upper"),
@@ -198,14 +199,14 @@ def _consistency(share: float, p: int) -> float:
 _STARTS = ["a", "b"]
 
 
-def _with_estimates(rows: DataFrame, estimates: DataFrame, group: str, groups: int) -> DataFrame:
+def _with_estimates(rows: DataFrame, estimates: DataFrame, group: str, groups: int, how: str = "inner") -> DataFrame:
     """rows joined with their group's estimates, so that a large group does not meet in one task: the estimates are sent to all
     tasks if they are few, else the join's key is salted."""
     if groups <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(estimates), group)
+        return rows.join(F.broadcast(estimates), group, how)
     salted = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = rows.withColumn("_salt", F.pmod(F.xxhash64(*_X), F.lit(SALTS)).cast("int"))
-    return own.join(salted, [group, "_salt"]).drop("_salt")
+    return own.join(salted, [group, "_salt"], how).drop("_salt")
 
 
 def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
@@ -222,40 +223,43 @@ def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
 
     middle = F.array(*[F.percentile_approx(x, 0.5, 1000) for x in _X]).alias("middle")
     first = rows.groupBy(group).agg(F.count("*").alias("size"), middle, *_moments(None, "b")).filter(F.col("size") >= MIN_GROUP)
-    first = staged(first.select(group, "middle", _estimate(_centre("b"), _covariance("b"), 1.0, "b")), "quality-medians")
+    first = middles = staged(first.select(group, "middle", _estimate(_centre("b"), _covariance("b"), 1.0, "b")), "quality-medians")
     groups = first.count()
     apart = F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col("middle")[i]), 0.5, 1000) for i, x in enumerate(_X)]).alias("apart")
     spread = met(first.select(group, "middle")).groupBy(group).agg(apart)
     scales = F.array(*[F.array(*[F.pow(F.col("apart")[i] * 1.4826, 2) if i == j else F.lit(0.0) for j in p]) for i in p])
-    now = staged(first.join(spread, group).select(group, _estimate(F.col("middle"), scales, 1.0, "a"), "b"), "quality-start")
+    now = staged(first.join(spread, group).select(group, _estimate(F.col("middle"), scales, 1.0, "a"), "b"), "quality-start", middles)
     factor = _consistency(SUBSET, len(_X))
     for _ in range(STEPS):
         limits = met(now).groupBy(group).agg(*[F.percentile_approx(_distance(t), SUBSET, 1000).alias(f"{t}_limit") for t in _STARTS])
-        limited = staged(now.join(limits, group), "quality-limits")
+        limited = staged(now.join(limits, group), "quality-limits", now)
         # The distance stands once for each start in the plan; the sums refer to whether a row is near.
         near = met(limited).select(group, *_X, *[(_distance(t) <= F.col(f"{t}_limit")).alias(f"{t}_near") for t in _STARTS])
         moments = near.groupBy(group).agg(*[m for t in _STARTS for m in _moments(F.col(f"{t}_near"), t)])
-        now = staged(moments.select(group, *[_estimate(_centre(t), _covariance(t), factor, t) for t in _STARTS]), "quality-step")
+        now = staged(moments.select(group, *[_estimate(_centre(t), _covariance(t), factor, t) for t in _STARTS]), "quality-step", limited)
     return now.select(group, F.when(F.col("a.log_det") <= F.col("b.log_det"), F.col("a")).otherwise(F.col("b")).alias("e"))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """statistics() with `distance` (squared Mahalanobis distance, null where no group is large enough) and `kept`.
 
-    A document is kept if the base rules pass and its distance is at most CUTOFF or null. Null texts and texts
-    without words fail the base rules. Null languages and sources form groups of their own. Repeated rows each keep a
-    row. No rows in: no rows out.
+    A document is kept if the base rules pass and its distance is at most CUTOFF or null; a distance equal to CUTOFF passes, and rows
+    whose distances tie at a subset's limit all count. Null texts and texts without words fail the base rules. Null languages
+    and sources form groups of their own. Texts of any length are counted whole. Repeated rows each keep a row. Other columns
+    keep their values, whatever their names. No rows in: no rows out.
     """
-    return _judged(staged(vectors(statistics(docs, keep)), "quality-counts"))
+    return _judged(staged_rows(vectors(statistics(docs, keep)), "quality-counts"))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
     # JSON of a struct leaves nulls out, so a null language or source is a group of its own.
     own, wide = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang", F.lit("*").alias("any")))
     clean = rows.filter(~F.col("base_failed")).select(F.explode(F.array(own, wide)).alias("group"), *_X)
-    found = robust_estimates(staged(clean, "quality-vectors"), "group")
-    one, two = found.select(F.col("group").alias("g1"), F.col("e").alias("e1")), found.select(F.col("group").alias("g2"), F.col("e").alias("e2"))
-    met = rows.join(one, own == F.col("g1"), "left").join(two, wide == F.col("g2"), "left")
+    found = staged(robust_estimates(staged(clean, "quality-vectors"), "group"), "quality-estimates")
+    groups = found.count()
+    met = rows.withColumns({"g1": own, "g2": wide})
+    for k in (1, 2):
+        met = _with_estimates(met, found.select(F.col("group").alias(f"g{k}"), F.col("e").alias(f"e{k}")), f"g{k}", groups, "left")
     met = met.select(*rows.columns, F.coalesce("e1", "e2").alias("e")).withColumn("distance", _distance("e")).drop("e")
     met = met.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF)))
     return met
@@ -263,4 +267,4 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    return judge(docs).filter("kept").select("_row.*")
+    return unpacked(judge(docs).filter("kept").select("_row"), docs.columns)

@@ -16,8 +16,7 @@ SHARD_BYTES = 1 << 20
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return sharding.assign(docs, ["doc_id"], F.octet_length(docs["text"]), SHARD_BYTES)
+    return sharding.assign(table(spark, sf_dir, "documents"), ["doc_id"], "text", SHARD_BYTES)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +38,16 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded again: decoded_md5 is that of the text that the ids give back."""
     found = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = sentencepiece_codec.decode(found.select("_row.doc_id", F.col("_ids").alias("ids"), "_exact", "_parity"))
     return found.select(
         F.col("_row.doc_id").alias("doc_id"),
-        F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.xxhash64("_ids").alias("ids_xxhash64"),
-        F.col("_exact").alias("exact"),
-        F.col("_parity").alias("parity"),
+        F.coalesce(F.size("_row.ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.xxhash64("_row.ids").alias("ids_xxhash64"),
+        F.md5("_text").alias("decoded_md5"),
+        F.col("_row._exact").alias("exact"),
+        F.col("_row._parity").alias("parity"),
     )
 
 
@@ -165,13 +167,15 @@ found AS (
 good AS (
   SELECT * FROM found WHERE (rank = 0 AND length(value) >= {secrets.MIN_VALUE}) OR rank IN (1, 2) OR (rank = 3 AND {_RANDOM})
 ),
-owners AS (SELECT value, count(DISTINCT owner) AS n_owners FROM good GROUP BY value),
-judged AS (SELECT g.*, n_owners, n_owners <= {secrets.MAX_LIVE} AND {_RANDOM.replace("value", "g.value")} AS live FROM good g JOIN owners o ON g.value = o.value),
+owners AS (
+  SELECT value, count(DISTINCT owner) <= {secrets.MAX_LIVE} AND count(DISTINCT owner || chr(9) || repository) <= {secrets.MAX_REPOSITORIES} AS few FROM good GROUP BY value
+),
+judged AS (SELECT g.*, few, few AND {_RANDOM.replace("value", "g.value")} AS live FROM good g JOIN owners o ON g.value = o.value),
 docwise AS (
   SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3 OR live) AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (n_owners > {secrets.MAX_LIVE}) AS n_copied
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT few) AS n_copied
   FROM judged GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
@@ -183,9 +187,10 @@ _LINES = f"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents
 ),
-long_lines AS (SELECT * FROM lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {line_dedup.MIN_WORDS}),
+long_lines AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines WHERE words > 0),
 boiler AS (
-  SELECT line, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM long_lines GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+  SELECT line, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM long_lines GROUP BY line
+  HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES} OR (max(words) > {line_dedup.PASSAGE} AND count(DISTINCT doc_id) > 1)
 ),
 gone AS (SELECT l.doc_id, l.pos FROM long_lines l JOIN boiler b ON l.line = b.line AND struct_pack(doc_id := l.doc_id, pos := l.pos) <> b.first)
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,

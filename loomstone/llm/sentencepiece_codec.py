@@ -8,6 +8,10 @@ and their scores. Batches are encoded and decoded on several threads.
 If no piece holds the marker behind another character, no piece ever reaches from a character to a following marker, so
 the text may be split there without changing any id; each distinct chunk is then encoded once and remembered.
 
+Parity with the sentencepiece library is verified for every text. Where the model's normaliser only adds and replaces markers, the library,
+too, works chunk by chunk, so each distinct chunk is compared once, with its ids, and remembered; a text is equal if its chunks are.
+Texts of other models, and texts with a chunk that differs, are compared whole.
+
 The model is read on the driver from `path` and travels to the tasks as bytes (a vocabulary: bounded by its file).
 """
 
@@ -26,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import packed
+
 MARK = "▁"
 #: Rows that the tokenizers library encodes at once, and the bytes of text at which a batch is cut.
 BATCH_ROWS = 256
@@ -35,8 +41,6 @@ THREADS = 2
 
 #: Distinct chunks that a worker remembers.
 MEMORY = 1 << 18
-#: One text in so many is also encoded by the sentencepiece library, as a check.
-PARITY_EVERY = 64
 #: Markers and the characters behind them.
 CHUNK = f"{MARK}*[^{MARK}]+|{MARK}+"
 _CHUNK = re.compile(CHUNK)
@@ -161,7 +165,9 @@ class Codec:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         from tokenizers import Regex, Tokenizer, decoders, pre_tokenizers
 
-        self.data, self.model = data, Model.parse(data)
+        import sentencepiece
+
+        self.model, self.reference = Model.parse(data), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.tokenizer = build(self.model)
         self.chunker = Tokenizer(self.tokenizer.model)
         self.chunker.pre_tokenizer = pre_tokenizers.Split(Regex(CHUNK), "isolated")
@@ -173,7 +179,7 @@ class Codec:
 
     def forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.pool, self.begin, self.length, self.same = ([np.zeros(0, t)] for t in (np.int32, np.int64, np.int64, bool))
+        self.pool, self.begin, self.length, self.same, self.equal = ([np.zeros(0, t)] for t in (np.int32, np.int64, np.int64, bool, bool))
         self.pooled = 0
 
     def normalise(self, text: str) -> str:
@@ -194,8 +200,9 @@ class Codec:
             again: list[list[str]] = []
             for g, t, i, d in zip(groups, texts, ids, back, strict=True):
                 array, same = np.array(i, np.int32), d == t.replace(MARK, " ")
+                equal = self.plain and self.model.add_dummy_prefix and t[0] == MARK and self.reference.encode(t[1:].replace(MARK, " ")) == i
                 starts = np.nonzero(self.opens[array])[0] if len(g) > 1 else np.zeros(1, np.int64)
-                if len(g) > 1 and (not same or len(starts) != len(g)):
+                if len(g) > 1 and (not same or not equal or len(starts) != len(g)):
                     again += [[c] for c in g]
                     continue
                 at = len(self.places)
@@ -204,47 +211,42 @@ class Codec:
                 self.begin.append(starts + self.pooled)
                 self.length.append(np.diff(np.append(starts, len(array))))
                 self.same.append(np.full(len(g), same))
+                self.equal.append(np.full(len(g), equal))
                 self.pooled += len(array)
             groups = again
-        self.pool, self.begin, self.length, self.same = ([np.concatenate(x)] for x in (self.pool, self.begin, self.length, self.same))
+        self.pool, self.begin, self.length, self.same, self.equal = ([np.concatenate(x)] for x in (self.pool, self.begin, self.length, self.same, self.equal))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of every text."""
-        return [ids.tolist() for ids, _ in self.round_trip(texts)]
+        return [ids.tolist() for ids, *_ in self.round_trip(texts)]
 
-    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Every text's ids, and whether they decode to the normalised text."""
+    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """Every text's ids, whether they decode to the normalised text, and whether the sentencepiece library gives the same ids."""
         if not self.splits:
             all_ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             wanted = [self.normalise(t).replace(MARK, " ").removeprefix(" " * self.model.add_dummy_prefix) for t in texts]
-            return [(np.array(i, np.int32), d == w) for i, d, w in zip(all_ids, self.decode(all_ids), wanted, strict=True)]
+            back = self.decode(all_ids)
+            return [(np.array(i, np.int32), d == w, self.reference.encode(t) == i) for i, d, w, t in zip(all_ids, back, wanted, texts, strict=True)]
         chunks = [_CHUNK.findall(self.normalise(t)) for t in texts]
         if len(self.places) > MEMORY:
             self.forget()
         known = self.places.keys()
         if new := [c for c in set().union(*chunks) if c not in known]:
             self.learn(new)
-        pool, begin, length, same = self.pool[0], self.begin[0], self.length[0], self.same[0]
+        pool, begin, length, same, equal = self.pool[0], self.begin[0], self.length[0], self.same[0], self.equal[0]
         out = []
-        for x in chunks:
+        for t, x in zip(texts, chunks, strict=True):
             at = np.fromiter(map(self.places.__getitem__, x), np.int64, len(x))
             n = length[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(x) else 0
-            out.append((pool[np.arange(total) + np.repeat(begin[at] - ends + n, n)], bool(same[at].all())))
+            ids = pool[np.arange(total) + np.repeat(begin[at] - ends + n, n)]
+            out.append((ids, bool(same[at].all()), bool(equal[at].all()) or self.reference.encode(t) == ids.tolist()))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def parity(self, text: str, ids: np.ndarray) -> bool:
-        """Whether the sentencepiece library gives the same ids."""
-        if not hasattr(self, "reference"):
-            import sentencepiece
-
-            self.reference = sentencepiece.SentencePieceProcessor(model_proto=self.data)
-        return self.reference.encode(text) == ids.tolist()
-
 
 _codecs: dict[str, Codec] = {}
 
@@ -270,22 +272,18 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(
-    docs: DataFrame, model_path: str = MODEL, keep: list[str] | None = None, parity_every: int = PARITY_EVERY
-) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """docs' columns `keep` (all by default; struct `_row`) with `_ids` (token ids), `_exact` (whether the ids decode to the
-    normalised text) and `_parity` (whether the sentencepiece library gives the same ids; checked for the texts whose
-    XXH64 is divisible by parity_every, else null; no result depends on it).
+    normalised text) and `_parity` (whether the sentencepiece library gives the same ids).
 
-    A null text has null ids and a null `_exact`; an empty text has no ids. Texts of any length are encoded whole.
-    Repeated rows are encoded alike. No rows in: no rows out.
+    A null text has null ids, `_exact` and `_parity`; an empty text has no ids. Texts of any length are encoded whole. Of merges that tie
+    the leftmost comes first, as in the sentencepiece library. Repeated rows are encoded alike. Other columns keep their values,
+    whatever their names. No rows in: no rows out.
     """
     with open(model_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = docs.columns if keep is None else keep
-    row = F.struct(*[docs[c] for c in names]) if names else F.struct(F.lit(None).cast("string").alias("none"))
-    text = docs["text"].cast("string")
-    source = docs.select(text.alias("_text"), (F.pmod(F.xxhash64(text), F.lit(parity_every)) == 0).alias("_check"), row.alias("_row"))
+    bare, own, row = packed(docs, keep)
+    source = bare.select(F.col(own["text"]).cast("string").alias("_text"), row.alias("_row"))
     none = F.lit(None)
     schema = source.select(
         "_row", none.cast("array<int>").alias("_ids"), none.cast("boolean").alias("_exact"), none.cast("boolean").alias("_parity")
@@ -296,25 +294,29 @@ def encode(
         for batch in batches:
             for a, b in _slices(batch.column(0)):
                 part = batch.slice(a, b - a)
-                texts, check = part.column(0).to_pylist(), part.column(1).to_pylist()
+                texts = part.column(0).to_pylist()
                 found = tool.round_trip([t or "" for t in texts])
-                ends = np.cumsum([0, *(len(ids) for ids, _ in found)])
-                flat = np.concatenate([ids for ids, _ in found]).astype(np.int32)
+                ends = np.cumsum([0, *(len(ids) for ids, *_ in found)])
+                flat = np.concatenate([ids for ids, *_ in found]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
-                exact = [None if t is None else ok for t, (_, ok) in zip(texts, found, strict=True)]
-                same = [tool.parity(t, ids) if c and t is not None else None for t, c, (ids, _) in zip(texts, check, found, strict=True)]
+                exact, parity = ([None if t is None else f[k] for t, f in zip(texts, found, strict=True)] for k in (1, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2), lists, pa.array(exact, pa.bool_()), pa.array(same, pa.bool_())], names=["_row", "_ids", "_exact", "_parity"]
+                    [part.column(1), lists, pa.array(exact, pa.bool_()), pa.array(parity, pa.bool_())], names=["_row", "_ids", "_exact", "_parity"]
                 )
 
     return source.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, ids: str = "ids", model_path: str = MODEL) -> DataFrame:
-    """tokens' rows (struct `_row`) with `_text`, the text of the ids; null ids give a null text."""
+    """tokens' rows (struct `_row`) with `_text`, the text of the ids.
+
+    Null ids give a null text, null members are left out. Lists of any length are decoded whole. Other columns keep their values,
+    whatever their names. No rows in: no rows out.
+    """
     with open(model_path, "rb") as f:
         data = tokens.sparkSession.sparkContext.broadcast(f.read())
-    source = tokens.select(tokens[ids].cast("array<int>").alias("_ids"), F.struct(*[tokens[c] for c in tokens.columns]).alias("_row"))
+    bare, own, row = packed(tokens)
+    source = bare.select(F.col(own[ids]).cast("array<int>").alias("_ids"), row.alias("_row"))
     schema = source.select("_row", F.lit(None).cast("string").alias("_text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

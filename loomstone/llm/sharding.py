@@ -17,8 +17,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from loomstone.llm.common import let, staged
+from loomstone.llm.common import join_split, packed, plain, staged
 
 #: Bits of the hash, taken from the front of an MD5 sum.
 BITS = 60
@@ -62,13 +63,19 @@ def _settle(leaves: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return out.select("leaf", "bytes", "n", "alike", F.col("s.depth").alias("depth"), F.col("s.shard_bytes").alias("shard_bytes"))
 
 
-def assign(rows: DataFrame, keys: list[str], size: Column, limit: int) -> DataFrame:
+def assign(rows: DataFrame, keys: list[str], size: str, limit: int) -> DataFrame:
     """`keys` of every row with bytes, shard, depth and shard_bytes (bytes of the whole shard).
 
-    shard is the hash prefix in binary digits ("" if one shard holds everything), with ".page" behind it for overflow pages. Null
-    keys hash alike, null sizes count 0, repeated rows each keep a row. No rows in: no rows out.
+    size: a column of bytes if it is a number, else a column whose own bytes count. shard is the hash prefix in
+    binary digits ("" if one shard holds everything), with ".page" behind it for overflow pages. Null keys hash alike, null sizes
+    and texts count 0, texts of any length count whole, repeated rows each keep a row (ties on a hash share its shard or pages). No
+    rows in: no rows out. Other columns, whatever their names, are ignored.
     """
-    hashed = rows.select(*[rows[k].alias(f"k_{i}") for i, k in enumerate(keys)], hash60(*[rows[k] for k in keys]).alias("h"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"))
+    bare, own = plain(rows)
+    number = isinstance(bare.schema[own[size]].dataType, NumericType)
+    counted = F.col(own[size]) if number else F.octet_length(F.col(own[size]).cast("string"))
+    key = [F.col(own[k]) for k in keys]
+    hashed = bare.select(*[c.alias(f"k_{i}") for i, c in enumerate(key)], hash60(*key).alias("h"), F.coalesce(counted, F.lit(0)).cast("long").alias("bytes"), F.spark_partition_id().alias("part"))
     pending = hashed = staged(hashed, "shards-rows")
     total = hashed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     low = max(0, math.ceil(math.log2(max(1, total / limit))) - 2)
@@ -81,17 +88,17 @@ def assign(rows: DataFrame, keys: list[str], size: Column, limit: int) -> DataFr
         settled = staged(_settle(leaves, low, high, limit), "shards-leaves")
         placed = pending.withColumn("leaf", _prefix("h", high))
         names = [c for c in hashed.columns]
-        fits = placed.join(settled.filter("depth is not null").select("leaf", "depth", "shard_bytes"), "leaf")
+        fits = join_split(placed, settled.filter("depth is not null").select("leaf", "depth", "shard_bytes", "n"), ["leaf"], "n")
         found.append(fits.select(*names, "depth", "shard_bytes", F.lit(None).cast("string").alias("page")))
         over = settled.filter("depth is null")
         if over.isEmpty():
             break
         alike = over.filter("alike") if high < BITS else over
-        found.append(_overflow(placed.join(alike.select("leaf"), "leaf").select(*names), limit, high))
+        found.append(_overflow(join_split(placed, alike.select("leaf", "n"), ["leaf"], "n").select(*names), limit, high))
         rest = over.filter("not alike")
         if high == BITS or rest.isEmpty():
             break
-        pending = staged(placed.join(rest.select("leaf"), "leaf", "left_semi").select(*names), "shards-rows")
+        pending = staged(join_split(placed, rest.select("leaf", "n"), ["leaf"], "n").select(*names), "shards-rows")
         low = high + 1
     out = found[0]
     for part in found[1:]:
@@ -102,12 +109,11 @@ def assign(rows: DataFrame, keys: list[str], size: Column, limit: int) -> DataFr
 
 
 def _overflow(rows: DataFrame, limit: int, depth: int) -> DataFrame:
-    """Pages for rows of buckets that no further bit splits, filled within the input's partitions.
+    """Pages for rows of buckets that no further bit splits, filled within the input's partitions (part).
 
     A row of at most half the limit goes to the half-limit window in which its running sum starts, so a page never exceeds
     the limit; a larger row is a page of its own.
     """
-    rows = rows.withColumn("part", F.spark_partition_id())
     large = F.col("bytes") * 2 > limit
     order = Window.partitionBy("h", "part", large).orderBy("bytes")
     before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -115,10 +121,10 @@ def _overflow(rows: DataFrame, limit: int, depth: int) -> DataFrame:
     page = F.concat_ws("-", F.when(large, "l").otherwise("s"), "part", slot.cast("string"))
     paged = rows.withColumn("page", page)
     sizes = paged.groupBy("h", "page").agg(F.sum("bytes").alias("shard_bytes"))
-    return paged.join(sizes, ["h", "page"]).select(*[c for c in rows.columns if c != "part"], F.lit(depth).alias("depth"), "shard_bytes", "page")
+    return paged.join(sizes, ["h", "page"]).select(*rows.columns, F.lit(depth).alias("depth"), "shard_bytes", "page")
 
 
-def write_shards(rows: DataFrame, keys: list[str], size: Column, limit: int, path: str) -> DataFrame:
+def write_shards(rows: DataFrame, keys: list[str], size: str, limit: int, path: str) -> DataFrame:
     """Write rows as one Parquet folder for each shard under `path` and return the directory: shard, rows and bytes.
 
     The folders are shard=s<bits>; where rows has a column shard, its name gets underscores until it is free. `keys` must
@@ -129,7 +135,8 @@ def write_shards(rows: DataFrame, keys: list[str], size: Column, limit: int, pat
         name += "_"
     shards = staged(assign(rows, keys, size, limit), "shards")
     own = shards.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.concat(F.lit("s"), "shard").alias("folder"))
-    row = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), *[rows[k].alias(f"of_{i}") for i, k in enumerate(keys)])
+    bare, at, whole = packed(rows)
+    row = bare.select(whole.alias("row"), *[F.col(at[k]).alias(f"of_{i}") for i, k in enumerate(keys)])
     same = reduce(lambda a, b: a & b, [F.col(f"of_{i}").eqNullSafe(F.col(f"key_{i}")) for i in range(len(keys))])
     met = row.join(own, same).repartition("folder")
     met.select("row.*", F.col("folder").alias(name)).write.partitionBy(name).parquet(path)

@@ -22,7 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import staged
+from loomstone.llm import near_copies
+from loomstone.llm.common import join_split, plain, staged
+from loomstone.llm.components import components, keep_representatives
 
 RADIUS = 2
 SHINGLE = 3
@@ -69,8 +71,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, th, fp) of every row: th is a hash of the text that tells rows of one doc_id apart, fp holds the 64 bits
     as a signed long."""
-    text = docs["text"].cast("string")
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    bare, own = plain(docs)
+    text = F.col(own["text"]).cast("string")
+    source = bare.select(F.col(own["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     return source.mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
@@ -166,37 +169,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return tiles.groupBy("pair").applyInArrow(compare, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge: root is the smallest node of its connected component.
-
-    Alternates large-star and small-star steps until every node points at its root; each round is staged.
-    """
-
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        both = e if small else e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        if small:
-            both = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        lowest = both.groupBy("src").agg(F.min(F.least("dst", "src")).alias("low"))
-        met = both.join(lowest, "src")
-        out = met.filter(F.col("dst") > F.col("src")) if not small else met
-        moved = out.select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        if small:
-            moved = moved.unionByName(lowest.select("src", F.col("low").alias("dst")))
-        return moved.filter(F.col("src") != F.col("dst")).distinct()
-
-    now = staged(edges.select("src", "dst").filter(F.col("src") != F.col("dst")), "simhash-edges")
-    before = None
-    while True:
-        now = staged(star(star(now, small=False), small=True), "simhash-stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-    return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(
-        now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
-    )
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row for each row of docs: doc_id, th, fp, component_id (the smallest doc_id of its component), and
     representative, true for the (doc_id, th) that stands for the component.
@@ -204,17 +176,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Null and blank texts have fingerprint 0 and link like any other. Rows with equal doc_id each keep a row. A null
     doc_id keeps its row and never names a component: component_id is null where no other doc_id is reachable. The
     representative is the row with the smallest doc_id, nulls last, then the smallest text hash; rows equal in both are
-    all marked. No rows in: no rows out. Other columns are ignored.
+    all marked. Texts of any length are hashed whole. No rows in: no rows out. Other columns, whatever their names, are ignored.
     """
     hashed = staged(fingerprints(docs), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")
-    distinct = staged(hashed.groupBy("fp").agg(first), "simhash-distinct")
+    distinct = staged(hashed.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-distinct")
     roots = staged(components(links(distinct.select("fp"), radius)), "simhash-roots")
     members = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "low")
     lows = members.groupBy("root").agg(F.min("low").alias("low"))
     named = members.select("fp", "root").join(lows, "root").select("fp", F.col("low").alias("joined"))
-    label = distinct.join(named, "fp", "left").select("fp", F.coalesce("joined", "low").alias("low"))
-    return hashed.join(label, "fp").select(
+    label = staged(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("joined", "low").alias("low")), "simhash-labels")
+    return join_split(hashed, label, ["fp"], "n").select(
         "doc_id",
         "th",
         "fp",
@@ -223,30 +195,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, jaccard: bool = False) -> DataFrame:
     """docs without near-duplicates: the representative of every component stays, with all columns of docs.
 
-    Of rows that repeat its doc_id and text one stays, the one with the smallest hash of the whole row.
+    With jaccard, documents are linked whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more (near_copies: the same
+    tiles, exclusive-or and bit counts over wider fingerprints, which lose no such pair). Of rows that repeat the
+    representative's doc_id and text one stays, the one with the smallest hash of the whole row. The cases of near_duplicates() hold.
     """
-    return keep_representatives(docs, near_duplicates(docs, radius))
-
-
-def keep_representatives(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The rows of docs that marked (doc_id, th, representative) names, one for each doc_id and th."""
-    found = marked.filter("representative").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    heads = staged(found, "simhash-heads")
-    row = docs.select(
-        docs["doc_id"].cast("long").alias("_id"),
-        F.xxhash64(docs["text"].cast("string")).alias("_th"),
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
-    )
-
-    def at(keys: DataFrame) -> DataFrame:
-        return row.join(keys, row["_id"].eqNullSafe(keys["doc_id"]) & (row["_th"] == keys["th"]), "left_semi")
-
-    single = at(heads.filter("n = 1")).select("_row.*")
-    repeated = heads.filter("n > 1")
-    if repeated.isEmpty():
-        return single
-    one = at(repeated).groupBy("_id", "_th").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    return single.unionByName(one.select("_row.*"))
+    return keep_representatives(docs, near_copies.near_duplicates(docs) if jaccard else near_duplicates(docs, radius))

@@ -7,9 +7,15 @@ A document's terms are its distinct words and their first bytes, hashed to BUCKE
 so beside the additive weights w it learns from the factors v which pairs, such as an insult and a group that is named,
 weigh more together than alone. The pairwise sum is computed as half of (sum v x)^2 - sum (v x)^2.
 
-Training uses a bounded sample: the MAX_ROWS labelled rows whose doc_id has the smallest hash (all of them in smaller
-tables). Spark counts the sample's buckets by label; the FEATURES buckets with the largest log-odds z-scores make the
-machine's inputs. One task fits it; the model is a few thousand numbers. Scoring runs over all rows in Arrow batches.
+Training uses a bounded sample: the MAX_ROWS labelled rows whose doc_id has the smallest hash (all of them in smaller tables). One
+task fits the machine on the sample's bucket ids, over every bucket with evidence, however many there are:
+
+* singly: the log-odds of the label with and without the bucket differ by Z_SINGLE standard errors or more;
+* in pairs: what the machine of the single buckets leaves unexplained (label minus score, the scores first fitted to the labels by a
+  line on the logit) adds up, over the texts that hold both of two buckets, to Z_PAIR standard errors or more. Buckets in at least SUPPORT of the texts are tried against each other, so a pair
+  whose members say nothing alone is found too; a rarer pair that says much shows in its members.
+
+The model is a few numbers a bucket (at most BUCKETS of them). Scoring runs over all rows in Arrow batches.
 """
 
 from __future__ import annotations
@@ -25,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import column_or_null, staged
+from loomstone.llm.common import column_or_null, plain, staged
 
 BUCKETS = 1 << 20
 MAX_ROWS = 16_384
-FEATURES = 1024
+Z_SINGLE = 3.0
+Z_PAIR = 7.0
+SUPPORT = 1 / 32
 FACTORS = 8
 STEPS = 200
 RATE = 0.05
@@ -55,32 +63,119 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive segments of values."""
+    out = np.zeros((len(sizes), *values.shape[1:]), np.float32)
+    full = sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, starts[full], axis=0)
+    return out
+
+
+def _places(ids: list[np.ndarray], buckets: np.ndarray) -> list[np.ndarray]:
+    """Where each row's ids stand in buckets (sorted); others are left out."""
+    if not len(buckets):
+        return [np.zeros(0, np.int64) for _ in ids]
+    near = [np.minimum(np.searchsorted(buckets, r), len(buckets) - 1) for r in ids]
+    return [k[buckets[k] == r] for k, r in zip(near, ids, strict=True)]
+
+
+def single_evidence(ids: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the rows, how many rows hold each, and the z-score of its log-odds (0 for a bucket of one row)."""
+    every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    buckets, place = np.unique(every, return_inverse=True)
+    n, positive = len(ids), float(labels.sum())
+    held = np.bincount(place, minlength=len(buckets))
+    toxic = np.bincount(place, weights=np.repeat(labels, [len(r) for r in ids]), minlength=len(buckets))
+    a, b = toxic + 0.5, held - toxic + 0.5
+    odds = np.log(a / (positive + 1 - a)) - np.log(b / (n - positive + 1 - b))
+    return buckets, held, np.where(held > 1, odds / np.sqrt(1 / a + 1 / b), 0)
+
+
+def paired_evidence(ids: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, buckets: np.ndarray, block: int = 512) -> np.ndarray:
+    """Which of buckets are in a pair in whose rows labels exceed (or fall below) their expected sum by Z_PAIR standard errors or more."""
+    found = np.zeros(len(buckets), bool)
+    x = np.zeros((len(ids), len(buckets)), np.float32)
+    for i, r in enumerate(_places(ids, buckets)):
+        x[i, r] = 1
+    g, variance = (labels - expected).astype(np.float32)[:, None], (expected * (1 - expected)).astype(np.float32)[:, None]
+    for i in range(0, len(buckets), block):
+        left = x[:, i : i + block]
+        for j in range(i, len(buckets), block):
+            right = x[:, j : j + block]
+            total, spread = (left * g).T @ right, (left * variance).T @ right
+            strong = np.abs(total) >= Z_PAIR * np.sqrt(np.maximum(spread, 1.0))
+            if i == j:
+                np.fill_diagonal(strong, False)
+            found[i : i + block] |= strong.any(axis=1)
+            found[j : j + block] |= strong.any(axis=0)
+    return found
+
+
+def calibrated(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Probabilities from a line on the logits, fitted to the labels by Newton's method; without it the regularised machine would leave
+    every text of one label with a residual of one sign."""
+    x = np.stack((np.ones(len(logits)), logits), axis=1)
+    line = np.array([0.0, 1.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (labels - p))
+        line = line + np.clip(step, -2, 2)
+    return 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
+
+
+def learn(ids: list[np.ndarray], labels: np.ndarray) -> Machine:
+    """The machine of the buckets with evidence, single or in pairs."""
+    buckets, held, z = single_evidence(ids, labels)
+    single = np.abs(z) >= Z_SINGLE
+    machine = Machine.fit(buckets[single], _places(ids, buckets[single]), labels)
+    if not len(ids):
+        return machine
+    frequent = buckets[(held >= max(8, SUPPORT * len(ids))) & (held < len(ids))]
+    score = np.array([machine.of(r) for r in _places(ids, buckets[single])])
+    more = frequent[paired_evidence(ids, labels, calibrated(np.log(score / (1 - score)), labels), frequent)]
+    chosen = np.union1d(buckets[single], more)
+    return machine if len(chosen) == single.sum() else Machine.fit(chosen, _places(ids, chosen), labels)
+
+
 class Machine:
-    """A fitted factorization machine."""
+    """A fitted factorization machine; buckets are sorted."""
 
     def __init__(self, buckets: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
         self.buckets, self.bias, self.w, self.v = buckets, bias, w, v
-        self.place = {int(b): i for i, b in enumerate(buckets)}
+        self.place = np.full(BUCKETS, -1, np.int32)
+        self.place[buckets] = np.arange(len(buckets))
         self.memory: dict[bytes, tuple[int, ...]] = {}
 
     @classmethod
     def fit(cls, buckets: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-        """Full-batch logistic loss with Adam; rows hold the places of present buckets."""
+        """Full-batch logistic loss with Adam; rows hold the places of present buckets, each once."""
         n, p = len(rows), len(buckets)
-        x = np.zeros((n, p), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r] = 1
+        sizes = np.array([len(r) for r in rows], np.int64)
+        at = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
+        who = np.repeat(np.arange(n), sizes)
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(at, kind="stable")
+        holders, held = who[order], np.bincount(at, minlength=p)
+        opens = np.cumsum(held) - held
+
+        def by_row(values: np.ndarray) -> np.ndarray:
+            return _sums(values[at], starts, sizes)
+
+        def by_bucket(values: np.ndarray) -> np.ndarray:
+            return _sums(values[holders], opens, held)
+
         y = labels.astype(np.float32)
         rate = min(max(float(y.mean()) if n else 0.0, 1e-3), 1 - 1e-3)
         values = [np.float32(math.log(rate / (1 - rate))), np.zeros(p, np.float32), np.random.default_rng(0).normal(0, 0.05, (p, FACTORS)).astype(np.float32)]
         first, second = [np.zeros_like(a) for a in values], [np.zeros_like(a) for a in values]
         for step in range(1, STEPS + 1 if n else 1):
             bias, w, v = values
-            xv = x @ v
-            score = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - x @ (v**2).sum(axis=1))
+            xv = by_row(v)
+            score = bias + by_row(w) + 0.5 * ((xv**2).sum(axis=1) - by_row((v**2).sum(axis=1)))
             g = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) / n
-            xg = x.T @ g
-            grads = [g.sum(), xg + DECAY / 10 * w, x.T @ (g[:, None] * xv) - xg[:, None] * v + DECAY * v]
+            xg = by_bucket(g)
+            grads = [g.sum(), xg + DECAY / 10 * w, by_bucket(g[:, None] * xv) - xg[:, None] * v + DECAY * v]
             for k, grad in enumerate(grads):
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad**2
@@ -105,13 +200,16 @@ class Machine:
         for word in distinct_words(text):
             places = memory.get(word)
             if places is None:
-                places = memory[word] = tuple(self.place[b] for b in terms_of(word) if b in self.place)
+                places = memory[word] = tuple(p for p in self.place[terms_of(word)].tolist() if p >= 0)
             if places:
                 found.update(places)
         return sorted(found)
 
     def score(self, text: bytes | None) -> float:
-        at = self.present(text)
+        return self.of(self.present(text))
+
+    def of(self, at: list[int] | np.ndarray) -> float:
+        """The score of a text that holds the buckets at these places."""
         v = self.v[at]
         total = self.bias + float(self.w[at].sum()) + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum())
         return 1 / (1 + math.exp(-min(max(total, -30.0), 30.0)))
@@ -129,42 +227,34 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fit on the labelled rows that are not held out.
 
     labels: doc_id and toxic. Null doc_ids and null labels teach nothing; of a doc_id's several labels the largest counts, and of its
-    several texts the smallest. Without any labelled row every text scores the same, near 0.
+    several texts the smallest. Rows that tie on the sample's hash are taken by doc_id. Without any labelled row every text scores the
+    same, near 0. Other columns, whatever their names, are ignored.
     """
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label"))
+    marks, at = plain(labels)
+    known = marks.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["toxic"]).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)  # at most MAX_ROWS rows of 12 bytes
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    bare, own = plain(docs)
+    texts = bare.select(F.col(own["doc_id"]).cast("long").alias("doc_id"), F.col(own["text"]).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = staged(rows.select((F.col("label") > 0).cast("int").alias("label"), "text").mapInArrow(_buckets, "label int, ids array<int>"), "toxicity-sample")
-    size = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    n, positive = size[0], size[1]
-    counts = rows.select("label", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("label").alias("a"), F.count("*").alias("all"))
-    a, b = F.col("a") + 0.5, F.col("all") - F.col("a") + 0.5
-    odds = F.ln(a / (F.lit(positive + 1.0) - a)) - F.ln(b / (F.lit(n - positive + 1.0) - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    best = counts.filter("all >= 2").select("id", F.abs(z).alias("z")).orderBy(F.desc("z"), "id").limit(FEATURES)
-    buckets = np.array(sorted(r["id"] for r in best.collect()), np.int64)
 
     def fit(sampled: pd.DataFrame) -> pd.DataFrame:
-        place = {int(x): i for i, x in enumerate(buckets)}
-        order = sampled.assign(key=[tuple(x) for x in sampled["ids"]]).sort_values(["label", "key"])
-        found = [np.array([place[i] for i in ids if i in place], np.int64) for ids in order["ids"]]
-        model = Machine.fit(buckets, found, order["label"].to_numpy())
+        ids = [np.array(x, np.int64) for x in sampled["ids"]]
+        order = sorted(range(len(ids)), key=lambda i: (sampled["label"].iloc[i], ids[i].tobytes()))
+        model = learn([ids[i] for i in order], sampled["label"].to_numpy()[order].astype(np.float64))
         return pd.DataFrame({"model": [model.pack()]})
 
-    wanted = F.array(*[F.lit(int(x)) for x in buckets]) if len(buckets) else F.expr("cast(array() as array<int>)")
-    small = rows.select("label", F.array_intersect("ids", wanted).alias("ids"))
-    fitted = small.groupBy(F.lit("all").alias("one")).applyInPandas(fit, "model binary").first()
-    return Machine.unpack(bytes(fitted["model"])) if fitted else Machine.fit(buckets, [], np.zeros(0))
+    fitted = rows.groupBy(F.lit("all").alias("one")).applyInPandas(fit, "model binary").first()
+    return Machine.unpack(bytes(fitted["model"])) if fitted else learn([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs.
 
-    Only the text counts. Null and blank texts have no terms and score the model's bias. Repeated rows each keep a row. No rows
-    in: no rows out. Texts of any length are scored whole.
+    Only the text counts. Null and blank texts have no terms and score the model's bias. Repeated rows each keep a row; equal texts
+    tie. Texts of any length are scored whole. Other columns, whatever their names, are ignored. No rows in: no rows out.
     """
     data = docs.sparkSession.sparkContext.broadcast(model.pack())
 
@@ -176,5 +266,6 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
                 scores = [machine.score(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    source = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    bare, own = plain(docs)
+    source = bare.select(column_or_null(bare, own, "doc_id", "long").alias("doc_id"), F.col(own["text"]).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, score double")

@@ -2,9 +2,10 @@
 
 A URL is judged by the longest rule that fits its host and path. Hosts whose URLs no rule fits are judged by link-graph
 propagation: personalised PageRank from trusted hosts (those that an allow rule fits) along links, and from blocked hosts
-against the direction of links, so that hosts which link to blocked ones are distrusted. Edges are distinct host pairs; a
-step is a join with the edges and a grouped sum, both over staged tables, and the link shares of a host with many links are
-summed before they are shuffled. Seeds, scores and edges stay in Spark. A host is blocked when its distrust exceeds its
+against the direction of links, so that hosts which link to blocked ones are distrusted. Both take their steps together, over one
+table of directed edges. Edges are distinct host pairs; a step is a join with the edges and a grouped sum, and the link shares
+that reach a host are summed before they are shuffled. Hosts with more than one in HOT_SHARE of all links (fewer than
+HOT_SHARE) have their scores sent to their edges. Seeds, scores and edges stay in Spark. A host is blocked when its distrust exceeds its
 trust by the factor BLOCK_RATIO and FLOOR times the mean score of a seed; hosts without evidence are allowed.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ascii_lower, staged
+from loomstone.llm.common import HOT_SHARE, ascii_lower, join_split, plain, release, staged
 
 #: Fixed rules of the contract: (verdict, rule).
 RULES = [
@@ -51,39 +52,54 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]] = RULE
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) host pairs of the pages' absolute links to other hosts."""
-    src, _ = host_and_path(pages["url"].cast("string"))
-    found = F.regexp_extract_all(F.coalesce(pages["html"].cast("string"), F.lit("")), F.lit(LINK), F.lit(2))
-    each = pages.select(src.alias("src"), F.explode(F.array_distinct(F.transform(found, ascii_lower))).alias("dst"))
+    bare, own = plain(pages)
+    src, _ = host_and_path(F.col(own["url"]).cast("string"))
+    found = F.regexp_extract_all(F.coalesce(F.col(own["html"]).cast("string"), F.lit("")), F.lit(LINK), F.lit(2))
+    each = bare.select(src.alias("src"), F.explode(F.array_distinct(F.transform(found, ascii_lower))).alias("dst"))
     return each.filter((F.col("src") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): personalised PageRank from the seeds (host) along (src, dst).
+    """(kind, host, score): personalised PageRank from the seeds (kind, host) along (kind, src, dst), for every kind apart.
 
     Every seed starts with 1 and gets 1 - damping back in every step; score that reaches a host without links ends there.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    shares = staged(edges.join(degree, "src"), "pagerank-edges")
-    base = seeds.select("host", F.lit(1.0 - damping).alias("score"))
-    now = seeds.select("host", F.lit(1.0).alias("score"))
+    degree = edges.groupBy("kind", "src").agg(F.count("*").alias("degree"))
+    shares = staged(edges.join(degree, ["kind", "src"]), "pagerank-edges")
+    limit = shares.count() / HOT_SHARE
+    hubs = shares.filter(F.col("degree") > limit)
+    hub_hosts = hubs.select("kind", F.col("src").alias("host")).distinct()
+    others = shares.filter(F.col("degree") <= limit)
+    base = seeds.select("kind", "host", F.lit(1.0 - damping).alias("score"))
+    now, written = seeds.select("kind", "host", F.lit(1.0).alias("score")), None
     for _ in range(steps):
-        moved = shares.join(now, shares["src"] == now["host"]).select(F.col("dst").alias("host"), (damping * F.col("score") / F.col("degree")).alias("score"))
-        now = staged(moved.unionByName(base).groupBy("host").agg(F.sum("score").alias("score")), "pagerank-step")
+        scores = now.withColumnRenamed("host", "src")
+        far = F.broadcast(now.join(F.broadcast(hub_hosts), ["kind", "host"], "left_semi").withColumnRenamed("host", "src"))
+        met = others.join(scores, ["kind", "src"]).unionByName(hubs.join(far, ["kind", "src"]))
+        moved = met.select("kind", F.col("dst").alias("host"), (damping * F.col("score") / F.col("degree")).alias("score"))
+        now = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        now = written = staged(now, "pagerank-step", written)
+    release(shares)
     return now
 
 
 def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """(host, trust, distrust, blocked) of every host that trust or distrust reaches."""
-    host, path = host_and_path(pages["url"].cast("string"))
+    bare, own = plain(pages)
+    host, path = host_and_path(F.col(own["url"]).cast("string"))
     _, verdict = matched_rule(host, path, rules)
-    hosts = pages.select(host.alias("host"), verdict.alias("verdict")).filter("host != '' and verdict is not null").distinct()
-    hosts = staged(hosts, "hosts-seeds")
-    edges = staged(host_edges(pages), "hosts-edges")
-    trust = propagate(edges, hosts.filter("verdict = 'allow'").select("host"))
-    backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = propagate(backwards, hosts.filter("verdict = 'block'").select("host"))
-    both = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    both = both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    hosts = bare.select(host.alias("host"), verdict.alias("kind")).filter("host != '' and kind is not null").distinct()
+    seeds = staged(hosts, "hosts-seeds")
+    links = host_edges(pages)
+    forth = links.select(F.lit("allow").alias("kind"), "src", "dst")
+    back = links.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    edges = staged(forth.unionByName(back), "hosts-edges")
+    scores = propagate(edges, seeds)
+
+    def of(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
+
+    both = scores.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     blocked = (F.col("distrust") > BLOCK_RATIO * F.col("trust")) & (F.col("distrust") > FLOOR)
     return both.withColumn("blocked", blocked)
 
@@ -91,15 +107,17 @@ def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> Dat
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, trust and distrust.
 
-    Null URLs and URLs without `://` have empty host and path and are allowed. Null html has no links. Repeated rows each keep a
-    row and count once as links. No rows in: no rows out.
+    Null URLs and URLs without `://` have empty host and path and are allowed. Null html has no links; URLs and html of any length are
+    read whole. Repeated rows each keep a row and count once as links. Of equally long rules the first listed wins; a host whose
+    distrust equals its trust is allowed. No rows in: no rows out. Other columns, whatever their names, are ignored.
     """
-    host, path = host_and_path(pages["url"].cast("string"))
-    parsed = pages.select(pages["page_id"].alias("page_id"), host.alias("host"), path.alias("path"))
+    bare, own = plain(pages)
+    host, path = host_and_path(F.col(own["url"]).cast("string"))
+    parsed = bare.select(F.col(own["page_id"]).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    parsed = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    scores = staged(host_verdicts(pages, rules), "hosts-verdicts")
-    met = parsed.join(scores, "host", "left")
+    parsed = staged(parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled")), "hosts-pages")
+    counts = parsed.groupBy("host").agg(F.count("*").alias("n"))
+    met = join_split(parsed, staged(counts.join(host_verdicts(pages, rules), "host", "left"), "hosts-verdicts"), ["host"], "n")
     by_host = F.when(F.coalesce("blocked", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     zero = F.lit(0.0)
     return met.select(
