@@ -93,3 +93,26 @@ def keyword_pairs(units: DataFrame, key: str, keywords: str, threshold: float) -
     shared = F.size(F.array_intersect("ka", "kb"))
     scored = met.select("a", "b", (shared / (F.size("ka") + F.size("kb") - shared)).alias("similarity"))
     return scored.filter(F.col("similarity") >= threshold).distinct()
+
+
+def keyword_links(queries: DataFrame, units: DataFrame, key: str, keywords: str, threshold: float) -> DataFrame:
+    """(id, n, similarity): for every query the sets of keywords with a Jaccard similarity of at least threshold, its own among
+    them, and how many units have each set.
+
+    Both sides are brought down to distinct sets first. Sets meet on keywords by the same prefix filter as in keyword_pairs().
+    """
+    sets = units.select(F.array_sort(F.array_distinct(keywords)).alias("k")).filter(F.size("k") > 0).groupBy("k").agg(F.count("*").alias("n"))
+    asked = queries.select(key, F.array_sort(F.array_distinct(keywords)).alias("k"))
+    rarity = sets.select("n", F.explode("k").alias("w")).groupBy("w").agg(F.sum("n").alias("df"))
+
+    def prefix(of: DataFrame) -> DataFrame:
+        each = of.select("k", F.explode("k").alias("w")).join(rarity, "w").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+        size = F.size("k")
+        return each.select("k", F.explode(F.slice(F.transform("o", lambda x: x["w"]), F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("w"))
+
+    left = prefix(asked.select("k").distinct()).withColumnRenamed("k", "ka")
+    met = left.join(prefix(sets.select("k")).withColumnRenamed("k", "kb"), "w").select("ka", "kb").distinct()
+    shared = F.size(F.array_intersect("ka", "kb"))
+    scored = met.withColumn("similarity", shared / (F.size("ka") + F.size("kb") - shared)).filter(F.col("similarity") >= threshold - 1e-9)
+    counted = scored.join(sets, scored["kb"] == sets["k"]).select("ka", "n", "similarity")
+    return asked.join(counted, asked["k"] == counted["ka"]).select(F.col(key).alias("id"), "n", "similarity")

@@ -73,19 +73,28 @@ def _matches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     each = F.array(*[rule(i) for i in range(len(PATTERNS))])
     per = docs.select(key, text, F.explode(F.filter(each, lambda m: F.size(m["found"]) > 0)).alias("m"))
-    one = per.select(key, text, "m.*", F.posexplode("m.found").alias("i", "value"))
-    before = F.aggregate(F.slice("between", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, x: a + F.length(x))
-    earlier = F.aggregate(F.slice("found", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
-    return one.select(key, text, "rule", "type", "kind", "confidence", "value", (before + earlier).alias("start"))
+    # A rule's matches as rows without the text; running sums of their lengths and of the gaps before them give the places.
+    gaps = F.transform("m.found", lambda v, i: F.struct(v.alias("value"), F.length(F.col("m.between")[i]).alias("gap")))
+    one = per.select(key, "m.rule", "m.type", "m.kind", "m.confidence", gaps.alias("g")).select(key, "rule", "type", "kind", "confidence", F.posexplode("g").alias("i", "g"))
+    end = F.sum(F.col("g.gap") + F.length("g.value")).over(Window.partitionBy(key, "rule").orderBy("i"))
+    return one.select(key, "rule", "type", "kind", "confidence", F.col("g.value").alias("value"), end.cast("int").alias("end"))
 
 
 def detect(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, type, kind, value_md5, start, end, confidence and false_positive. Of overlapping detections that start at the same
     place or within the one before, the more confident stays, then the longer."""
-    m = _matches(docs.select(key, text), key, text).withColumn("end", F.col("start") + F.length("value"))
-    head = F.substring_index(F.substring(text, F.lit(1), F.col("start")), "\n", -1)
-    tail = F.substring_index(F.col(text).substr(F.col("start") + 1, F.length(text)), "\n", 1)
-    line = F.concat(head, tail)
+    m = _matches(docs.select(key, text), key, text).withColumn("start", F.col("end") - F.length("value"))
+    # Lines as (start, line), met by the matches that start in them; only lines of texts with a match are looked at.
+    texts = docs.select(key, text).join(m.select(key).distinct(), key, "left_semi").select(key, F.split(text, "\n").alias("lines"))
+    lines = texts.select(key, F.posexplode("lines").alias("n", "line"))
+    till = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("n"))
+    lines = lines.select(key, "line", (till - F.length("line") - 1).cast("int").alias("start"))
+    both = m.select(key, "rule", "type", "kind", "confidence", "value", "start", "end", F.lit(None).cast("string").alias("line"), F.lit(1).alias("side"))
+    none = [F.lit(None).cast(m.schema[c].dataType).alias(c) for c in ("rule", "type", "kind", "confidence", "value")]
+    both = both.unionByName(lines.select(key, *none, "start", F.lit(None).cast("int").alias("end"), "line", F.lit(0).alias("side")))
+    at = F.last("line", ignorenulls=True).over(Window.partitionBy(key).orderBy("start", "side"))
+    m = both.withColumn("line", at).filter("side = 1")
+    line = F.col("line")
     wrong = (
         line.rlike(ALLOWED_LINE) | F.col("value").rlike(MASKED) | F.col("value").rlike(PLACEHOLDER)
         | (line.rlike(CODE_DECLARATION) & (line.rlike(ENV_ACCESS) | (entropy(F.col("value")) <= 3.5)))
@@ -104,12 +113,24 @@ def redact(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -
     found = detect(docs, key, text).filter(~F.col("false_positive") & (F.col("confidence") >= threshold))
     spans = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
 
-    def cut(acc, s):
-        piece = F.col(text).substr(acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))
-        mark = F.concat(F.lit("[REDACTED:"), F.upper(s["type"]), F.lit("]"))
-        return F.struct(s["end"].cast("int").alias("at"), F.concat(acc["out"], piece, mark).alias("out"))
+    def piece(s, i):
+        """The text from the span before to this one, and its mark."""
+        before = F.when(i == 0, F.lit(0)).otherwise(F.col("spans")[F.greatest(i - 1, F.lit(0))]["end"])
+        return F.concat(F.col(text).substr((before + 1).cast("int"), (s["start"] - before).cast("int")), F.lit("[REDACTED:"), F.upper(s["type"]), F.lit("]"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("spans", zero, cut, lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text))))
+    rest = F.col(text).substr((F.element_at("spans", -1)["end"] + 1).cast("int"), F.length(text))
+    whole = F.concat(F.array_join(F.transform("spans", piece), ""), rest)
     met = docs.select(key, text).join(spans, key, "left")
     return met.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(whole).alias("redacted"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_redacted"))
+
+
+def json_text(raw: Column) -> Column:
+    """Title, content and context of a unit, or of each unit of an array, joined by newlines; other JSON and what is no JSON as it is."""
+    unit = "struct<title:string,content:string,context:string>"
+
+    def joined(u: Column) -> Column:
+        return F.concat_ws("\n", u["title"], u["content"], u["context"])
+
+    one, many = F.from_json(raw, unit), F.from_json(raw, f"array<{unit}>")
+    told = F.when(raw.startswith("["), F.array_join(F.transform(F.filter(many, lambda u: joined(u) != ""), joined), "\n")).otherwise(joined(one))
+    return F.when(told.isNull() | (told == ""), raw).otherwise(told)

@@ -53,28 +53,112 @@ def scored_pairs(spark, sf_dir, threshold: float = 0.7):
     return met.filter(near).select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), score.alias("score")).filter(F.col("score") >= threshold - 1e-9)
 
 
-@query("dup_find", f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM scored WHERE score >= 0.7 - 1e-9")
+_KIND = ["p_type", "p_brand", "p_size", "name"]
+_CLASSES = "cls AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_type, p_brand, p_size, lower(trim(p_name))) AS class_id FROM part)"
+_LINKS = f"""{_PAIRS}, {_CLASSES}, links AS (SELECT a AS k, b AS other, score FROM scored WHERE score >= 0.7 - 1e-9 UNION ALL SELECT b, a, score FROM scored WHERE score >= 0.7 - 1e-9)"""
+
+
+def _similar_names(pairs, low: float):
+    """(name, other, title) of the distinct pairs that are at least `low` and less than 0.95 alike; lengths come before the edit distance."""
+    la, lb = F.length("name"), F.length("other")
+    near = pairs.filter((F.col("name") != F.col("other")) & (F.least(la, lb) >= low * F.greatest(la, lb) - 1e-9)).select("name", "other").distinct()
+    return near.withColumn("title", T.similarity(F.col("name"), F.col("other"))).filter(F.col("title").between(low - 1e-9, 0.95 - 1e-12))
+
+
+def _equal_names(names):
+    """(name, other) of the names that are at least 0.95 alike, each with itself: below 40 characters at most one edit apart, so they
+    share a half; longer names meet by length."""
+    size = F.length("name")
+    sizes = F.array(size - 1, size, size + 1)
+    left = names.filter(size < 40).select("name", F.explode(_halves(F.col("name"), size)).alias("key"))
+    right = names.filter(size < 40).select(F.col("name").alias("other"), F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _halves(F.col("name"), F.greatest(n, F.lit(0))))))).alias("key"))
+    met = left.join(right, "key").select("name", "other")
+    bands = names.select(F.col("name").alias("other"), F.length("name").alias("size"))
+    long = names.filter(size >= 38).select("name", F.explode(F.sequence(F.floor(size * 0.95).cast("int"), F.ceil(size / 0.95).cast("int"))).alias("size"))
+    met = met.unionByName(long.join(bands.filter("size >= 38"), "size").select("name", "other")).distinct()
+    return met.filter((F.col("name") == F.col("other")) | (T.similarity(F.col("name"), F.col("other")) >= 0.95))
+
+
+def class_links(spark, sf_dir):
+    """Links between classes of parts (equal type, brand, size and name) and the names they are similar to: _KIND, score, count (parts
+    behind the link) and low (the smallest of their keys). No pair of parts is ever listed: a class meets
+
+    * all parts of its type whose names are 0.95 alike, itself among them (score 1);
+    * parts of its type, brand and size with names at least 0.4 alike (0.5 of the name, 0.3 and 0.2);
+    * parts of its type and brand, but of another size, with names at least 0.8 alike (0.5 of the name and 0.3).
+    """
+    p = read(spark, sf_dir, "part").select("p_partkey", F.lower(F.trim("p_name")).alias("name"), "p_type", "p_brand", "p_size")
+    count, low = F.count("*").alias("count"), F.min("p_partkey").alias("low")
+    classes = p.groupBy(*_KIND).agg(count, low)
+
+    def others(keys):
+        return p.groupBy(*keys, F.col("name").alias("other")).agg(count, low)
+
+    equal = _equal_names(p.select("name").distinct())
+    alike = classes.select(*_KIND).join(equal, "name").join(others(["p_type"]), ["p_type", "other"]).select(*_KIND, F.lit(1.0).alias("score"), "count", "low")
+    sized, branded = others(["p_type", "p_brand", "p_size"]), others(["p_type", "p_brand"])
+    titles = _similar_names(classes.select(*_KIND).join(sized, ["p_type", "p_brand", "p_size"]), 0.4)
+    same = classes.select(*_KIND).join(sized, ["p_type", "p_brand", "p_size"]).join(titles, ["name", "other"])
+    same = same.select(*_KIND, "other", (0.5 * F.col("title") + 0.5).alias("score"), "count", "low")
+    names = p.select("p_type", "p_brand", "name").distinct()
+    titles = _similar_names(names.join(branded, ["p_type", "p_brand"]), 0.8)
+    rest = classes.select(*_KIND).join(branded, ["p_type", "p_brand"]).join(titles, ["name", "other"])
+    own = sized.select("p_type", "p_brand", "p_size", "other", F.col("count").alias("own"))
+    rest = rest.join(own, ["p_type", "p_brand", "p_size", "other"], "left").withColumn("count", F.col("count") - F.coalesce("own", F.lit(0))).filter("count > 0")
+    rest = rest.select(*_KIND, (0.5 * F.col("title") + 0.3).alias("score"), "count", F.lit(None).cast("long").alias("low"))
+    return alike.unionByName(same.drop("other")).unionByName(rest)
+
+
+def unit_links(spark, sf_dir, *aggregates):
+    """Every part with its class (the smallest key of its equals) and the aggregates over the links of its class. A part is among its
+    own links, once, with score 1."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("full_name"), F.lower(F.trim("p_name")).alias("name"), "p_type", "p_brand", "p_size")
+    per = class_links(spark, sf_dir).groupBy(*_KIND).agg(*aggregates)
+    heads = p.groupBy(*_KIND).agg(F.min("p_partkey").alias("class_id"))
+    return p.join(heads.join(per, _KIND), _KIND)
+
+
+
+
+def _sum(where=None, value=None):
+    value = F.col("count") if value is None else value
+    return F.coalesce(F.sum(value if where is None else F.when(where, value)), F.lit(0))
+
+
+@query("dup_find", f"WITH {_LINKS} SELECT p_partkey, class_id, count(k) AS partners, round(coalesce(max(score), 0), 6) AS best FROM cls LEFT JOIN links ON k = p_partkey GROUP BY 1, 2")
 def dup_find(spark, sf_dir):
-    return scored_pairs(spark, sf_dir).select("a", "b", F.round("score", 6).alias("score"))
+    """Every unit with its class of equals, how many units are 0.7 similar or more, and the best similarity."""
+    found = unit_links(spark, sf_dir, _sum().alias("n"), _sum(F.col("score") == 1).alias("equal"), F.max(F.when(F.col("score") < 1, F.col("score"))).alias("below"))
+    top = F.when(F.col("equal") > 1, 1.0).otherwise(F.coalesce("below", F.lit(0.0)))
+    return found.select("p_partkey", "class_id", (F.col("n") - 1).alias("partners"), F.round(top, 6).alias("best"))
 
 
-@query("dup_score", f"WITH {_PAIRS} SELECT a, b, CASE WHEN score >= 0.9 - 1e-9 THEN 'duplicate' ELSE 'very-similar' END AS class FROM scored WHERE score >= 0.7 - 1e-9")
+@query("dup_score", f"WITH {_LINKS} SELECT p_partkey, count(*) FILTER (score >= 0.9 - 1e-9) AS duplicates, count(*) FILTER (score < 0.9 - 1e-9) AS very_similar FROM cls LEFT JOIN links ON k = p_partkey GROUP BY 1")
 def dup_score(spark, sf_dir):
-    return scored_pairs(spark, sf_dir).select("a", "b", F.when(F.col("score") >= 0.9 - 1e-9, "duplicate").otherwise("very-similar").alias("class"))
+    """Partners by band: duplicates from 0.9, very similar from 0.7."""
+    high = F.col("score") >= 0.9 - 1e-9
+    found = unit_links(spark, sf_dir, _sum(high).alias("d"), _sum(~high).alias("v"))
+    return found.select("p_partkey", (F.col("d") - 1).alias("duplicates"), F.col("v").alias("very_similar"))
 
 
 @query("agg_dedup_report", f"WITH {_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (score > 0.9 + 1e-9) AS high, count(*) FILTER (score > 0.75 + 1e-9 AND score <= 0.9 + 1e-9) AS medium, round(avg(score), 6) AS mean FROM scored WHERE score >= 0.7 - 1e-9")
 def agg_dedup_report(spark, sf_dir):
+    """Pairs by band and their mean score, from the units' link counts: each pair counts at both ends, each unit with itself once."""
     s = F.col("score")
-    return scored_pairs(spark, sf_dir).agg(
-        F.count("*").cast("long").alias("pairs"), F.count(F.when(s > 0.9 + 1e-9, 1)).alias("high"),
-        F.count(F.when((s > 0.75 + 1e-9) & (s <= 0.9 + 1e-9), 1)).alias("medium"), F.round(F.avg("score"), 6).alias("mean"),
-    )
+    bands = [_sum().alias("n"), _sum(s > 0.9 + 1e-9).alias("high"), _sum((s > 0.75 + 1e-9) & (s <= 0.9 + 1e-9)).alias("medium"), _sum(value=F.col("count") * s).alias("total")]
+    found = unit_links(spark, sf_dir, *bands).agg(F.count("*").alias("units"), *[F.sum(c).alias(c) for c in ("n", "high", "medium", "total")])
+    pairs = (F.col("n") - F.col("units")) / 2
+    return found.select(
+        pairs.cast("long").alias("pairs"), ((F.col("high") - F.col("units")) / 2).cast("long").alias("high"), (F.col("medium") / 2).cast("long").alias("medium"),
+        F.round((F.col("total") - F.col("units")) / 2 / F.nullif(pairs, F.lit(0)), 6).alias("mean"),
+    )
 
 
-@query("agg_dedup_stats", f"WITH {_PAIRS} SELECT a, count(*) AS partners, round(max(score), 6) AS best FROM scored WHERE score >= 0.7 - 1e-9 GROUP BY a")
+@query("agg_dedup_stats", f"WITH {_LINKS}, n AS (SELECT p_partkey, count(k) AS n FROM cls LEFT JOIN links ON k = p_partkey GROUP BY 1) SELECT p_type, count(*) AS units, count(*) FILTER (n > 0) AS with_partner, CAST(sum(n) AS BIGINT) AS links FROM n JOIN part USING (p_partkey) GROUP BY 1")
 def agg_dedup_stats(spark, sf_dir):
-    return scored_pairs(spark, sf_dir).groupBy("a").agg(F.count("*").cast("long").alias("partners"), F.round(F.max("score"), 6).alias("best"))
+    n = F.col("n") - 1
+    found = unit_links(spark, sf_dir, _sum().alias("n"))
+    return found.groupBy("p_type").agg(F.count("*").cast("long").alias("units"), F.count(F.when(n > 0, 1)).alias("with_partner"), F.sum(n).alias("links"))
 
 
 def _greedy(batches):
@@ -106,12 +190,11 @@ def dup_batch(spark, sf_dir):
 
 @query("dup_merge", f"WITH {_PAIRS}, best AS (SELECT b, min(a) AS keeper FROM scored WHERE score >= 0.9 - 1e-9 GROUP BY b) SELECT p.p_partkey, k.p_partkey AS keeper, CASE WHEN length(p.p_name) > length(k.p_name) THEN p.p_name ELSE k.p_name END AS name FROM best JOIN part p ON p.p_partkey = best.b JOIN part k ON k.p_partkey = keeper")
 def dup_merge(spark, sf_dir):
-    """Each duplicate with its keeper and the longer of both contents."""
-    best = scored_pairs(spark, sf_dir, 0.9).groupBy("b").agg(F.min("a").alias("keeper"))
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    kept = part.select(F.col("p_partkey").alias("keeper"), F.col("p_name").alias("kept_name"))
-    met = best.join(part, F.col("b") == F.col("p_partkey")).join(kept, "keeper")
-    return met.select("p_partkey", "keeper", F.when(F.length("p_name") > F.length("kept_name"), F.col("p_name")).otherwise(F.col("kept_name")).alias("name"))
+    """Each duplicate with its keeper (the smallest key among its partners from 0.9) and the longer of both contents."""
+    found = unit_links(spark, sf_dir, F.min(F.when(F.col("score") >= 0.9 - 1e-9, F.col("low"))).alias("keeper")).filter("keeper < p_partkey")
+    kept = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("keeper"), F.col("p_name").alias("kept_name"))
+    met = found.join(kept, "keeper")
+    return met.select("p_partkey", "keeper", F.when(F.length("full_name") > F.length("kept_name"), F.col("full_name")).otherwise(F.col("kept_name")).alias("name"))
 
 
 _TAGS = f"""tags AS (SELECT p_type AS name, count(*) AS n FROM part GROUP BY 1), pairs AS (SELECT a.name AS x, b.name AS y, a.n AS nx, b.n AS ny, {_SIM.format(a="lower(trim(a.name))", b="lower(trim(b.name))")} AS s FROM tags a JOIN tags b ON a.name < b.name)"""
@@ -163,12 +246,12 @@ def dup_exact_files(spark, sf_dir):
     return h.join(best, "hash").select("doc_id", "hash", (F.col("o") == F.col("best")).alias("is_primary"))
 
 
-@query("join_pairwise_sim", "WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE label = 1), d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM v a JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) b ON a.vec_id <> b.vec_id) SELECT a, b, round(d, 6) AS distance FROM d WHERE d < 1.0")
+@query("join_pairwise_sim", "WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b ON a.vec_id <> b.vec_id) SELECT a, b, round(d, 6) AS distance FROM d WHERE d < 1.0")
 def join_pairwise_sim(spark, sf_dir):
-    """Vectors near the query vectors (ids divisible by 50) of the same label: a broadcast of the query set against all rows."""
+    """All vectors near a query vector (the query set: ids divisible by 50), compared exactly."""
     from loomstone.operators.search import squared_distance
 
-    v = read(spark, sf_dir, "embeddings").filter("label = 1").select("vec_id", "embedding")
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("b"), F.col("embedding").alias("q"))
     met = v.join(q, F.col("vec_id") != F.col("b"))
     d = met.select(F.col("vec_id").alias("a"), "b", squared_distance(F.col("embedding"), F.col("q")).alias("d"))
@@ -183,19 +266,20 @@ def gr_build(spark, sf_dir):
     return kept.groupBy("relationship_type").agg(F.count("*").cast("long").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
 
 
-@query("gr_detect", "WITH k AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS k FROM part WHERE p_size <= 5), s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.k, b.k)) AS i, len(a.k) + len(b.k) AS t FROM k a JOIN k b ON a.id < b.id) SELECT a, b, round(i / (t - i), 6) AS similarity FROM s WHERE i / (t - i) >= 0.6")
+@query("gr_detect", "WITH k AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS k FROM part), s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.k, b.k)) AS i, len(a.k) + len(b.k) AS t FROM k a JOIN k b ON a.id % 50 = 0 AND a.id <> b.id) SELECT a, count(*) AS related, round(max(i / (t - i)), 6) AS best, round(avg(i / (t - i)), 6) AS mean FROM s WHERE i / (t - i) >= 0.3 - 1e-9 GROUP BY a")
 def gr_detect(spark, sf_dir):
-    """Relationships of units with similar keywords."""
-    part = read(spark, sf_dir, "part").filter("p_size <= 5")
-    kw = part.select(F.col("p_partkey").alias("id"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ").alias("k"))
-    return graph.keyword_pairs(kw, "id", "k", 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
-_BOTH = f"{SQL_EDGES}, e2 AS (SELECT src, dst FROM edges WHERE confidence > 0.9 UNION SELECT dst, src FROM edges WHERE confidence > 0.9)"
+    """Relationships by keyword similarity of 0.3 or more: the query set (ids divisible by 50) against all units, by how many units each is
+    related to, the best and the mean similarity. Units of equal keywords are one row with a count, so groups of copies are not expanded."""
+    part = read(spark, sf_dir, "part")
+    kw = part.select(F.col("p_partkey").alias("id"), F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " "))).alias("k"))
+    found = graph.keyword_links(kw.filter("id % 50 = 0"), kw, "id", "k", 0.3)
+    per = found.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("similarity")).alias("total"), F.max(F.when(F.col("similarity") < 1, F.col("similarity"))).alias("below"), F.sum(F.when(F.col("similarity") == 1, F.col("n"))).alias("equal"))
+    per = per.filter("n > 1")  # each unit is among its own equals
+    best = F.when(F.col("equal") > 1, 1.0).otherwise(F.col("below"))
+    return per.select(F.col("id").alias("a"), (F.col("n") - 1).alias("related"), F.round(best, 6).alias("best"), F.round((F.col("total") - 1) / (F.col("n") - 1), 6).alias("mean"))
 
 
-def _strong(spark, sf_dir):
-    return edges(spark, sf_dir).filter("confidence > 0.9")
+_BOTH = f"{SQL_EDGES}, e2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 
 def _start(spark, node: str):
@@ -204,18 +288,18 @@ def _start(spark, node: str):
 
 @query("gr_neighborhood", f"WITH {_BOTH}, h1 AS (SELECT DISTINCT dst AS node FROM e2 WHERE src = 'p7'), h2 AS (SELECT DISTINCT dst AS node FROM e2 WHERE src IN (SELECT node FROM h1)) SELECT node, min(hop) AS hop FROM (SELECT 'p7' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node")
 def gr_neighborhood(spark, sf_dir):
-    return graph.neighborhood(_strong(spark, sf_dir), _start(spark, "p7"), 2, directed=False)
+    return graph.neighborhood(edges(spark, sf_dir), _start(spark, "p7"), 2, directed=False)
 
 
 @query("gr_focus_hops", f"WITH {_BOTH}, h1 AS (SELECT DISTINCT dst AS node FROM e2 WHERE src = 's3') SELECT node, 1 AS hop FROM h1 WHERE node <> 's3' UNION ALL SELECT 's3', 0")
 def gr_focus_hops(spark, sf_dir):
-    return graph.neighborhood(_strong(spark, sf_dir), _start(spark, "s3"), 1, directed=False)
+    return graph.neighborhood(edges(spark, sf_dir), _start(spark, "s3"), 1, directed=False)
 
 
 @query("gr_shortest_path", f"WITH {_BOTH}, a AS (SELECT dst AS n FROM e2 WHERE src = 'p7'), b AS (SELECT a.n, e2.dst FROM a JOIN e2 ON e2.src = a.n), t AS (SELECT min(dst) AS far FROM b WHERE dst <> 'p7' AND dst NOT IN (SELECT n FROM a)) SELECT 0 AS position, 'p7' AS node UNION ALL SELECT 1, min(n) FROM b, t WHERE dst = far UNION ALL SELECT 2, far FROM t")
 def gr_shortest_path(spark, sf_dir):
     """The path from a node to the smallest of the nodes two hops away."""
-    e = _strong(spark, sf_dir).select("src", "dst")
+    e = edges(spark, sf_dir).select("src", "dst")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     far = graph.neighborhood(both, _start(spark, "p7"), 2).filter("hop = 2").agg(F.min("node").alias("node")).first()["node"]
     return graph.shortest_path(both, "p7", far)

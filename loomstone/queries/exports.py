@@ -139,3 +139,26 @@ def pages_validate(spark, sf_dir):
 @query("uni_row_mappers", "SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN lang ELSE 'unknown' END AS provider FROM documents")
 def uni_row_mappers(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").isin("en", "fr"), F.col("lang")).otherwise("unknown").alias("provider"))
+
+
+@query("exp_state_stats", "WITH old AS (SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 7 <> 0) SELECT lang, count(*) AS items, count(*) FILTER (o.hash IS NULL) AS exported, count(*) FILTER (o.hash = md5(text)) AS skipped FROM documents d LEFT JOIN old o ON d.doc_id = o.doc_id GROUP BY lang")
+def exp_state_stats(spark, sf_dir):
+    """Counters of an export session: items seen, exported (no state yet) and skipped (state with the same hash)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("hash"))
+    state = docs.filter("doc_id % 7 <> 0").select("doc_id", F.col("hash").alias("known"))
+    met = docs.join(state, "doc_id", "left")
+    return met.groupBy("lang").agg(F.count("*").cast("long").alias("items"), F.count(F.when(F.col("known").isNull(), 1)).alias("exported"), F.count(F.when(F.col("known") == F.col("hash"), 1)).alias("skipped"))
+
+
+@query("cat_saved_mem", "SELECT p_partkey, array_to_string(list_filter(['heavy', 'small-brand'], lambda t: CASE t WHEN 'heavy' THEN p_size >= 40 ELSE p_brand IN ('Brand#1', 'Brand#2') AND p_retailprice < 1500 END), ',') AS collections FROM part")
+def cat_saved_mem(spark, sf_dir):
+    """Smart collections: each is a stored filter tree, and a unit is in all whose tree it meets."""
+    trees = {
+        "heavy": [{"field": "p_size", "operator": ">=", "value": 40}],
+        "small-brand": [{"field": "p_brand", "operator": "IN", "value": ["Brand#1", "Brand#2"]}, {"field": "p_retailprice", "operator": "<", "value": 1500}],
+    }
+    part = read(spark, sf_dir, "part")
+    for name, tree in trees.items():
+        members = apply_filter(read(spark, sf_dir, "part"), tree).select("p_partkey", F.lit(name).alias(name))
+        part = part.join(members, "p_partkey", "left")
+    return part.select("p_partkey", F.concat_ws(",", *[F.col(f"`{n}`") for n in trees]).alias("collections"))

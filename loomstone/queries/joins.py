@@ -51,19 +51,17 @@ def join_occurrences(spark, sf_dir):
     return t.join(lexicon, "normalized").join(turns, ["thread_id", "turn_index"]).select("thread_id", "turn_index", "position", "uses", "size")
 
 
-_PAIRS = """terms AS (SELECT DISTINCT thread_id, normalized FROM tokens WHERE length(normalized) > 4),
-rare AS (SELECT normalized FROM terms GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
-weights AS (SELECT a.thread_id AS src, b.thread_id AS dst, count(*) AS weight FROM terms a JOIN rare r ON a.normalized = r.normalized JOIN terms b ON a.normalized = b.normalized AND a.thread_id > b.thread_id GROUP BY 1, 2)"""
+_PAIRS = """terms AS (SELECT DISTINCT thread_id, normalized FROM tokens),
+weights AS (SELECT a.thread_id AS src, b.thread_id AS dst, count(*) AS weight FROM terms a JOIN terms b ON a.normalized = b.normalized AND a.thread_id % 50 = 0 AND a.thread_id <> b.thread_id GROUP BY 1, 2)"""
 
 
 def cooccurrence(spark, sf_dir):
-    """Weights of thread pairs (src after dst): shared terms, of those that 2 to 50 threads use, so that no term makes more than
-    1225 pairs; the bound is part of the edge's definition."""
-    terms = tokens(spark, sf_dir).filter(F.length("normalized") > 4).select("thread_id", "normalized").distinct()
-    rare = terms.groupBy("normalized").agg(F.count("*").alias("threads")).filter("threads between 2 and 50").select("normalized")
-    kept = terms.join(rare, "normalized")
-    other = kept.select(F.col("thread_id").alias("dst"), "normalized")
-    return kept.withColumnRenamed("thread_id", "src").join(other, "normalized").filter("src > dst").groupBy("src", "dst").agg(F.count("*").cast("long").alias("weight"))
+    """Weights of thread pairs: how many terms they share, whatever the term's frequency. The query set (threads whose id is divisible by 50,
+    src) meets all threads (dst); pairs are counted in their tasks before they are shuffled."""
+    terms = tokens(spark, sf_dir).select("thread_id", "normalized").distinct()
+    asked = terms.filter("thread_id % 50 = 0").withColumnRenamed("thread_id", "src")
+    met = asked.join(terms.withColumnRenamed("thread_id", "dst"), "normalized").filter("src <> dst")
+    return met.groupBy("src", "dst").agg(F.count("*").cast("long").alias("weight"))
 
 
 @query("join_cooccur", f"WITH {SQL_TOKENS}, {_PAIRS} SELECT src, dst, weight FROM weights")
@@ -73,15 +71,15 @@ def join_cooccur(spark, sf_dir):
 
 @query("agg_cooccur", f"WITH {SQL_TOKENS}, {_PAIRS} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM weights) WHERE r <= 100")
 def agg_cooccur(spark, sf_dir):
-    """Full rebuild: a thread links to the threads before it, the heaviest 100 of them."""
+    """Full rebuild: the heaviest 100 links of every thread of the query set."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
     return cooccurrence(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r <= 100").drop("r")
 
 
-@query("win_cooccur_top100", f"WITH {SQL_TOKENS}, {_PAIRS} SELECT src, dst, r FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM weights) WHERE r <= 3")
+@query("win_cooccur_top100", f"WITH {SQL_TOKENS}, {_PAIRS} SELECT src, dst, r FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM weights) WHERE r <= 100")
 def win_cooccur_top100(spark, sf_dir):
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return cooccurrence(spark, sf_dir).select("src", "dst", F.row_number().over(w).cast("long").alias("r")).filter("r <= 3")
+    return cooccurrence(spark, sf_dir).select("src", "dst", F.row_number().over(w).cast("long").alias("r")).filter("r <= 100")
 
 
 @query("gr_cooccur_network", f"WITH {SQL_TOKENS}, {_PAIRS} SELECT src, dst, weight FROM weights WHERE weight >= 2 ORDER BY weight DESC, src, dst LIMIT 200")
@@ -171,10 +169,11 @@ def set_union_sources(spark, sf_dir):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query("intersect", "SELECT doc_id, len(list_intersect(w, v)) AS shared, len(list_distinct(list_concat(w, v))) AS together FROM (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 200)), ' ')) AS w, list_distinct(string_split(lower(substr(text, 201, 200)), ' ')) AS v FROM documents)")
+@query("intersect", "SELECT doc_id, len(list_intersect(w, v)) AS shared, len(list_distinct(list_concat(w, v))) AS together FROM (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, length(text) // 2)), ' ')) AS w, list_distinct(string_split(lower(substr(text, length(text) // 2 + 1)), ' ')) AS v FROM documents)")
 def intersect(spark, sf_dir):
-    """Shared and joint words of two passages of a document (arrays as sets)."""
-    w, v = (F.split(F.lower(F.substring("text", a, 200)), " ") for a in (1, 201))
+    """Shared and joint words of a document's two halves (arrays as sets)."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    w, v = (F.split(F.lower(x), " ") for x in (F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(w).alias("w"), F.array_distinct(v).alias("v"))
     return docs.select("doc_id", F.size(F.array_intersect("w", "v")).cast("long").alias("shared"), F.size(F.array_union("w", "v")).cast("long").alias("together"))
 
@@ -240,3 +239,19 @@ def pages_curation(spark, sf_dir):
     curated = spark.createDataFrame([("example.org", 1), ("example.net", 2)], "suffix string, rank int")
     p = read(spark, sf_dir, "pages").withColumn("suffix", F.regexp_extract("url", r"([^./]+\.[a-z]+)/", 1))
     return p.join(F.broadcast(curated), "suffix", "left").select("page_id", F.lower(F.regexp_extract("url", "://([^?#]*)", 1)).alias("full_name"), F.coalesce("rank", F.lit(0)).alias("rank"))
+
+
+@query("join_collections_for_unit", "SELECT o_custkey AS unit, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS collections FROM orders GROUP BY 1")
+def join_collections_for_unit(spark, sf_dir):
+    """The collections that hold each unit."""
+    members = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), "o_orderpriority").distinct()
+    return members.groupBy("unit").agg(F.array_join(F.sort_array(F.collect_list("o_orderpriority")), ",").alias("collections"))
+
+
+@query("list_chat_network", f"WITH {SQL_TOKENS}, {_PAIRS}, e AS (SELECT * FROM weights WHERE weight >= 2 ORDER BY weight DESC, src, dst LIMIT 200), n AS (SELECT src AS thread FROM e UNION SELECT dst FROM e) SELECT conv_id AS thread, count(*) AS turns, max(length(text)) AS longest FROM conversations WHERE conv_id IN (SELECT thread FROM n) GROUP BY 1")
+def list_chat_network(spark, sf_dir):
+    """The nodes of the chat network: threads at the ends of its heaviest 200 links."""
+    e = cooccurrence(spark, sf_dir).filter("weight >= 2").orderBy(F.desc("weight"), "src", "dst").limit(200)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("conv_id")).distinct()
+    turns = read(spark, sf_dir, "conversations").join(nodes, "conv_id", "left_semi")
+    return turns.groupBy(F.col("conv_id").alias("thread")).agg(F.count("*").cast("long").alias("turns"), F.max(F.length("text")).cast("long").alias("longest"))

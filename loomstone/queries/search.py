@@ -220,19 +220,16 @@ def log_click(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "click", 1)).alias("clicks"), F.count("*").cast("long").alias("total"))
 
 
-_MISSPELT = "words AS (SELECT DISTINCT substr(normalized, 2) AS word FROM tokens WHERE length(normalized) = 8 AND thread_id < 20)"
-
-
 @query("spell_check")
 def spell_check(spark, sf_dir):
-    """The best correction of every misspelt word: optimal string alignment distance of at most 2 to a dictionary of the corpus.
+    """The best correction of every misspelt word (each of the corpus's words without its first character): optimal string alignment
+    distance of at most 2 to a dictionary of the corpus.
 
     Words and dictionary meet on deletion neighbourhoods (each word and the words with one or two letters less), so only
     candidates within reach are compared.
     """
-    words = tokens(spark, sf_dir).filter(F.length("normalized") == 8).select(F.substring("normalized", 2, 100).alias("word")).distinct()
     dictionary = tokens(spark, sf_dir).groupBy(F.col("normalized").alias("term")).agg(F.count("*").cast("long").alias("frequency"))
-    return correct(words, dictionary)
+    return correct(dictionary.select(F.substring("term", 2, 1000).alias("word")).distinct(), dictionary)
 
 
 def _deletions(word):
@@ -254,7 +251,10 @@ def correct(words, dictionary):
     left = words.select("word", F.explode(_deletions(F.col("word"))).alias("part"))
     right = dictionary.select("term", "frequency", F.explode(_deletions(F.col("term"))).alias("part"))
     pairs = left.join(right, "part").filter(F.abs(F.length("word") - F.length("term")) <= 2).select("word", "term", "frequency").distinct()
-    scored = pairs.withColumn("distance", distance("word", "term")).filter("distance <= 2")
+    # Two edits with swaps are at most four without; only what two to four plain edits separate may hold a swap.
+    plain = pairs.withColumn("edits", F.levenshtein("word", "term", 4)).filter("edits >= 0")
+    few, more = plain.filter("edits < 2").withColumn("distance", F.col("edits")), plain.filter("edits >= 2").withColumn("distance", distance("word", "term"))
+    scored = few.unionByName(more).drop("edits").filter("distance <= 2")
     confidence = (1 - F.col("distance") / 2) * (0.7 + 0.3 * F.ln(F.col("frequency") + 1) / 10)
     scored = scored.withColumn("confidence", F.round(confidence, 9))
     w = Window.partitionBy("word").orderBy(F.desc("confidence"), "term")
@@ -300,12 +300,13 @@ def rank_insights(spark, sf_dir):
     return rows.select("id", F.round(0.4 * importance + 0.2 * recency + 0.25 * relevance + 0.15 * unique, 6).alias("combined"), topic.alias("topic"))
 
 
-@query("search_saved", f"WITH {SQL_UNITS}, hits AS (SELECT * FROM units WHERE content ILIKE '%er%' ORDER BY created DESC, id LIMIT 40) SELECT id, type, CAST(40 AS BIGINT) AS total_prefilter FROM hits WHERE type = 'question'")
+@query("search_saved", f"WITH {SQL_UNITS}, hits AS (SELECT * FROM units WHERE content ILIKE '%er%'), page AS (SELECT * FROM hits ORDER BY created DESC, id LIMIT 40) SELECT id, type, (SELECT count(*) FROM hits) AS total_prefilter FROM page WHERE type = 'question'")
 def search_saved(spark, sf_dir):
-    """A saved search: its filters apply to the page, and the total is that of the page."""
-    hits = units(spark, sf_dir).filter(F.col("content").ilike("%er%")).orderBy(F.desc("created"), "id").limit(40)
+    """A saved search: its filters apply to the page, and the total counts all hits before page and filters."""
+    hits = units(spark, sf_dir).filter(F.col("content").ilike("%er%")).select("id", "type", "created")
     total = hits.agg(F.count("*").cast("long").alias("total_prefilter"))
-    return hits.filter("type = 'question'").join(total).select("id", "type", "total_prefilter")
+    page = hits.orderBy(F.desc("created"), "id").limit(40)
+    return page.filter("type = 'question'").join(total).select("id", "type", "total_prefilter")
 
 
 @query("cache_embed", "SELECT md5(text) AS key, min(doc_id) AS first_doc, count(*) AS uses FROM documents GROUP BY 1")
@@ -317,3 +318,70 @@ def cache_embed(spark, sf_dir):
 @query("vec_scope", "SELECT p_partkey, substr(sha256(p_name), 1, 12) AS scope FROM part")
 def vec_scope(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.substring(F.sha2("p_name", 256), 1, 12).alias("scope"))
+
+
+@query("list_popular_saved", "SELECT event_type || ' ' || CAST(user_id AS VARCHAR) AS search, count(*) AS runs FROM events GROUP BY 1 ORDER BY runs DESC, search LIMIT 20")
+def list_popular_saved(spark, sf_dir):
+    """Saved searches that ran, the most often run first."""
+    runs = read(spark, sf_dir, "events").groupBy(F.concat_ws(" ", "event_type", "user_id").alias("search")).agg(F.count("*").cast("long").alias("runs"))
+    return runs.orderBy(F.desc("runs"), "search").limit(20)
+
+
+@query("list_recent_saved", "SELECT event_type || ' ' || CAST(user_id AS VARCHAR) AS search, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_run FROM events GROUP BY 1 ORDER BY max(ts) DESC, search LIMIT 20")
+def list_recent_saved(spark, sf_dir):
+    """Saved searches by their last run, newest first."""
+    runs = read(spark, sf_dir, "events").groupBy(F.concat_ws(" ", "event_type", "user_id").alias("search")).agg(F.max("ts").alias("ts"))
+    return runs.orderBy(F.desc("ts"), "search").limit(20).select("search", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_run"))
+
+
+@query("suggest_record", f"WITH {_QUERIES} SELECT trim(lower(query)) AS normalized, count(*) AS frequency, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_used, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created FROM log GROUP BY 1")
+def suggest_record(spark, sf_dir):
+    """The suggestion table after the log has been recorded: an upsert that counts uses and keeps the first and the last time."""
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return query_log(spark, sf_dir).groupBy(F.trim(F.lower("query")).alias("normalized")).agg(
+        F.count("*").cast("long").alias("frequency"), F.date_format(F.max("ts"), stamp).alias("last_used"), F.date_format(F.min("ts"), stamp).alias("created")
+    )
+
+
+@query("suggest_expand", f"WITH {SQL_TOKENS}, d AS (SELECT DISTINCT thread_id, turn_index, normalized FROM tokens), h AS (SELECT thread_id, turn_index FROM d WHERE normalized = 'the') SELECT normalized AS term, count(*) AS n FROM d JOIN h USING (thread_id, turn_index) WHERE normalized <> 'the' GROUP BY 1 ORDER BY n DESC, term LIMIT 10")
+def suggest_expand(spark, sf_dir):
+    """Terms that widen a query: those that stand most often beside its term."""
+    d = tokens(spark, sf_dir).select("thread_id", "turn_index", "normalized").distinct()
+    hits = d.filter("normalized = 'the'").select("thread_id", "turn_index")
+    met = d.filter("normalized <> 'the'").join(hits, ["thread_id", "turn_index"], "left_semi")
+    return met.groupBy(F.col("normalized").alias("term")).agg(F.count("*").cast("long").alias("n")).orderBy(F.desc("n"), "term").limit(10)
+
+
+@query("cache_search", "WITH r AS (SELECT sha256(event_type || ':' || CAST(user_id % 50 AS VARCHAR)) AS key, ts, event_id, lag(ts) OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts, event_id) AS before FROM events) SELECT key, count(*) AS requests, count(*) FILTER (before IS NOT NULL AND ts - before <= INTERVAL 5 MINUTE) AS hits FROM r GROUP BY key")
+def cache_search(spark, sf_dir):
+    """Requests by cache key, and how many of them a cache with a life of five minutes after each request would have answered."""
+    key = F.sha2(F.concat_ws(":", "event_type", (F.col("user_id") % 50).cast("string")), 256)
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    rows = read(spark, sf_dir, "events").select(key.alias("key"), "ts", "event_id").withColumn("before", F.lag("ts").over(order))
+    return rows.groupBy("key").agg(F.count("*").cast("long").alias("requests"), F.count(F.when(F.col("ts") <= F.col("before") + F.expr("INTERVAL 5 MINUTES"), 1)).alias("hits"))
+
+
+_COLLECTION = """old AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 3 <> 0),
+new AS (SELECT vec_id, label + 100 AS label, embedding FROM embeddings WHERE vec_id % 4 = 0), gone AS (SELECT vec_id FROM embeddings WHERE vec_id % 10 = 1)"""
+
+
+@query("vec_write", f"WITH {_COLLECTION}, u AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE vec_id NOT IN (SELECT vec_id FROM new)) SELECT vec_id, label, len(embedding) AS dims FROM u WHERE vec_id NOT IN (SELECT vec_id FROM gone)")
+def vec_write(spark, sf_dir):
+    """A vector collection after a batch: additions and updates by id, then deletions; vectors of another size than the collection's go out."""
+    from loomstone.operators.changes import delete_by_key, upsert
+
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    dims = v.agg(F.max(F.size("embedding")).alias("dims"))  # one row
+    new = v.filter("vec_id % 4 = 0").withColumn("label", F.col("label") + 100)
+    left = delete_by_key(upsert(v.filter("vec_id % 3 <> 0"), new, ["vec_id"]), v.filter("vec_id % 10 = 1").select("vec_id"), ["vec_id"])
+    return left.withColumn("size", F.size("embedding")).join(dims).filter("size = dims").select("vec_id", "label", F.col("size").cast("long").alias("dims"))
+
+
+@query("vec_verify", "SELECT label, count(*) AS stored, count(*) FILTER (len(embedding) = (SELECT max(len(embedding)) FROM embeddings)) AS right_size, count(*) FILTER (vec_id IN (SELECT doc_id FROM documents)) AS with_unit FROM embeddings GROUP BY label")
+def vec_verify(spark, sf_dir):
+    """Parity of a collection with its units: vectors stored, of the right size, and with a unit behind them."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.size("embedding").alias("size"))
+    dims = v.agg(F.max("size").alias("dims"))  # one row
+    known = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("known")).distinct()
+    met = v.join(known, "vec_id", "left").join(dims)
+    return met.groupBy("label").agg(F.count("*").cast("long").alias("stored"), F.count(F.when(F.col("size") == F.col("dims"), 1)).alias("right_size"), F.count("known").alias("with_unit"))

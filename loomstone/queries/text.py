@@ -261,3 +261,42 @@ def src_detect_provider(spark, sf_dir):
     from loomstone.sources.chats import provider_of
 
     return read(spark, sf_dir, "pages").select("page_id", provider_of(F.col("url")).alias("provider"))
+
+
+@query("red_extract_json_text", "SELECT event_id, CASE WHEN event_type = 'view' THEN concat_ws(chr(10), event_type, props) WHEN event_type = 'click' THEN props ELSE event_type END AS text FROM events")
+def red_extract_json_text(spark, sf_dir):
+    """Text of JSON: title and content of a unit joined by newlines, other JSON as it is written, what is no JSON unchanged."""
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    unit = F.to_json(F.struct(F.col("event_type").alias("title"), F.col("props").alias("content")))
+    raw = F.when(F.col("event_type") == "view", unit).when(F.col("event_type") == "click", F.col("props")).otherwise(F.col("event_type"))
+    return events.select("event_id", redaction.json_text(raw).alias("text"))
+
+
+@query("sink_redacted_files")
+def sink_redacted_files(spark, sf_dir):
+    """What a redaction run writes: every text that changes, redacted, with the backup's hash beside it."""
+    docs = read(spark, sf_dir, "documents")
+    found = redaction.redact(docs, "doc_id", "text").filter("n_redacted > 0")
+    return found.join(docs.select("doc_id", F.md5("text").alias("backup_md5")), "doc_id").select("doc_id", F.md5("redacted").alias("redacted_md5"), "backup_md5", "n_redacted")
+
+
+@query(
+    "txt_table_list_titles",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    c AS (SELECT doc_id, len(list_filter(string_split(max(line), ' '), lambda x: x <> '')) AS cols, count(*) AS items, count(*) FILTER (regexp_matches(line, '^\s*\d+\.')) AS numbered FROM l GROUP BY 1)
+    SELECT doc_id, 'Table (' || cols || ' columns)' AS table_title, CASE WHEN numbered > 0 THEN 'Ordered' ELSE 'Unordered' END || ' List (' || items || ' items)' AS list_title FROM c""",
+)
+def txt_table_list_titles(spark, sf_dir):
+    """Titles of tables and lists: columns of a row, items of a list and whether they are numbered."""
+    lines = F.split("text", "\n")
+    row = F.array_max(lines)
+    kind = F.when(F.exists(lines, lambda x: x.rlike(r"^\s*\d+\.")), "Ordered").otherwise("Unordered")
+    titles = [F.format_string("Table (%d columns)", F.size(F.filter(F.split(row, " "), lambda x: x != ""))).alias("table_title"), F.concat(kind, F.format_string(" List (%d items)", F.size(lines))).alias("list_title")]
+    return read(spark, sf_dir, "documents").select("doc_id", *titles)
+
+
+@query("txt_entry", f"WITH {SQL_UNITS}, {SQL_DOCUMENT_UNITS} SELECT 'conversation' AS origin, id FROM units UNION ALL SELECT 'document', doc_id || ':' || pos FROM doc_units")
+def txt_entry(spark, sf_dir):
+    """Units of conversations and of documents through one entry."""
+    chat = units(spark, sf_dir).select(F.lit("conversation").alias("origin"), "id")
+    return chat.unionByName(document_units(spark, sf_dir).select(F.lit("document").alias("origin"), F.concat_ws(":", "doc_id", "pos").alias("id")))
