@@ -17,6 +17,7 @@ The model is read on the driver from `path` and travels to the tasks as bytes (a
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import re
@@ -173,6 +174,10 @@ class Codec:
         self.chunker.pre_tokenizer = pre_tokenizers.Split(Regex(CHUNK), "isolated")
         self.chunker.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.odd = np.array([kind not in (NORMAL, USER_DEFINED, BYTE) for *_, kind in self.model.pieces])
+        self.bytes, self.byte_length = np.frombuffer(b"".join(raw), np.uint8), np.array([len(b) for b in raw], np.int64)
+        self.byte_begin = np.cumsum(self.byte_length) - self.byte_length
         self.splits = self.model.splits()
         self.plain = not self.model.charsmap and not self.model.remove_extra_whitespaces
         self.forget()
@@ -247,6 +252,21 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    def decode_arrays(self, all_ids: list[np.ndarray]) -> list[str]:
+        """decode(), by gathering the pieces' bytes; lists with unknown, control or no pieces, or whose bytes are no UTF-8, go to the library."""
+        out: list[str] = []
+        for ids in all_ids:
+            text = None
+            if len(ids) and ids.min() >= 0 and ids.max() < len(self.odd) and not self.odd[ids].any():
+                n = self.byte_length[ids]
+                ends = np.cumsum(n)
+                raw = self.bytes[np.arange(ends[-1]) + np.repeat(self.byte_begin[ids] - ends + n, n)].tobytes()
+                with contextlib.suppress(UnicodeDecodeError):
+                    text = raw.decode()
+                    text = text.removeprefix(" ") if self.model.add_dummy_prefix else text
+            out.append(self.decode([ids.tolist()])[0] if text is None else text)
+        return out
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -324,9 +344,9 @@ def decode(tokens: DataFrame, ids: str = "ids", model_path: str = MODEL) -> Data
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(a, BATCH_ROWS)
-                lists = part.column(0).to_pylist()
-                texts = tool.decode([[i for i in x or [] if i is not None] for x in lists])
-                texts = [None if x is None else t for x, t in zip(lists, texts, strict=True)]
+                lists = [None if x.values is None else x.values.drop_null().to_numpy() for x in part.column(0)]
+                found = iter(tool.decode_arrays([x for x in lists if x is not None]))
+                texts = [None if x is None else next(found) for x in lists]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(texts, pa.string())], names=["_row", "_text"])
 
     return source.mapInArrow(run, schema)

@@ -199,6 +199,9 @@ def test_codec_on_odd_texts():
     texts = ["", " ", "   a  b   ", "\n\n\tx", "▁▁a", "a▁ b", "😀é中文", "<s> hi </s>", "<unk>", "<0x0A>", "\x00", "a" * 5000, " " * 300, "​"]
     assert codec.encode(texts) == [reference.encode(t) for t in texts]
     assert codec.decode(codec.encode(texts[:4])) == texts[:4]
+    rng = np.random.default_rng(9)
+    lists = [np.array(i, np.int64) for i in codec.encode(texts)] + [rng.integers(0, 32_000, rng.integers(0, 40)) for _ in range(200)] + [rng.integers(0, 300, 12) for _ in range(200)]
+    assert codec.decode_arrays(lists) == codec.decode([x.tolist() for x in lists])  # bytes of no character and control pieces among them
 
 
 def message(*fields):
