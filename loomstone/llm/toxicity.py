@@ -98,7 +98,9 @@ def paired_evidence(ids: list[np.ndarray], labels: np.ndarray, expected: np.ndar
     x = np.zeros((len(ids), len(buckets)), np.float32)
     for i, r in enumerate(_places(ids, buckets)):
         x[i, r] = 1
-    g, variance = (labels - expected).astype(np.float32)[:, None], (expected * (1 - expected)).astype(np.float32)[:, None]
+    g = (labels - expected).astype(np.float32)[:, None]
+    # The larger of the expected and the seen variance: texts that the machine has missed spread wider than it expects.
+    variance = np.maximum(g**2, (expected * (1 - expected)).astype(np.float32)[:, None])
     for i in range(0, len(buckets), block):
         left = x[:, i : i + block]
         for j in range(i, len(buckets), block):
