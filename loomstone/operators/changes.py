@@ -29,3 +29,12 @@ def capture_changes(old: DataFrame, new: DataFrame, keys: list[str], hash_column
         .otherwise("update")
     )
     return a.join(b, same, "full").select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys], action.alias("action"))
+
+
+def scan_summary(changes: DataFrame, by: list[str]) -> DataFrame:
+    """Counters of scan runs from captured changes: scanned, indexed, skipped and deleted rows of each `by`."""
+
+    def n(*actions: str):
+        return F.count(F.when(F.col("action").isin(*actions), 1))
+
+    return changes.groupBy(*by).agg(n("insert", "update", "skip").alias("scanned"), n("insert", "update").alias("indexed"), n("skip").alias("skipped"), n("delete").alias("deleted"))

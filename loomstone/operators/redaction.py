@@ -109,9 +109,10 @@ def detect(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """key, redacted (detections replaced by [REDACTED:TYPE]) and n_redacted, for every row. key must identify a row."""
+    """key, redacted (detections replaced by [REDACTED:TYPE]), n_redacted and the highest confidence among them (null without any), for
+    every row. key must identify a row."""
     found = detect(docs, key, text).filter(~F.col("false_positive") & (F.col("confidence") >= threshold))
-    spans = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
+    spans = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("spans"), F.max("confidence").alias("top_confidence"))
 
     def piece(s, i):
         """The text from the span before to this one, and its mark."""
@@ -121,7 +122,7 @@ def redact(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -
     rest = F.col(text).substr((F.element_at("spans", -1)["end"] + 1).cast("int"), F.length(text))
     whole = F.concat(F.array_join(F.transform("spans", piece), ""), rest)
     met = docs.select(key, text).join(spans, key, "left")
-    return met.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(whole).alias("redacted"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_redacted"))
+    return met.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(whole).alias("redacted"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_redacted"), "top_confidence")
 
 
 def json_text(raw: Column) -> Column:

@@ -166,9 +166,11 @@ def agg_search_stats(spark, sf_dir):
     return trailing(query_log(spark, sf_dir), 7).groupBy("search_type").agg(_long("total"), F.count_distinct("query").alias("distinct_queries"), F.round(F.avg("latency"), 6).alias("mean_latency"))
 
 
-@query("agg_query_metrics", f"WITH {_LOG} SELECT count(*) AS total, round(avg(latency), 6) AS mean_latency, round(max(latency), 6) AS slowest FROM log")
+@query("agg_query_metrics", f"WITH {_LOG} SELECT coalesce(search_type, 'all') AS search_type, count(*) AS total, round(avg(latency), 6) AS mean_latency, round(max(latency), 6) AS slowest FROM log GROUP BY ROLLUP (search_type)")
 def agg_query_metrics(spark, sf_dir):
-    return query_log(spark, sf_dir).agg(_long("total"), F.round(F.avg("latency"), 6).alias("mean_latency"), F.round(F.max("latency"), 6).alias("slowest"))
+    """Metrics of all queries and of each search type."""
+    grouped = query_log(spark, sf_dir).rollup("search_type").agg(_long("total"), F.round(F.avg("latency"), 6).alias("mean_latency"), F.round(F.max("latency"), 6).alias("slowest"))
+    return grouped.withColumn("search_type", F.coalesce("search_type", F.lit("all")))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as T
 from loomstone.operators import graph
 from loomstone.registry import query
-from loomstone.sources.tables import SQL_EDGES, edges, read
+from loomstone.sources.tables import SQL_EDGES, SQL_UNITS, edges, read, units
 
 _SIM = """CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE (greatest(length({a}), length({b})) - levenshtein({a}, {b})) / greatest(length({a}), length({b})) END"""
 _S = _SIM.format(a="lower(trim(a.p_name))", b="lower(trim(b.p_name))")
@@ -79,9 +79,10 @@ def _equal_names(names):
     return met.filter((F.col("name") == F.col("other")) | (T.similarity(F.col("name"), F.col("other")) >= 0.95))
 
 
-def class_links(spark, sf_dir):
+def class_links(spark, sf_dir, every_low=False):
     """Links between classes of parts (equal type, brand, size and name) and the names they are similar to: _KIND, score, count (parts
-    behind the link) and low (the smallest of their keys). No pair of parts is ever listed: a class meets
+    behind the link) and low (the smallest of their keys; for the last kind of link only with every_low). No pair of parts is ever
+    listed: a class meets
 
     * all parts of its type whose names are 0.95 alike, itself among them (score 1);
     * parts of its type, brand and size with names at least 0.4 alike (0.5 of the name, 0.3 and 0.2);
@@ -105,21 +106,26 @@ def class_links(spark, sf_dir):
     rest = classes.select(*_KIND).join(branded, ["p_type", "p_brand"]).join(titles, ["name", "other"])
     own = sized.select("p_type", "p_brand", "p_size", "other", F.col("count").alias("own"))
     rest = rest.join(own, ["p_type", "p_brand", "p_size", "other"], "left").withColumn("count", F.col("count") - F.coalesce("own", F.lit(0))).filter("count > 0")
-    rest = rest.select(*_KIND, (0.5 * F.col("title") + 0.3).alias("score"), "count", F.lit(None).cast("long").alias("low"))
+    other_low = F.lit(None).cast("long")
+    if every_low:  # the smallest key of a name within type and brand, and the smallest among its parts of another size than that one's
+        keys = ["p_type", "p_brand", "other"]
+        first = sized.groupBy(*keys).agg(F.min(F.struct("low", "p_size")).alias("first"))
+        second = sized.join(first, keys).filter("not p_size <=> first.p_size").groupBy(*keys).agg(F.min("low").alias("second"))
+        rest = rest.drop("low").join(first, keys).join(second, keys, "left")
+        other_low = F.when(F.col("p_size").eqNullSafe(F.col("first.p_size")), F.col("second")).otherwise(F.col("first.low"))
+    rest = rest.select(*_KIND, (0.5 * F.col("title") + 0.3).alias("score"), "count", other_low.alias("low"))
     return alike.unionByName(same.drop("other")).unionByName(rest)
 
 
-def unit_links(spark, sf_dir, *aggregates):
+def unit_links(spark, sf_dir, *aggregates, every_low=False):
     """Every part with its class (the smallest key of its equals) and the aggregates over the links of its class. A part is among its
     own links, once, with score 1."""
     p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("full_name"), F.lower(F.trim("p_name")).alias("name"), "p_type", "p_brand", "p_size")
-    per = class_links(spark, sf_dir).groupBy(*_KIND).agg(*aggregates)
+    per = class_links(spark, sf_dir, every_low).groupBy(*_KIND).agg(*aggregates)
     heads = p.groupBy(*_KIND).agg(F.min("p_partkey").alias("class_id"))
     return p.join(heads.join(per, _KIND), _KIND)
 
 
-
-
 def _sum(where=None, value=None):
     value = F.col("count") if value is None else value
     return F.coalesce(F.sum(value if where is None else F.when(where, value)), F.lit(0))
@@ -365,3 +371,29 @@ def gr_project3d(spark, sf_dir):
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
     slot = F.row_number().over(w) - 1
     return read(spark, sf_dir, "part").select("p_partkey", slot.cast("long").alias("slot"), F.round(F.cos(2 * F.pi() * slot / F.count("*").over(Window.partitionBy("p_brand"))), 6).alias("x"))
+
+
+@query("gr_category", f"WITH {SQL_UNITS}, c AS (SELECT id, title FROM units WHERE category = 'programming') SELECT id, title, (SELECT count(*) FROM c) AS total FROM c ORDER BY id LIMIT 100 OFFSET 100")
+def gr_category(spark, sf_dir):
+    """The second page of a category's nodes with their number."""
+    nodes = units(spark, sf_dir).filter("category = 'programming'").select("id", "title")
+    return nodes.orderBy("id").offset(100).limit(100).join(nodes.agg(F.count("*").cast("long").alias("total")))
+
+
+@query("gr_search", f"WITH {SQL_UNITS}, c AS (SELECT id, title FROM units WHERE contains(lower(title), 'on') OR len(list_filter(tags, lambda x: contains(lower(x), 'on'))) > 0) SELECT id, title, (SELECT count(*) FROM c) AS total FROM c ORDER BY id LIMIT 20")
+def gr_search(spark, sf_dir):
+    """Nodes whose title or a keyword holds the text, with the number of all hits."""
+    hit = F.lower("title").contains("on") | F.exists("tags", lambda t: F.lower(t).contains("on"))
+    nodes = units(spark, sf_dir).filter(hit).select("id", "title")
+    return nodes.orderBy("id").limit(20).join(nodes.agg(F.count("*").cast("long").alias("total")))
+
+
+@query("dup_history", f"""WITH {_PAIRS}, best AS (SELECT b, min(a) AS keeper, min_by(score, a) AS score FROM scored WHERE score >= 0.7 - 1e-9 GROUP BY b)
+SELECT b AS p_partkey, keeper, CASE WHEN score >= 0.9 - 1e-9 THEN 'Likely duplicate: very similar titles and keywords' ELSE 'Likely duplicate with minor variations' END AS reason FROM best""")
+def dup_history(spark, sf_dir):
+    """The history of merging each part into the smallest of its partners, with the reason by their score."""
+    near = F.when(F.col("score") >= 0.7 - 1e-9, F.struct("low", "score"))
+    found = unit_links(spark, sf_dir, F.min(near).alias("m"), every_low=True).filter("m.low < p_partkey")
+    # The reasons' texts.
+    reason = F.when(F.col("m.score") >= 0.9 - 1e-9, "Likely duplicate: very similar titles and keywords").otherwise("Likely duplicate with minor variations")
+    return found.select("p_partkey", F.col("m.low").alias("keeper"), reason.alias("reason"))

@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
+from loomstone.operators import intake
 from loomstone.plans.filters import apply_filter, for_vector_store, page, parse_relative_date, preset
 from loomstone.registry import query
 from loomstone.sources.tables import SQL_DOCUMENT_UNITS, SQL_DOCUMENTS, SQL_UNITS, document_units, documents, read, units
@@ -203,11 +204,12 @@ def prj_hydrate(spark, sf_dir):
     return u.select("id", "category").join(lists, "id", "left").select("id", "category", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
-@query("flt_policy", r"""SELECT page_id, CASE WHEN octet_length(encode(html)) > 4000 THEN 'too_large' WHEN regexp_matches(url, '(?i)casino|bets') THEN 'path' ELSE 'allow' END AS decision FROM pages""")
+@query("flt_policy", r"""SELECT page_id, array_to_string(list_filter([CASE WHEN octet_length(encode(html)) > 4000 THEN 'size' END, CASE WHEN regexp_matches(lower(url), 'casino|bets') THEN 'path' END,
+    CASE WHEN regexp_extract(lower(url), '[^/](\.[^./]*)$', 1) IN ('.pem', '.key', '.p12', '.pfx', '.der', '.crt', '.cer') THEN 'extension' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pages""")
 def flt_policy(spark, sf_dir):
-    """Intake policy: quarantine by size, then by path."""
-    decision = F.when(F.octet_length("html") > 4000, "too_large").when(F.col("url").rlike("(?i)casino|bets"), "path").otherwise("allow")
-    return read(spark, sf_dir, "pages").select("page_id", decision.alias("decision"))
+    """Intake policy by size, path and extension: why each page is quarantined (empty: it is not)."""
+    why = intake.reasons(F.col("url"), F.octet_length("html"), blocked_paths=["casino", "bets"], max_bytes=4000)
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(why, ",").alias("reasons"))
 
 
 @query("page_offset", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders ORDER BY orders.o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")

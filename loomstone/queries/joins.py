@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstone.operators.changes import capture_changes, upsert
+from loomstone.operators.changes import capture_changes, scan_summary, upsert
 from loomstone.registry import query
 from loomstone.sources.tables import SQL_DOCUMENT_UNITS, SQL_EDGES, SQL_TOKENS, SQL_UNITS, document_units, edges, read, tokens, units
 
@@ -255,3 +255,15 @@ def list_chat_network(spark, sf_dir):
     nodes = e.select(F.explode(F.array("src", "dst")).alias("conv_id")).distinct()
     turns = read(spark, sf_dir, "conversations").join(nodes, "conv_id", "left_semi")
     return turns.groupBy(F.col("conv_id").alias("thread")).agg(F.count("*").cast("long").alias("turns"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("fed_scan_run", """WITH old AS (SELECT source, doc_id AS id, md5(text) AS hash FROM documents WHERE doc_id % 7 <> 0), new AS (SELECT source, doc_id AS id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 11 <> 0)
+SELECT coalesce(o.source, n.source) AS source, count(n.id) AS scanned, count(*) FILTER (n.id IS NOT NULL AND n.hash IS DISTINCT FROM o.hash) AS indexed, count(*) FILTER (n.hash = o.hash) AS skipped, count(*) FILTER (n.id IS NULL) AS deleted, 'completed' AS status
+FROM old o FULL JOIN new n ON o.source = n.source AND o.id = n.id GROUP BY 1""")
+def fed_scan_run(spark, sf_dir):
+    """A full scan of every source against what is indexed: the run's counters and state."""
+    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), "text")
+    changed = F.when(F.pmod("id", F.lit(5)) == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = docs.filter("id % 7 <> 0").select("source", "id", F.md5("text").alias("hash"))
+    new = docs.filter("id % 11 <> 0").select("source", "id", F.md5(changed).alias("hash"))
+    return scan_summary(capture_changes(old, new, ["source", "id"], "hash", full=True), ["source"]).withColumn("status", F.lit("completed"))

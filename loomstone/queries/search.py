@@ -385,3 +385,19 @@ def vec_verify(spark, sf_dir):
     known = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("known")).distinct()
     met = v.join(known, "vec_id", "left").join(dims)
     return met.groupBy("label").agg(F.count("*").cast("long").alias("stored"), F.count(F.when(F.col("size") == F.col("dims"), 1)).alias("right_size"), F.count("known").alias("with_unit"))
+
+
+_RUNS = "runs AS (SELECT event_type || ' ' || CAST(user_id % 50 AS VARCHAR) AS query, event_type AS search_type, count(*) AS executions, max(ts) AS last FROM events GROUP BY 1, 2)"
+
+
+@query("list_popular_recent_saved", f"""WITH {_RUNS}, r AS (SELECT *, row_number() OVER (ORDER BY executions DESC, query) AS p, row_number() OVER (ORDER BY last DESC, query) AS l FROM runs)
+SELECT 'popular' AS list, CAST(p AS INT) AS place, query, search_type, executions FROM r WHERE p <= 10 UNION ALL SELECT 'recent', CAST(l AS INT), query, search_type, executions FROM r WHERE l <= 10""")
+def list_popular_recent_saved(spark, sf_dir):
+    """The ten saved searches that ran most often and the ten that ran last; windows number ten rows each."""
+    runs = query_log(spark, sf_dir).groupBy("query", "search_type").agg(F.count("*").cast("long").alias("executions"), F.max("ts").alias("last"))
+
+    def top(name: str, column: str):
+        place = F.row_number().over(Window.orderBy(F.desc(column), "query"))
+        return runs.orderBy(F.desc(column), "query").limit(10).select(F.lit(name).alias("list"), place.alias("place"), "query", "search_type", "executions")
+
+    return top("popular", "executions").unionByName(top("recent", "last"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import taxonomy
 from loomstone.functions import text as T
-from loomstone.operators import chunking, redaction
+from loomstone.operators import chunking, intake, redaction
 from loomstone.registry import query
-from loomstone.sources.tables import SQL_DOCUMENT_UNITS, SQL_TOKENS, SQL_UNITS, document_units, read, sql_title, tokens, units
+from loomstone.sources.tables import SQL_DOCUMENT_UNITS, SQL_TOKENS, SQL_UNITS, document_units, documents, read, sql_title, tokens, units
 
 
 @query("txt_atomize_messages", f"WITH {SQL_UNITS} SELECT id, type, title, category, array_to_string(tags, ',') AS tags, md5(context) AS context_md5 FROM units")
@@ -300,3 +300,12 @@ def txt_entry(spark, sf_dir):
     """Units of conversations and of documents through one entry."""
     chat = units(spark, sf_dir).select(F.lit("conversation").alias("origin"), "id")
     return chat.unionByName(document_units(spark, sf_dir).select(F.lit("document").alias("origin"), F.concat_ws(":", "doc_id", "pos").alias("id")))
+
+
+@query("txt_policy_ingest")
+def txt_policy_ingest(spark, sf_dir):
+    """Documents through the intake policy: why one stays out, and what the others bring in (redacted text, its paragraphs)."""
+    path = F.concat_ws("/", "lang", F.concat_ws(".", "id", "format"))
+    found = intake.evaluate(documents(spark, sf_dir).withColumn("path", path), "id", "path", "content")
+    paragraphs = F.size(F.filter(F.split("redacted", "\n"), lambda x: F.length(x) > 50)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), F.array_join("reasons", ",").alias("reasons"), "allowed", F.md5("redacted").alias("redacted_md5"), "n_redacted", F.when(F.col("allowed"), paragraphs).otherwise(0).alias("units"))

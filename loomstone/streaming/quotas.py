@@ -63,15 +63,27 @@ def anchored_quota(events: DataFrame, user: str, ts: str, seconds: int, limit: i
     return events.groupBy(user).applyInPandasWithState(step, f"{user} {kind}, {ts} timestamp, allowed boolean", "start long, used int", "append", GroupStateTimeout.NoTimeout)
 
 
-def bucket_rows(times: list[float], rate: float, burst: float) -> list[bool]:
-    """Which of the requests at these seconds a token bucket lets pass."""
-    tokens, last, out = burst, None, []
-    for t in times:
-        tokens = burst if last is None else min(burst, tokens + (t - last) * rate)
-        last = t
-        out.append(tokens >= 1)
-        tokens -= tokens >= 1
-    return out
+def token_bucket(events: DataFrame, user: str, ts: str, rate: float, burst: float) -> DataFrame:
+    """Which requests a token bucket lets pass: user, ts and allowed for every request. A user's bucket starts full, holds `burst`
+    tokens at most and gains `rate` a second; a request takes one.
+
+    State is one (tokens, newest time) pair a user; a late request finds the bucket as it is.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens, last = state.get if state.exists else (burst, None)
+        rows = pd.concat(list(frames)).sort_values(ts)
+        verdicts = []
+        for t in rows[ts].astype("datetime64[us]").astype("int64") / 1e6:
+            last = t if last is None else last
+            tokens, last = min(burst, tokens + max(0.0, t - last) * rate), max(t, last)
+            verdicts.append(tokens >= 1)
+            tokens -= tokens >= 1
+        state.update((float(tokens), float(last)))
+        yield pd.DataFrame({user: rows[user], ts: rows[ts], "allowed": verdicts})
+
+    kind = events.schema[user].dataType.simpleString()
+    return events.groupBy(user).applyInPandasWithState(step, f"{user} {kind}, {ts} timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def recent_events(events: DataFrame, ts: str, key: str, n: int = 1000) -> DataFrame:
