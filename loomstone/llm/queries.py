@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from loomstone.llm import (
+    collocations,
+    decontaminate,
+    language_id,
+    licenses,
+    line_dedup,
+    prefix_trie,
+    quality,
+    secrets,
+    sentencepiece_codec,
+    sharding,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from loomstone.llm.common import table
 
 
@@ -104,6 +118,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
@@ -115,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -261,10 +292,72 @@ SELECT page_id, host, path, rule,
 FROM judged LEFT JOIN scores USING (host)
 """
 
+#: crc32 of a decimal number, byte by byte and bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, zero: xor(c >> 1, (c & 1) * 3988292384))))"""
+_TRIE = f"""
+WITH originals AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+shared AS (SELECT *, CAST({_CRC32} % {prefix_trie.SHARED} AS INT) AS h FROM originals),
+paths AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own, [])[:a.h], a.own[a.h + 1:]) AS path
+  FROM shared a LEFT JOIN originals b ON b.conv_id = a.conv_id - a.conv_id % {prefix_trie.FAMILY}
+),
+prefixes AS (SELECT conv_id, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth, path FROM paths),
+nodes AS (
+  SELECT depth, path[:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, path[:depth]
+),
+children AS (SELECT node[:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY node[:depth - 1]),
+valued AS (
+  SELECT nodes.*, coalesce(c.n, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(nodes.node[depth].t)) ELSE 0 END AS value
+  FROM nodes LEFT JOIN children c ON c.node = nodes.node
+),
+above AS (SELECT node[:k] AS node, value, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM valued)),
+below AS (SELECT node, sum(value) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY node)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM valued v JOIN below b ON b.node = v.node LEFT JOIN valued p ON v.depth > 0 AND p.node = v.node[:v.depth - 1]
+"""
+
+_PHRASES = f"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS text FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs)
+),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS words
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k) WHERE len(w) >= k)
+),
+counted AS (SELECT lang, k, phrase, any_value(words) AS words, count(*) AS a FROM grams GROUP BY lang, k, phrase),
+candidates AS (SELECT * FROM counted WHERE k > 1 AND a >= {collocations.LEAST}),
+sizes AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+cuts AS (SELECT *, array_to_string(words[:j], ' ') AS head, array_to_string(words[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates)),
+scored AS (
+  SELECT c.*, h.a AS l, t.a AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+  FROM cuts c JOIN counted h ON h.lang = c.lang AND h.k = c.j AND h.phrase = c.head JOIN counted t ON t.lang = c.lang AND t.k = c.k - c.j AND t.phrase = c.tail
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, a AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))
+),
+kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.longer >= {collocations.INSIDE} * b.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN sizes USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": _SHARDING,
     "op2_secrets": _SECRETS,
     "op5_line_dedup": _LINES,
     "op9_decontaminate": _DECONTAMINATE,
     "op10_url_filter": _URLS,
+    "op11_prefix_trie": _TRIE,
+    "op12_collocations": _PHRASES,
 }
