@@ -68,7 +68,8 @@ def grams(text: str) -> np.ndarray:
     that are no letters counts as one blank, and one stands before and after the text."""
     found, ahead = [], np.array([32], np.uint64)
     for at in range(0, len(text), SLICE):
-        codes = np.concatenate((ahead, _letters(text[at : at + SLICE]), [np.uint64(32)] if at + SLICE >= len(text) else []), dtype=np.uint64)
+        closing = np.full(int(at + SLICE >= len(text)), 32, np.uint64)
+        codes = np.concatenate((ahead, _letters(text[at : at + SLICE]), closing))
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
         codes = grown = codes[keep]
