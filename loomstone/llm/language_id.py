@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import column_or_null, plain, staged
+from loomstone.llm.common import column_or_null, plain, release, staged
 
 LONGEST = 3
 PER_LANGUAGE = 512
@@ -36,6 +36,8 @@ LANDMARK_CHARS = 20_000
 RIDGE = 1e-3
 #: Characters of a text that are cut into n-grams at a time.
 SLICE = 1 << 20
+#: Numbers that a product gathers at a time.
+CELLS = 1 << 22
 #: Kernel eigenvalues below this share of the largest are dropped.
 RANK_FLOOR = 1e-6
 
@@ -91,22 +93,27 @@ def kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def products(texts: list[np.ndarray], known: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The 0/1 rows of the texts' n-grams (scaled by their number) times right, whose rows are the n-grams known."""
+    """The 0/1 rows of the texts' n-grams (scaled by their number) times right, whose rows are the n-grams known. Texts are taken in
+    batches of about CELLS gathered numbers."""
     out = np.zeros((len(texts), right.shape[1]), np.float64)
-    if not len(texts) or not len(known):
+    if not len(known):
         return out
-    every = np.concatenate(texts)
-    sizes = np.array([len(t) for t in texts])
-    place = np.minimum(np.searchsorted(known, every), len(known) - 1)
-    hit = known[place] == every
-    who = np.repeat(np.arange(len(texts)), sizes)[hit]
-    place = place[hit]
-    held = np.bincount(who, minlength=len(texts))
-    some = np.flatnonzero(held)
-    if len(some):
-        starts = (np.cumsum(held) - held)[some]
-        out[some] = np.add.reduceat(right[place], starts, axis=0, dtype=np.float64)
-    return out / np.sqrt(np.maximum(sizes, 1))[:, None]
+    at = 0
+    while at < len(texts):
+        end, cells = at + 1, len(texts[at])
+        while end < len(texts) and (cells + len(texts[end])) * right.shape[1] <= CELLS:
+            cells += len(texts[end])
+            end += 1
+        every, sizes = np.concatenate(texts[at:end]), np.array([len(t) for t in texts[at:end]])
+        place = np.minimum(np.searchsorted(known, every), len(known) - 1)
+        hit = known[place] == every
+        place, held = place[hit], np.bincount(np.repeat(np.arange(end - at), sizes)[hit], minlength=end - at)
+        some = np.flatnonzero(held)
+        if len(some):
+            out[at + some] = np.add.reduceat(right[place], (np.cumsum(held) - held)[some], axis=0, dtype=np.float64)
+        out[at:end] /= np.sqrt(np.maximum(sizes, 1))[:, None]
+        at = end
+    return out
 
 
 def landmarks_of(langs: list[str], lengths: list[int], most: int = LANDMARKS) -> list[int]:
@@ -127,11 +134,10 @@ class Model:
         self.known, self.langs, self.weights, self.bias = known, langs, weights, bias
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str]) -> Model:
-        """Nystrom features and ridge regression on the given rows. Ties between eigenvalues and between rows follow the rows' order."""
+    def fit(cls, found: list[np.ndarray], lengths: list[int], langs: list[str]) -> Model:
+        """Nystrom features and ridge regression on rows given by their n-grams, length and language, landmarks in the rows' order."""
         names = sorted(set(langs))
-        found = [grams(t) for t in texts]
-        chosen = landmarks_of(langs, [len(t) for t in texts])
+        chosen = landmarks_of(langs, lengths)
         marks = [found[i] for i in chosen]
         if not marks:
             return cls(np.zeros(0, np.uint64), names, np.zeros((0, len(names)), np.float32), np.zeros(len(names)))
@@ -168,6 +174,15 @@ class Model:
         return products([grams(t) for t in texts], self.known, self.weights) + self.bias
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            texts = part.column(2).to_pylist()
+            found = pa.array([grams(t).astype(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int32()), found], names=["place", "lang", "length", "grams"])
+
+
 def train(docs: DataFrame) -> Model:
     """Fit on labelled rows that are not held out and have a letter.
 
@@ -180,14 +195,17 @@ def train(docs: DataFrame) -> Model:
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.md5("text")]
     # The limit is known before the shuffle: no task sends more than PER_LANGUAGE rows of a language.
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= PER_LANGUAGE)
-    sample = staged(ranked.orderBy("place", "lang").limit(MAX_ROWS), "language-sample")
+    sample = ranked.orderBy("place", "lang").limit(MAX_ROWS).select("place", "lang", "text")
+    sample = staged(sample.mapInArrow(_sampled, "place int, lang string, length int, grams array<long>"), "language-sample")
 
-    def fit(sampled: pd.DataFrame) -> pd.DataFrame:
-        sampled = sampled.sort_values(["place", "lang"])
-        return pd.DataFrame({"model": [Model.fit(sampled["text"].tolist(), sampled["lang"].tolist()).pack()]})
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "lang"])
+        found = [np.asarray(g).astype(np.uint64) for g in rows["grams"]]
+        return pd.DataFrame({"model": [Model.fit(found, rows["length"].tolist(), rows["lang"].tolist()).pack()]})
 
-    fitted = sample.select("place", "lang", "text").groupBy(F.lit("all").alias("one")).applyInPandas(fit, "model binary").first()
-    return Model.unpack(bytes(fitted["model"])) if fitted else Model.fit([], [])
+    fitted = sample.groupBy(F.lit("all").alias("one")).applyInPandas(fit, "model binary").first()
+    release(sample)
+    return Model.unpack(bytes(fitted["model"])) if fitted else Model.fit([], [], [])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
