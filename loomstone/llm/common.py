@@ -24,14 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or else a folder in the warehouse.
 
-    Only where driver and executors are one process, as in local tests, a temporary folder stands in.
+    Only where driver and executors are one process, as in local tests, a temporary folder stands in. A warehouse on a machine's own
+    disk is refused: other machines could not read what one of them writes there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not (context.master == "local" or context.master.startswith("local[")):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomstone-scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; the warehouse {warehouse} is local")
+        return f"{warehouse}/loomstone-scratch"
     if context.applicationId not in _own_scratch:
         _own_scratch[context.applicationId] = tempfile.mkdtemp(prefix="loomstone-")
     return _own_scratch[context.applicationId]

@@ -262,33 +262,28 @@ def _sql_rule(of: str) -> str:
     return "CASE " + " ".join(arms) + " END"
 
 
-def _sql_pagerank(name: str, verdict: str, src: str, dst: str) -> str:
-    """The steps of propagate() as one table expression each."""
-    seeds = f"SELECT host, CAST({1 - url_filter.DAMPING!r} AS DOUBLE) AS score FROM seeds WHERE ruled = '{verdict}'"
-    steps = [
-        f"{name}_shares AS (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS degree FROM edges)",
-        f"{name}_0 AS (SELECT host, CAST(1 AS DOUBLE) AS score FROM seeds WHERE ruled = '{verdict}')",
-    ]
-    for k in range(url_filter.STEPS):
-        moved = f"SELECT dst AS host, CAST({url_filter.DAMPING} AS DOUBLE) * score / degree AS score FROM {name}_shares JOIN {name}_{k} ON src = host"
-        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM ({moved} UNION ALL {seeds}) GROUP BY host)")
-    return ", ".join(steps)
-
-
 _LINK = url_filter.LINK.replace("'", "''")
 _URLS = f"""
-WITH parsed AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, html FROM pages),
+WITH RECURSIVE parsed AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, html FROM pages),
 judged AS (SELECT *, {_sql_rule("rule")} AS rule, {_sql_rule("verdict")} AS ruled FROM parsed),
 seeds AS (SELECT DISTINCT host, ruled FROM judged WHERE host <> '' AND ruled IS NOT NULL),
 links AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{_LINK}', 2)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM parsed),
 edges AS (SELECT DISTINCT src, dst FROM links WHERE src <> '' AND src <> dst),
-{_sql_pagerank("trust", "allow", "src", "dst")}, {_sql_pagerank("distrust", "block", "dst", "src")},
+shares AS (
+  SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree
+  FROM (SELECT 'allow' AS kind, src, dst FROM edges UNION ALL SELECT 'block', dst, src FROM edges)
+),
+steps AS (
+  SELECT ruled AS kind, host, CAST({1 - url_filter.DAMPING!r} AS DOUBLE) AS score FROM seeds
+  UNION ALL
+  SELECT s.kind, s.dst, sum(CAST({url_filter.DAMPING} AS DOUBLE) * score / degree) AS arrived
+  FROM shares s JOIN steps p ON p.kind = s.kind AND p.host = s.src GROUP BY s.kind, s.dst HAVING sum(CAST({url_filter.DAMPING} AS DOUBLE) * score / degree) > {url_filter.TOLERANCE}
+),
 scores AS (
-  SELECT coalesce(t.host, d.host) AS host, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust
-  FROM trust_{url_filter.STEPS} t FULL JOIN distrust_{url_filter.STEPS} d ON t.host = d.host
+  SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust FROM steps GROUP BY host
 )
 SELECT page_id, host, path, rule,
-  coalesce(ruled, CASE WHEN distrust > {url_filter.BLOCK_RATIO} * trust AND distrust > {url_filter.FLOOR} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(ruled, CASE WHEN distrust > {url_filter.BLOCK_RATIO} * trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN scores USING (host)
 """
 

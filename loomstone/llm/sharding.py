@@ -13,13 +13,12 @@ third of all rows is neither one shard nor one task. A single row over the limit
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from loomstone.llm.common import join_split, packed, plain, staged
+from loomstone.llm.common import join_split, packed, plain, staged, staged_rows
 
 #: Bits of the hash, taken from the front of an MD5 sum.
 BITS = 60
@@ -63,19 +62,20 @@ def _settle(leaves: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return out.select("leaf", "bytes", "n", "alike", F.col("s.depth").alias("depth"), F.col("s.shard_bytes").alias("shard_bytes"))
 
 
-def assign(rows: DataFrame, keys: list[str], size: str, limit: int) -> DataFrame:
+def assign(rows: DataFrame, keys: list[str], size: str, limit: int, carry: list[str] | None = None) -> DataFrame:
     """`keys` of every row with bytes, shard, depth and shard_bytes (bytes of the whole shard).
 
     size: a column of bytes if it is a number, else a column whose own bytes count. shard is the hash prefix in
     binary digits ("" if one shard holds everything), with ".page" behind it for overflow pages. Null keys hash alike, null sizes
     and texts count 0, texts of any length count whole, repeated rows each keep a row (ties on a hash share its shard or pages). No
-    rows in: no rows out. Other columns, whatever their names, are ignored.
+    rows in: no rows out. carry: columns to return beside the keys; others, whatever their names, are ignored.
     """
     bare, own = plain(rows)
+    shown = [*keys, *(carry or [])]
     number = isinstance(bare.schema[own[size]].dataType, NumericType)
     counted = F.col(own[size]) if number else F.octet_length(F.col(own[size]).cast("string"))
     key = [F.col(own[k]) for k in keys]
-    hashed = bare.select(*[c.alias(f"k_{i}") for i, c in enumerate(key)], hash60(*key).alias("h"), F.coalesce(counted, F.lit(0)).cast("long").alias("bytes"), F.spark_partition_id().alias("part"))
+    hashed = bare.select(*[F.col(own[c]).alias(f"k_{i}") for i, c in enumerate(shown)], hash60(*key).alias("h"), F.coalesce(counted, F.lit(0)).cast("long").alias("bytes"), F.spark_partition_id().alias("part"))
     pending = hashed = staged(hashed, "shards-rows")
     total = hashed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     low = max(0, math.ceil(math.log2(max(1, total / limit))) - 2)
@@ -104,7 +104,7 @@ def assign(rows: DataFrame, keys: list[str], size: str, limit: int) -> DataFrame
     for part in found[1:]:
         out = out.unionByName(part)
     digits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(_prefix("h", F.col("depth"))), F.col("depth"), F.lit("0")))
-    named = [F.col(f"k_{i}").alias(k) for i, k in enumerate(keys)]
+    named = [F.col(f"k_{i}").alias(k) for i, k in enumerate(shown)]
     return out.select(*named, "bytes", F.concat(digits, F.coalesce(F.concat(F.lit("."), "page"), F.lit(""))).alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
 
 
@@ -127,17 +127,17 @@ def _overflow(rows: DataFrame, limit: int, depth: int) -> DataFrame:
 def write_shards(rows: DataFrame, keys: list[str], size: str, limit: int, path: str) -> DataFrame:
     """Write rows as one Parquet folder for each shard under `path` and return the directory: shard, rows and bytes.
 
-    The folders are shard=s<bits>; where rows has a column shard, its name gets underscores until it is free. `keys` must
-    identify a row.
+    The folders are shard=s<bits>; where rows has a column shard, its name gets underscores until it is free. Rows are numbered and
+    staged first, so rows that repeat, also in their keys, are each written once.
     """
     name = "shard"
     while name in rows.columns:
         name += "_"
-    shards = staged(assign(rows, keys, size, limit), "shards")
-    own = shards.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.concat(F.lit("s"), "shard").alias("folder"))
     bare, at, whole = packed(rows)
-    row = bare.select(whole.alias("row"), *[F.col(at[k]).alias(f"of_{i}") for i, k in enumerate(keys)])
-    same = reduce(lambda a, b: a & b, [F.col(f"of_{i}").eqNullSafe(F.col(f"key_{i}")) for i in range(len(keys))])
-    met = row.join(own, same).repartition("folder")
-    met.select("row.*", F.col("folder").alias(name)).write.partitionBy(name).parquet(path)
+    numbered = bare.select(whole.alias("_row"), *[F.col(at[k]).alias(f"of_{i}") for i, k in enumerate(keys)], F.col(at[size]).alias("size"))
+    numbered = staged_rows(numbered.withColumn("number", F.monotonically_increasing_id()), "shards-numbered")
+    shards = staged(assign(numbered, [f"of_{i}" for i in range(len(keys))], "size", limit, carry=["number"]), "shards")
+    folders = shards.select("number", F.concat(F.lit("s"), "shard").alias("_folder"))
+    met = numbered.select("_row", "number").join(folders, "number").repartition("_folder")
+    met.select("_row.*", F.col("_folder").alias(name)).write.partitionBy(name).parquet(path)
     return shards.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))

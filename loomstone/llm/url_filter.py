@@ -3,10 +3,12 @@
 A URL is judged by the longest rule that fits its host and path. Hosts whose URLs no rule fits are judged by link-graph
 propagation: personalised PageRank from trusted hosts (those that an allow rule fits) along links, and from blocked hosts
 against the direction of links, so that hosts which link to blocked ones are distrusted. Both take their steps together, over one
-table of directed edges. Edges are distinct host pairs; a step is a join with the edges and a grouped sum, and the link shares
-that reach a host are summed before they are shuffled. Hosts with more than one in HOT_SHARE of all links (fewer than
-HOT_SHARE) have their scores sent to their edges. Seeds, scores and edges stay in Spark. A host is blocked when its distrust exceeds its
-trust by the factor BLOCK_RATIO and FLOOR times the mean score of a seed; hosts without evidence are allowed.
+table of directed edges. The rank is the series of what a seed passes on over 0, 1, 2, ... links: a step moves only what has just
+arrived, so it is a join of the hosts reached last with their edges and a grouped sum, combined before the shuffle. What arrives at a host in one step and is no
+more than TOLERANCE is not passed on; a step passes on DAMPING of the mass at most, so the series ends by itself, however long
+the chains of links are. Hosts with more than one in HOT_SHARE of all links (fewer than HOT_SHARE) have their scores sent to their edges. Seeds,
+scores and edges stay in Spark. A host is blocked when its distrust exceeds its trust by the factor BLOCK_RATIO; hosts without
+evidence are allowed.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ RULES = [
     ("block", "com/de/"),
 ]
 DAMPING = 0.85
-STEPS = 12
+TOLERANCE = 1e-4
 BLOCK_RATIO = 1.0
-FLOOR = 1e-6
 LINK = r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -59,28 +60,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return each.filter((F.col("src") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score): personalised PageRank from the seeds (kind, host) along (kind, src, dst), for every kind apart.
 
-    Every seed starts with 1 and gets 1 - damping back in every step; score that reaches a host without links ends there.
+    Every seed starts with 1 - damping; score that reaches a host without links ends there. edges should be staged.
     """
     degree = edges.groupBy("kind", "src").agg(F.count("*").alias("degree"))
-    shares = staged(edges.join(degree, ["kind", "src"]), "pagerank-edges")
+    shares = staged(join_split(edges, degree, ["kind", "src"], "degree"), "pagerank-edges")
     limit = shares.count() / HOT_SHARE
     hubs = shares.filter(F.col("degree") > limit)
-    hub_hosts = hubs.select("kind", F.col("src").alias("host")).distinct()
+    hub_hosts = staged(hubs.select("kind", "src").distinct(), "pagerank-hubs")
+    some_hubs = not hub_hosts.isEmpty()
     others = shares.filter(F.col("degree") <= limit)
-    base = seeds.select("kind", "host", F.lit(1.0 - damping).alias("score"))
-    now, written = seeds.select("kind", "host", F.lit(1.0).alias("score")), None
-    for _ in range(steps):
-        scores = now.withColumnRenamed("host", "src")
-        far = F.broadcast(now.join(F.broadcast(hub_hosts), ["kind", "host"], "left_semi").withColumnRenamed("host", "src"))
-        met = others.join(scores, ["kind", "src"]).unionByName(hubs.join(far, ["kind", "src"]))
-        moved = met.select("kind", F.col("dst").alias("host"), (damping * F.col("score") / F.col("degree")).alias("score"))
-        now = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        now = written = staged(now, "pagerank-step", written)
+    reached = [staged(seeds.select("kind", F.col("host").alias("src"), F.lit(1.0 - damping).alias("score")), "pagerank-step")]
+    while not reached[-1].isEmpty():
+        met = others.join(reached[-1], ["kind", "src"])
+        if some_hubs:
+            far = reached[-1].join(F.broadcast(hub_hosts), ["kind", "src"], "left_semi")
+            met = met.unionByName(hubs.join(F.broadcast(far), ["kind", "src"]))
+        moved = met.groupBy("kind", F.col("dst").alias("src")).agg(F.sum(damping * F.col("score") / F.col("degree")).alias("score"))
+        reached.append(staged(moved.filter(F.col("score") > tolerance), "pagerank-step"))
+    every = reached[0]
+    for step in reached[1:]:
+        every = every.unionByName(step)
+    out = staged(every.groupBy("kind", F.col("src").alias("host")).agg(F.sum("score").alias("score")), "pagerank-scores", *reached)
     release(shares)
-    return now
+    return out
 
 
 def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -100,8 +105,7 @@ def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> Dat
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
 
     both = scores.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
-    blocked = (F.col("distrust") > BLOCK_RATIO * F.col("trust")) & (F.col("distrust") > FLOOR)
-    return both.withColumn("blocked", blocked)
+    return both.withColumn("blocked", F.col("distrust") > BLOCK_RATIO * F.col("trust"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomstone.llm import decontaminate, licenses, line_dedup, near_copies, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from loomstone.llm import common, decontaminate, licenses, line_dedup, near_copies, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, uid long, _row string, fp long, n_words long, shard string"
 PROSE = "the quick brown fox jumps over a lazy dog while seven wizards quietly mix potions in old stone towers by the river"
@@ -98,6 +98,41 @@ def test_shards_are_written_as_folders(spark, tmp_path):
     assert all(r["bytes"] <= 2000 for r in found)
 
 
+def test_shards_keep_each_repeated_row_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, None), (None, None), (2, "c" * 50)], "id long, text string").repartition(2)
+    for limit in (3, 1000):
+        found = sharding.write_shards(rows, ["id"], "text", limit, str(tmp_path / f"out{limit}")).collect()
+        back = spark.read.parquet(str(tmp_path / f"out{limit}"))
+        assert sorted((repr((r["id"], r["text"])) for r in back.collect())) == sorted(repr((r["id"], r["text"])) for r in rows.collect())
+        assert sum(r["rows"] for r in found) == 6 and sum(r["bytes"] for r in found) == 53
+        assert {"s" + r["shard"]: r["rows"] for r in found} == {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()}
+
+
+@pytest.mark.parametrize("share", [1, 50])
+def test_sharding_by_hot_and_by_other_leaves(docs, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    want = sorted(map(repr, sharding.assign(docs, ["doc_id"], "text", 500).collect()))
+    monkeypatch.setattr(common, "HOT_SHARE", 1000)
+    assert want == sorted(map(repr, sharding.assign(docs, ["doc_id"], "text", 500).collect()))
+
+
+def test_scratch_folder_needs_a_shared_store(spark):
+    class Context:
+        master, applicationId = "yarn", "a"
+
+    class Session:
+        sparkContext = Context()
+
+        def __init__(self, **given):
+            self.conf = {k.replace("_", "."): v for k, v in given.items()}
+
+    assert common.scratch_dir(Session(spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+    assert common.scratch_dir(Session(spark_sql_warehouse_dir="s3a://b/w")).startswith("s3a://b/w/")
+    for local in ("file:/work/spark-warehouse", "/work/spark-warehouse", "spark-warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.scratch_dir(Session(spark_sql_warehouse_dir=local))
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.assign(empty, ["doc_id"], "text", 100).collect() == []
 
@@ -678,13 +713,40 @@ def test_propagation_matches_a_plain_loop(spark):
     found = url_filter.propagate(table, spark.createDataFrame([("k", "a"), ("k", "d"), ("l", "a")], "kind string, host string")).collect()
     got = {r["host"]: r["score"] for r in found if r["kind"] == "k"}
     assert {r["host"] for r in found if r["kind"] == "l"} == {"a", "d"}
-    out, now = Counter(a for a, _ in edges), {"a": 1.0, "d": 1.0}
-    for _ in range(url_filter.STEPS):
-        new = defaultdict(float, {"a": 0.15, "d": 0.15})
+    assert {h: round(v, 9) for h, v in plain_ranks(edges, ["a", "d"]).items()} == {h: round(v, 9) for h, v in got.items()}
+
+
+def plain_ranks(edges, seeds):
+    """The series of what seeds pass on, a step at a time; no more than the tolerance is not passed on."""
+    out, now, total = Counter(a for a, _ in edges), dict.fromkeys(seeds, 1 - url_filter.DAMPING), defaultdict(float)
+    while now:
+        new = defaultdict(float)
+        for h, v in now.items():
+            total[h] += v
         for a, b in edges:
-            new[b] += 0.85 * now.get(a, 0.0) / out[a]
-        now = new
-    assert got.keys() == now.keys() and all(abs(got[h] - now[h]) < 1e-9 for h in now)
+            new[b] += url_filter.DAMPING * now.get(a, 0.0) / out[a]
+        now = {h: v for h, v in new.items() if v > url_filter.TOLERANCE}
+    return total
+
+
+@pytest.mark.parametrize("share", [1, 3, 1000])
+def test_propagation_with_hubs_and_others(spark, monkeypatch, share):
+    """HOT_SHARE decides which hosts are hubs: none, some, or all."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(url_filter, "HOT_SHARE", share)
+    rng = np.random.default_rng(1)
+    edges = sorted({("hub", f"h{i}") for i in range(60)} | {(f"h{a}", f"h{b}") for a, b in rng.integers(0, 60, (80, 2)) if a != b} | {(f"h{i}", "hub") for i in range(9)})
+    table = spark.createDataFrame([("k", *e) for e in edges], "kind string, src string, dst string")
+    found = url_filter.propagate(table, spark.createDataFrame([("k", "h1"), ("k", "hub")], "kind string, host string")).collect()
+    want = plain_ranks(edges, ["h1", "hub"])
+    assert {r["host"] for r in found} == set(want) and all(abs(r["score"] - want[r["host"]]) < 1e-9 for r in found)
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    pages = [(0, "http://bad.example.com/de/1", "")]
+    pages += [(i, f"http://h{i}.test/", f'<a href="http://{"bad.example.com" if i == 1 else f"h{i - 1}.test"}/">' + "x" * (2_000_000 if i == 7 else 0)) for i in range(1, 41)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert [r["verdict"] for r in url_filter.judge(table).collect()] == ["block"] * 41
 
 
 # pipeline
