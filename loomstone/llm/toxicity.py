@@ -12,8 +12,9 @@ task fits the machine on the sample's bucket ids, over every bucket with evidenc
 
 * singly: the log-odds of the label with and without the bucket differ by Z_SINGLE standard errors or more;
 * in pairs: what the machine of the single buckets leaves unexplained (label minus score, the scores first fitted to the labels by a
-  line on the logit) adds up, over the texts that hold both of two buckets, to Z_PAIR standard errors or more. Buckets in at least SUPPORT of the texts are tried against each other, so a pair
-  whose members say nothing alone is found too; a rarer pair that says much shows in its members.
+  line on the logit) adds up, over the texts that hold both of two buckets, to Z_PAIR standard errors or more. All pairs are tried whose members
+  can reach that: a pair's sum is no larger than either member's sum over the texts with a positive (or with a negative) remainder, so
+  leaving out buckets below Z_PAIR in both loses no pair, however rare.
 
 The model is a few numbers a bucket (at most BUCKETS of them). Scoring runs over all rows in Arrow batches.
 """
@@ -37,7 +38,8 @@ BUCKETS = 1 << 20
 MAX_ROWS = 16_384
 Z_SINGLE = 3.0
 Z_PAIR = 7.0
-SUPPORT = 1 / 32
+#: Columns of the blocks in which pairs are tried: 512 of them over MAX_ROWS rows take 32 MB.
+BLOCK = 512
 FACTORS = 8
 STEPS = 200
 RATE = 0.05
@@ -92,52 +94,70 @@ def single_evidence(ids: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarr
     return buckets, held, np.where(held > 1, odds / np.sqrt(1 / a + 1 / b), 0)
 
 
-def paired_evidence(ids: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, buckets: np.ndarray, block: int = 512) -> np.ndarray:
+def paired_evidence(ids: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """Which of buckets are in a pair in whose rows labels exceed (or fall below) their expected sum by Z_PAIR standard errors or more."""
     found = np.zeros(len(buckets), bool)
-    x = np.zeros((len(ids), len(buckets)), np.float32)
-    for i, r in enumerate(_places(ids, buckets)):
-        x[i, r] = 1
-    g = (labels - expected).astype(np.float32)[:, None]
-    # The larger of the expected and the seen variance: texts that the machine has missed spread wider than it expects.
-    variance = np.maximum(g**2, (expected * (1 - expected)).astype(np.float32)[:, None])
-    for i in range(0, len(buckets), block):
-        left = x[:, i : i + block]
-        for j in range(i, len(buckets), block):
-            right = x[:, j : j + block]
-            total, spread = (left * g).T @ right, (left * variance).T @ right
-            strong = np.abs(total) >= Z_PAIR * np.sqrt(np.maximum(spread, 1.0))
+    places = _places(ids, buckets)
+    who, at = np.repeat(np.arange(len(ids)), [len(r) for r in places]), np.concatenate(places)
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    g, variance = (x.astype(np.float32)[:, None] for x in (labels - expected, expected * (1 - expected)))
+
+    def block(i: int) -> np.ndarray:
+        lo, hi = np.searchsorted(at, (i, i + BLOCK))
+        x = np.zeros((len(ids), min(BLOCK, len(buckets) - i)), np.float32)
+        x[who[lo:hi], at[lo:hi] - i] = 1
+        return x
+
+    for i in range(0, len(buckets), BLOCK):
+        left = block(i)
+        sums, spreads = (left * g).T, (left * variance).T
+        for j in range(i, len(buckets), BLOCK):
+            right = left if i == j else block(j)
+            strong = np.abs(sums @ right) >= Z_PAIR * np.sqrt(np.maximum(spreads @ right, 1.0))
             if i == j:
                 np.fill_diagonal(strong, False)
-            found[i : i + block] |= strong.any(axis=1)
-            found[j : j + block] |= strong.any(axis=0)
+            found[i : i + BLOCK] |= strong.any(axis=1)
+            found[j : j + BLOCK] |= strong.any(axis=0)
     return found
 
 
-def calibrated(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Probabilities from a line on the logits, fitted to the labels by Newton's method; without it the regularised machine would leave
-    every text of one label with a residual of one sign."""
+def may_pair(ids: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Which of buckets a pair of Z_PAIR standard errors (of 1 at least) can hold: those whose positive or negative remainders reach it."""
+    places = _places(ids, buckets)
+    every, rest = np.concatenate(places), np.repeat(labels - expected, [len(r) for r in places])
+    up, down = (np.bincount(every, weights=np.maximum(sign * rest, 0), minlength=len(buckets)) for sign in (1, -1))
+    return (up >= Z_PAIR) | (down >= Z_PAIR)
+
+
+def calibration(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The line on the logits that fits the labels best, by Newton's method. The regularised machine is too flat: without the line it leaves
+    every text of one label with a remainder of one sign."""
     x = np.stack((np.ones(len(logits)), logits), axis=1)
     line = np.array([0.0, 1.0])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (labels - p))
         line = line + np.clip(step, -2, 2)
-    return 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
+    return line
 
 
 def learn(ids: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """The machine of the buckets with evidence, single or in pairs."""
+    """The machine of the buckets with evidence, single or in pairs, its scores calibrated on the rows."""
     buckets, held, z = single_evidence(ids, labels)
-    single = np.abs(z) >= Z_SINGLE
-    machine = Machine.fit(buckets[single], _places(ids, buckets[single]), labels)
+    chosen = buckets[np.abs(z) >= Z_SINGLE]
+    machine = Machine.fit(chosen, _places(ids, chosen), labels)
     if not len(ids):
         return machine
-    frequent = buckets[(held >= max(8, SUPPORT * len(ids))) & (held < len(ids))]
-    score = np.array([machine.of(r) for r in _places(ids, buckets[single])])
-    more = frequent[paired_evidence(ids, labels, calibrated(np.log(score / (1 - score)), labels), frequent)]
-    chosen = np.union1d(buckets[single], more)
-    return machine if len(chosen) == single.sum() else Machine.fit(chosen, _places(ids, chosen), labels)
+    machine = machine.scaled(*calibration(machine.logits(_places(ids, chosen)), labels))
+    expected = 1 / (1 + np.exp(-np.clip(machine.logits(_places(ids, chosen)), -30, 30)))
+    others = buckets[held < len(ids)]
+    tried = others[may_pair(ids, labels, expected, others)]
+    more = np.union1d(chosen, tried[paired_evidence(ids, labels, expected, tried)]) if len(tried) else chosen
+    if len(more) == len(chosen):
+        return machine
+    machine = Machine.fit(more, _places(ids, more), labels)
+    return machine.scaled(*calibration(machine.logits(_places(ids, more)), labels))
 
 
 class Machine:
@@ -212,9 +232,19 @@ class Machine:
 
     def of(self, at: list[int] | np.ndarray) -> float:
         """The score of a text that holds the buckets at these places."""
+        return 1 / (1 + math.exp(-min(max(self.logit(at), -30.0), 30.0)))
+
+    def logit(self, at: list[int] | np.ndarray) -> float:
         v = self.v[at]
-        total = self.bias + float(self.w[at].sum()) + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum())
-        return 1 / (1 + math.exp(-min(max(total, -30.0), 30.0)))
+        return self.bias + float(self.w[at].sum()) + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum())
+
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.logit(r) for r in rows])
+
+    def scaled(self, shift: float, slope: float) -> Machine:
+        """The machine whose logits are shift + slope times this one's."""
+        slope = max(slope, 1e-3)
+        return Machine(self.buckets, float(shift + slope * self.bias), (slope * self.w).astype(np.float32), (math.sqrt(slope) * self.v).astype(np.float32))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import collocations, language_id, prefix_trie
+from loomstone.llm import collocations, language_id, prefix_trie, toxicity
 
 # 11 prefix trie
 
@@ -240,3 +240,49 @@ def test_no_language_is_learnt_from_nothing(spark):
 def test_landmarks_take_turns():
     langs, lengths = ["a", "a", "a", "b", "b"], [10, language_id.LANDMARK_CHARS + 1, 5, language_id.LANDMARK_CHARS + 1, language_id.LANDMARK_CHARS + 2]
     assert language_id.landmarks_of(langs, lengths) == [0, 3, 2] and language_id.landmarks_of(langs, lengths, 2) == [0, 3]
+
+
+# 8 toxicity: evidence of pairs
+
+
+def test_pair_evidence_is_the_plain_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    ids = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(300)] + [np.zeros(0, np.int64)]
+    labels = np.array([float({2, 5} <= set(r.tolist()) or {7, 9, 11} <= set(r.tolist())) for r in ids])
+    expected = rng.random(301) * 0.2
+    buckets = np.arange(30)
+    want = np.zeros(30, bool)
+    for a in range(30):
+        for b in range(a):
+            both = [k for k, r in enumerate(ids) if a in r and b in r]
+            total, spread = sum(labels[k] - expected[k] for k in both), sum(expected[k] * (1 - expected[k]) for k in both)
+            if abs(total) >= toxicity.Z_PAIR * max(spread, 1) ** 0.5:
+                want[[a, b]] = True
+    assert want.any() and not want.all()
+    assert toxicity.paired_evidence(ids, labels, expected, buckets).tolist() == want.tolist()
+    may = toxicity.may_pair(ids, labels, expected, buckets)
+    assert not (want & ~may).any()
+    assert buckets[may][toxicity.paired_evidence(ids, labels, expected, buckets[may])].tolist() == buckets[want].tolist()
+
+
+def test_a_rare_pair_is_learnt():
+    """Two words in 2.5 % of the texts each, alone never toxic, together always, in 16 texts."""
+    rng = np.random.default_rng(0)
+    held = np.zeros((8000, 2), bool)
+    rows = rng.permutation(8000)
+    held[rows[:16]] = True
+    held[rows[16:200], 0] = held[rows[200:384], 1] = True
+    fill = rng.integers(0, 400, (8000, 30))
+    texts = [b" ".join([b"w%d" % w for w in line] + [b"foo"] * int(a) + [b"bar"] * int(b)) for line, (a, b) in zip(fill, held, strict=True)]
+    ids = [np.array(sorted({b for w in toxicity.distinct_words(t) for b in toxicity.terms_of(w)})) for t in texts]
+    model = toxicity.learn(ids, held.all(axis=1).astype(float))
+    assert model.score(b"foo bar w1 w2 w3") > 0.5 > 0.05 > max(model.score(b"foo w1 w2"), model.score(b"bar w1"), model.score(b"w1 w2"))
+
+
+def test_toxicity_of_repeated_ids_and_odd_labels(spark):
+    rows = [(i, "bad" if i % 2 else "good", "en", "s", 1, 2, "x") for i in range(200)] * 2
+    labels = [(i, i % 2) for i in range(200)] + [(1, 0), (1, None), (None, 1)]
+    frame, known = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, toxicity.train(frame, known)).collect()}
+    assert all((got[i] >= 0.3) == (i % 2 == 1) for i in got)
