@@ -34,6 +34,8 @@ MAX_ROWS = 8192
 LANDMARKS = 192
 LANDMARK_CHARS = 20_000
 RIDGE = 1e-3
+#: Times PER_LANGUAGE rows of a language are expected to be drawn before they are ranked.
+DRAWN = 4
 #: Characters of a text that are cut into n-grams at a time.
 SLICE = 1 << 20
 #: Numbers that a product gathers at a time.
@@ -186,17 +188,21 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Model:
     """Fit on labelled rows that are not held out and have a letter.
 
-    Null doc_ids and null languages teach nothing. Rows that tie on the hash of their doc_id are taken by doc_id, then text. Languages beyond MAX_ROWS rows in
-    all: those with the smallest hashes first. Other columns, whatever their names, are ignored.
+    Null doc_ids and null languages teach nothing; rows that repeat doc_id and text teach once; rows that tie on the hash of their doc_id are taken
+    by doc_id, then by text hash. Only rows whose hash is among about the smallest DRAWN * PER_LANGUAGE of their language are ranked, and
+    they without their texts; so a language of many copies may give fewer. Other columns, whatever their names, are ignored.
     """
     bare, own = plain(docs)
     rows = bare.select(F.col(own["doc_id"]).cast("long").alias("doc_id"), F.col(own["text"]).cast("string").alias("text"), column_or_null(bare, own, "lang", "string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.md5("text")]
-    # The limit is known before the shuffle: no task sends more than PER_LANGUAGE rows of a language.
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= PER_LANGUAGE)
-    sample = ranked.orderBy("place", "lang").limit(MAX_ROWS).select("place", "lang", "text")
-    sample = staged(sample.mapInArrow(_sampled, "place int, lang string, length int, grams array<long>"), "language-sample")
+    rows = rows.withColumns({"th": F.xxhash64("text"), "draw": F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)})
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_ROWS)  # as many rows at most
+    drawn = rows.select("lang", "doc_id", "th", "draw").join(F.broadcast(sizes), "lang").filter(F.col("draw") * F.col("rows") <= DRAWN * PER_LANGUAGE)
+    once = drawn.groupBy("lang", "doc_id", "th").agg(F.min("draw").alias("draw"))
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "th"))).filter(F.col("place") <= PER_LANGUAGE)
+    chosen = staged(ranked.orderBy("place", "lang").limit(MAX_ROWS).select("place", "lang", "doc_id", "th"), "language-chosen")
+    texts = rows.select("lang", "doc_id", "th", "text").join(F.broadcast(chosen), ["lang", "doc_id", "th"]).groupBy("place", "lang").agg(F.min("text").alias("text"))
+    sample = staged(texts.mapInArrow(_sampled, "place int, lang string, length int, grams array<long>"), "language-sample", chosen)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "lang"])
