@@ -171,11 +171,12 @@ def mined(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[Da
     found = frequent(relation, ["lang", "words"], ["words"], least)
     one = F.array("a")
     word = F.col("words")
-    levels = [found.filter("a is not null").select("name", "lang", word.alias("phrase"), word.alias("last"), "a", one.alias("heads"), one.alias("tails"))]
-    old = [found]
+    first = found.filter("a is not null").select("name", "lang", word.alias("phrase"), word.alias("last"), "a", one.alias("heads"), one.alias("tails"))
+    levels = [staged(first, "setm-level")]
     for _ in range(longest - 1):
         before, relation = relation, extended(relation, found)
         release(before)
+        release(found)
         found = frequent(relation, ["first", "rest"], ["first", "rest"], least)
         shorter = levels[-1]
         left = shorter.select(F.col("name").alias("first"), "lang", "phrase", "heads")
@@ -190,10 +191,8 @@ def mined(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[Da
                 "setm-level",
             )
         )
-        old.append(found)
     release(relation)
-    for table in old[1:]:
-        release(table)
+    release(found)
     return sizes, levels
 
 
