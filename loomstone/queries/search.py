@@ -2,40 +2,122 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.operators import search
+from loomstone.operators import fulltext, search
 from loomstone.operators.spelling import osa_distance
 from loomstone.queries.aggregates import query_log, trailing
 from loomstone.registry import query
+from loomstone.scratch import exists, shared_folder
 from loomstone.sources.tables import SQL_TOKENS, SQL_UNITS, read, tokens, units
 
 _SQL_TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_BM25 = f"""t AS (SELECT doc_id, {_SQL_TERMS.format("text")} AS t FROM documents),
-tf AS (SELECT doc_id, len(t) AS len, len(list_filter(t, lambda x: x = 'licensed')) AS a, len(list_filter(t, lambda x: x = 'license')) AS b FROM t),
-st AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM tf),
-bm AS (SELECT doc_id, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / mean)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / mean)) AS score FROM tf, st WHERE a > 0 AND b > 0)"""
+
+
+def _sql_fts(leaves: list[str], fits: str, name: str = "bm") -> str:
+    """Common table expressions: `name` has doc_id and the BM25 score of the documents for which `fits` holds over the leaves' counts tf0, tf1, ...
+    of the words t of text and s of source."""
+    n = range(len(leaves))
+    parts = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in n)
+    return f"""t AS (SELECT doc_id, {_SQL_TERMS.format("text")} AS t, {_SQL_TERMS.format("source")} AS s FROM documents),
+tf AS (SELECT doc_id, len(t) + len(s) AS len, {", ".join(f"{x} AS tf{i}" for i, x in enumerate(leaves))} FROM t),
+st AS (SELECT count(*) AS n, avg(len) AS mean, {", ".join(f"count(*) FILTER (tf{i} > 0) AS d{i}" for i in n)} FROM tf),
+{name} AS (SELECT doc_id, {parts} AS score FROM tf, st WHERE {fits})"""
+
+
+def _sql_term(test: str, field: str | None = None) -> str:
+    """How many words x of a field (of all by default) pass a test."""
+    return " + ".join(f"len(list_filter({f}, lambda x: {test}))" for f in ([field] if field else ["t", "s"]))
+
+
+def _sql_phrase(*words: str) -> str:
+    here = " AND ".join(f"{{0}}[i + {k}] = '{w}'" for k, w in enumerate(words))
+    return " + ".join(f"len(list_filter(range(1, len({f}) + 1), lambda i: {here.format(f)}))" for f in ("t", "s"))
+
+
+_BM25 = _sql_fts([_sql_term("x = 'licensed'"), _sql_term("x = 'license'")], "tf0 > 0 AND tf1 > 0")
+
+
+def index_of(spark, sf_dir):
+    """Path of the documents' full-text index, which is built where the shared folder has none for just these files."""
+    docs = read(spark, sf_dir, "documents")
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = [path_of(f) for f in sorted(docs.inputFiles())]
+    states = [(f.toString(), s.getLen(), s.getModificationTime()) for f in files for s in [f.getFileSystem(conf).getFileStatus(f)]]
+    path = f"{shared_folder(spark)}/fulltext-{hashlib.sha256(repr(states).encode()).hexdigest()[:24]}"
+    if not exists(spark, f"{path}/stats/_SUCCESS"):  # the statistics are written last
+        fulltext.build(docs, "doc_id", {"text": F.col("text"), "source": F.col("source")}, path)
+    return path
+
+
+def matched(spark, sf_dir, text):
+    """doc_id and score of the documents that fit a query; those that hold it as a substring, with score 0, where it is no query."""
+    try:
+        return fulltext.matches(spark, index_of(spark, sf_dir), text).withColumnRenamed("key", "doc_id")
+    except fulltext.QueryError:
+        held = F.contains(F.lower("text"), F.lower(F.lit(text)))
+        return read(spark, sf_dir, "documents").filter(held).select("doc_id", F.lit(0.0).alias("score"))
+
+
+def _best(found, limit=50):
+    return found.orderBy(F.desc("score"), "doc_id").limit(limit).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _bm25(spark, sf_dir, limit=None):
-    return search.bm25(read(spark, sf_dir, "documents"), "doc_id", "text", ["licensed", "license"], limit)
+    found = matched(spark, sf_dir, "licensed license")
+    return found if limit is None else found.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-@query("fts_match", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 50")
+@query("fts_index", rf"""WITH t AS (SELECT doc_id, unnest(list_concat({_SQL_TERMS.format("text")}, {_SQL_TERMS.format("source")})) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS rows, count(*) AS occurrences FROM t GROUP BY term""")
+def fts_index(spark, sf_dir):
+    """The index's dictionary; builds the index if there is none."""
+    return fulltext.dictionary(spark, index_of(spark, sf_dir))
+
+
+_TOP = "SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 50"
+
+
+@query("fts_match", f"WITH {_BM25} {_TOP}")
 def fts_match(spark, sf_dir):
-    return _bm25(spark, sf_dir, 50).select("doc_id", F.round("score", 6).alias("score"))
+    return _best(matched(spark, sf_dir, "licensed license"))
+
+
+@query("fts_phrase", f"WITH {_sql_fts([_sql_phrase('general', 'public', 'license')], 'tf0 > 0')} {_TOP}")
+def fts_phrase(spark, sf_dir):
+    return _best(matched(spark, sf_dir, '"General Public License"'))
+
+
+@query("fts_or", f"""WITH {_sql_fts([_sql_term("x = 'reserved'"), _sql_phrase("public", "license")], "tf0 > 0 OR tf1 > 0")} {_TOP}""")
+def fts_or(spark, sf_dir):
+    return _best(matched(spark, sf_dir, 'reserved OR "public license"'))
+
+
+@query("fts_prefix", f"""WITH {_sql_fts([_sql_term("starts_with(x, 'licen')"), _sql_term("x = 'gnu'")], "tf0 > 0 AND NOT tf1 > 0")} {_TOP}""")
+def fts_prefix(spark, sf_dir):
+    return _best(matched(spark, sf_dir, "licen* NOT gnu"))
+
+
+@query("fts_column", f"""WITH {_sql_fts([_sql_term("x = 'src0'", "s"), _sql_term("x = 'license'"), _sql_term("x = 'reserved'", "t")], "tf0 > 0 AND (tf1 > 0 OR tf2 > 0)")} {_TOP}""")
+def fts_column(spark, sf_dir):
+    return _best(matched(spark, sf_dir, "source:src0 AND (license OR text:reserved)"))
+
+
+@query("fts_fallback", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'license, version') ORDER BY doc_id LIMIT 50")
+def fts_fallback(spark, sf_dir):
+    """What is no query is looked for as it stands."""
+    return _best(matched(spark, sf_dir, "License, version"))
 
 
 @query("fts_paginated", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, (SELECT count(*) FROM bm) AS total FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10 OFFSET 10")
 def fts_paginated(spark, sf_dir):
-    """A page of hits with the total; without any hit the newest rows that hold the text as a substring."""
+    """A page of hits with the total."""
     hits = _bm25(spark, sf_dir)
-    if hits.isEmpty():
-        rows = read(spark, sf_dir, "documents").filter(F.col("text").ilike("%licensed license%"))
-        hits = rows.select("doc_id", F.lit(0.0).alias("score"))
     total = hits.agg(F.count("*").cast("long").alias("total"))
     return hits.orderBy(F.desc("score"), "doc_id").offset(10).limit(10).join(total).select("doc_id", F.round("score", 6).alias("score"), "total")
 
@@ -43,7 +125,7 @@ def fts_paginated(spark, sf_dir):
 @query("fts_cli_filter", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE source IN ('src0', 'src1', 'src2') ORDER BY bm.score DESC, doc_id LIMIT 50")
 def fts_cli_filter(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").filter(F.col("source").isin("src0", "src1", "src2")).select("doc_id")
-    return _bm25(spark, sf_dir).join(docs, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+    return _best(_bm25(spark, sf_dir).join(docs, "doc_id", "left_semi"))
 
 
 _DIST = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
