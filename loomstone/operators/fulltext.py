@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from loomstone.operators.search import K1, B, terms
 
+#: Of the files; an index with another one is built anew.
+LAYOUT = 1
 LEAD = 2
 FOLDER_ROWS = 50_000
 MOST_FOLDERS = 4096

@@ -49,7 +49,7 @@ def index_of(spark, sf_dir):
     conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = [path_of(f) for f in sorted(docs.inputFiles())]
     states = [(f.toString(), s.getLen(), s.getModificationTime()) for f in files for s in [f.getFileSystem(conf).getFileStatus(f)]]
-    path = f"{shared_folder(spark)}/fulltext-{hashlib.sha256(repr(states).encode()).hexdigest()[:24]}"
+    path = f"{shared_folder(spark)}/fulltext-{hashlib.sha256(repr((fulltext.LAYOUT, states)).encode()).hexdigest()[:24]}"
     if not exists(spark, f"{path}/stats/_SUCCESS"):  # the statistics are written last
         fulltext.build(docs, "doc_id", {"text": F.col("text"), "source": F.col("source")}, path)
     return path
