@@ -14,8 +14,9 @@ of the ranges that end up non-empty are located by walking the transform back to
 of a document are merged into removal spans.
 
 The benchmark is the query set: it is read in blocks of at most BLOCK_BYTES of text. Each block is sent to the tasks, searched in all
-rows and dropped before the next one is read, so neither the driver nor a task ever holds more than one. Of several blocks, each
-leaves a table of the rows that it hits; their spans meet by row. In a shard only those phrases are searched whose words all
+rows and dropped before the next one is read, so neither the driver nor a task ever holds more than one. Equal texts are one, and a text
+longer than half a block is cut into parts that overlap by a window less one word. Each of several blocks leaves a table of the rows that
+it hits; their spans meet by row at the end. In a shard only those phrases are searched whose words all
 occur in it.
 """
 
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import packed, plain, replaced, staged, staged_rows
@@ -286,6 +288,35 @@ def _cut(part: pa.RecordBatch, n_words: list[int], spans: list[list[tuple[int, i
 _SPANS = "array<struct<start:int,end:int>>"
 
 
+def _blocks(items: DataFrame, total: int, window: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(tid, item) for the distinct texts with words, and (block, tid, text): their parts, of which a block has at most block_bytes (or
+    one part of `window` longer words)."""
+    half = max(block_bytes // 2, 1)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                words, start = words_of(text.as_py()), 0
+                while start < len(words):
+                    end, size = start, 0
+                    while end < len(words) and (end - start < window or size + len(words[end]) < half):
+                        size += len(words[end]) + 1
+                        end += 1
+                    part = b" ".join(words[start:end])
+                    yield pa.RecordBatch.from_arrays([pa.array([tid], pa.int64()), pa.array([start], pa.int64()), pa.array([part], pa.binary()).cast(pa.string())], names=["tid", "start", "text"])
+                    start = end if end == len(words) else end - window + 1
+
+    once = items.filter(F.col("text").isNotNull()).select("text").distinct().withColumn("tid", F.monotonically_increasing_id())
+    once = staged(once, "decontaminate-texts")
+    cut = once.select("tid", "text").mapInArrow(parts, "tid long, start long, text string")
+    # Texts are dealt to groups of about 16 blocks by their hash, and within a group to blocks by running sums.
+    group = F.pmod(F.xxhash64("tid", "start"), F.lit(-(-total // (16 * block_bytes))))
+    size = F.octet_length("text")
+    before = F.sum(size).over(Window.partitionBy("group").orderBy("tid", "start").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = cut.withColumn("group", group).withColumn("block", F.concat_ws("-", "group", F.floor(F.coalesce(before, F.lit(0)) / half).cast("string")))
+    return once.join(items, "text").select("tid", "item"), staged(dealt.select("block", "tid", "text"), "decontaminate-blocks")
+
+
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """For every row of docs: `_row` (its columns but text, as a struct), `_n_words`, `_spans` (merged [start, end) spans of
     hit words) and `_items` (ids of the benchmark items that occur). With keep_text also `_text`, from which the spans
@@ -301,7 +332,6 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     bare, at = plain(benchmark)
     items = bare.select(F.col(at["item_id"]).cast("string").alias("item"), F.col(at["text"]).cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
     bare, own, row = packed(docs, without="text")
     source = bare.select(F.col(own["text"]).cast("string").alias("_text"), row.alias("_row"))
     new = [("_n_words", "long"), ("_spans", _SPANS), ("_items", "array<string>"), *([("_text", "string")] if keep_text else [])]
@@ -315,7 +345,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         columns = [part.column("_row"), pa.array(n_words, pa.int64()), pa.array(_dicts(spans), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays([*columns, *([_cut(part, n_words, spans)] if keep_text else [])], names=["_row", *[n for n, _ in new]])
 
-    if n_blocks == 1:
+    if total <= block_bytes:
         phrases = sent(items)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,21 +355,23 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         return source.mapInArrow(search, schema)
 
     source = staged_rows(source.withColumn("_uid", F.monotonically_increasing_id()), "decontaminate-rows")  # from here on _uid is fixed
-    hit = None
-    for k in range(n_blocks):
-        phrases = sent(items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k))
+    texts, blocks = _blocks(items, total, window, block_bytes)
+    hits = []
+    for block in [r["block"] for r in blocks.select("block").distinct().orderBy("block").toLocalIterator()]:
+        phrases = sent(blocks.filter(F.col("block") == block).select(F.col("tid").cast("string").alias("item"), "text"))
 
         def among(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for part in _parts(batches):
                 _, spans, found = _hits(part, phrases.value)
                 some = [i for i, s in enumerate(spans) if s]
                 columns = [part.column("_uid").take(pa.array(some, pa.int64())), pa.array(_dicts([spans[i] for i in some]), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([found[i] for i in some], pa.list_(pa.string()))], names=["_uid", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([found[i] for i in some], pa.list_(pa.string()))], names=["_uid", "_spans", "_tids"])
 
-        mine = source.select("_uid", "_text").mapInArrow(among, f"_uid long, _spans {_SPANS}, _items array<string>")
-        hit = staged(mine if hit is None else hit.unionByName(mine), "decontaminate-hits", hit)
+        hits.append(staged(source.select("_uid", "_text").mapInArrow(among, f"_uid long, _spans {_SPANS}, _tids array<string>"), "decontaminate-hits"))
         phrases.destroy()
-    per = hit.groupBy("_uid").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+    hit = reduce(DataFrame.unionByName, hits, spark.createDataFrame([], f"_uid long, _spans {_SPANS}, _tids array<string>"))
+    named = hit.select("_uid", F.explode("_tids").alias("tid")).withColumn("tid", F.col("tid").cast("long")).distinct().join(texts, "tid").groupBy("_uid").agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    per = hit.groupBy("_uid").agg(F.flatten(F.collect_list("_spans")).alias("_spans")).join(named, "_uid", "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):

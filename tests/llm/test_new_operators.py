@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import collocations, language_id, prefix_trie, toxicity
+from loomstone.llm import collocations, decontaminate, language_id, prefix_trie, toxicity
 
 # 11 prefix trie
 
@@ -286,3 +286,25 @@ def test_toxicity_of_repeated_ids_and_odd_labels(spark):
     frame, known = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, toxicity.train(frame, known)).collect()}
     assert all((got[i] >= 0.3) == (i % 2 == 1) for i in got)
+
+
+# 9 decontamination: blocks of the benchmark
+
+
+@pytest.mark.parametrize("block_bytes", [200, 1000])
+def test_blocks_hold_equal_texts_once_and_cut_long_ones(spark, block_bytes):
+    long = " ".join(f"w{i}" for i in range(400))
+    equal = " ".join(f"v{i}" for i in range(20))
+    items = [(f"same{i}", equal) for i in range(500)] + [("long", long), ("short", "only four words here"), (None, "x " * 14), ("none", None), ("blank", " ")]
+    bench = spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    rows = [(1, f"a {equal} b", "en"), (2, " ".join(f"w{i}" for i in range(95, 130)), "en"), (3, "so only four words here end", "en"), (4, "x " * 20, "en"), (5, None, "en"), (6, "w1 w2 w3", "en")]
+    docs = spark.createDataFrame([(*r, "s", 1, 2, "x") for r in rows], DOCUMENTS)
+
+    def found(limit):
+        return sorted((r["_row"]["doc_id"], r["_n_words"], tuple(r["_items"]), tuple(map(tuple, r["_spans"]))) for r in decontaminate.find_spans(docs, bench, block_bytes=limit).collect())
+
+    assert found(block_bytes) == found(1 << 20)
+    plain = bench.select(F.col("item_id").alias("item"), "text")
+    _, blocks = decontaminate._blocks(plain, 14_000, 13, block_bytes)
+    sizes = blocks.groupBy("block").agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    assert len(sizes) > 1 and max(r["size"] for r in sizes) <= block_bytes
