@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomstone.operators.search import K1, B, terms
 
 #: Of the files; an index with another one is built anew.
-LAYOUT = 1
+LAYOUT = 2
 LEAD = 2
 FOLDER_ROWS = 50_000
 MOST_FOLDERS = 4096
@@ -128,6 +128,11 @@ def _folder(term: Column, folders: int) -> Column:
 
 def build(rows: DataFrame, key: str, fields: dict[str, Column], path: str) -> None:
     """Write the index of rows to path. key identifies a row; null fields have no words."""
+    spark = rows.sparkSession
+    share = math.ceil(rows.count() / FOLDER_ROWS)
+    folders = min(max(share, 4), MOST_FOLDERS)
+    if share < SPREAD:  # a small table may lie in one row group
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
     none = F.array().cast("array<string>")
     cut = rows.select(F.col(key).alias("key"), *[F.coalesce(terms(c.cast("string")), none).alias(f) for f, c in fields.items()])
     cut = cut.withColumn("len", reduce(lambda a, b: a + b, [F.size(f) for f in fields]))
@@ -153,11 +158,9 @@ def build(rows: DataFrame, key: str, fields: dict[str, Column], path: str) -> No
             columns = [batch.column(0).take(taken), pa.array(word, pa.string()), pa.array(where, pa.string()), listed, batch.column(len(names) + 1).take(taken)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "term", "field", "places", "len"])
 
-    share = math.ceil(rows.count() / FOLDER_ROWS)
-    folders = min(max(share, 4), MOST_FOLDERS)
     kind = cut.schema["key"].dataType.simpleString()
     found = cut.mapInArrow(postings, f"key {kind}, {_POSTINGS}").withColumn("folder", _folder(F.col("term"), folders))
-    spread = found.repartition("folder", F.pmod(F.xxhash64("key"), F.lit(min(max(share, 8), SPREAD))))
+    spread = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", F.pmod(F.xxhash64("key"), F.lit(min(max(share, 8), SPREAD))))
     spread.sortWithinPartitions("folder", "term", "key").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
     stats = cut.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     stats.withColumns({"fields": F.array(*[F.lit(f) for f in fields]), "folders": F.lit(folders), "key": F.lit(None).cast(kind)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")

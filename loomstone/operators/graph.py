@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage where a checkpoint folder is set; caches otherwise."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from loomstone.scratch import staged
 
 
 def neighborhood(edges: DataFrame, start: DataFrame, hops: int, directed: bool = True) -> DataFrame:
@@ -32,29 +29,36 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 20) -> DataFrame:
-    """(position, node) of a shortest directed path; no rows if there is none. Among equal parents the smallest wins."""
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(position, node) of a shortest directed path, however long; no rows if there is none. Among equal parents the smallest wins.
+
+    Each step joins the nodes reached last with the edges; the search ends at the target or where nothing new is reached.
+    """
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
+    pairs = staged(edges.select("src", "dst").distinct(), "graph-pairs")
     visited = spark.createDataFrame([(source, None, 0)], "node string, parent string, hop int")
-    frontier = visited
-    hop = 0
-    while hop < max_hops and source != target and visited.filter(F.col("node") == target).isEmpty():
+    frontier, hop = visited, 0
+    while frontier.filter(F.col("node") == target).isEmpty():
         hop += 1
         step = frontier.join(pairs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        frontier = _cut(step.join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = staged(step.join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "graph-frontier")
         if frontier.isEmpty():
-            break
+            return spark.createDataFrame([], "position int, node string")
         visited = visited.unionByName(frontier)
-    path, at = [], target
-    while at is not None:  # one lookup for each node of the path
-        row = visited.filter(F.col("node") == at).first()
-        if row is None:
-            path = []
-            break
-        path.append((row["hop"], at))
-        at = row["parent"]
-    return spark.createDataFrame(path, "position int, node string")
+    return _path_to(visited, target, hop)
+
+
+def _path_to(visited: DataFrame, target: str, hops: int) -> DataFrame:
+    """(position, node) of target and all its ancestors. Jumps to the 2nd, 4th, 8th, ... ancestor come from joining the jumps before with
+    themselves, so the path takes as many joins as its length has binary digits."""
+    on = visited.sparkSession.createDataFrame([(target,)], "node string")
+    jumps = [visited.filter("parent is not null").select("node", "parent")]
+    while 2 ** len(jumps) <= hops:
+        far = jumps[-1].select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        jumps.append(staged(jumps[-1].join(far, "parent").select("node", F.col("far").alias("parent")), "graph-jumps"))
+    for jump in reversed(jumps):
+        on = on.unionByName(on.join(jump, "node").select(F.col("parent").alias("node"))).distinct()
+    return visited.join(on, "node", "left_semi").select(F.col("hop").alias("position"), "node")
 
 
 def branches(edges: DataFrame, root: DataFrame, depth: int = 3, per_node: int = 12) -> DataFrame:

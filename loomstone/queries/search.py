@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
 from loomstone.operators import fulltext, search
-from loomstone.operators.spelling import osa_distance
+from loomstone.operators.spelling import near_distance
 from loomstone.queries.aggregates import query_log, trailing
 from loomstone.registry import query
 from loomstone.scratch import exists, shared_folder
@@ -307,11 +307,11 @@ def spell_check(spark, sf_dir):
     """The best correction of every misspelt word (each of the corpus's words without its first character): optimal string alignment
     distance of at most 2 to a dictionary of the corpus.
 
-    Words and dictionary meet on deletion neighbourhoods (each word and the words with one or two letters less), so only
-    candidates within reach are compared.
+    Words and dictionary meet on deletion neighbourhoods (each word and the words with one or two letters less) or, where they are
+    long, on fifths of the term, so only candidates within reach are compared.
     """
     dictionary = tokens(spark, sf_dir).groupBy(F.col("normalized").alias("term")).agg(F.count("*").cast("long").alias("frequency"))
-    return correct(dictionary.select(F.substring("term", 2, 1000).alias("word")).distinct(), dictionary)
+    return correct(dictionary.select(F.expr("substring(term, 2)").alias("word")).distinct(), dictionary)
 
 
 def _deletions(word):
@@ -324,14 +324,46 @@ def _deletions(word):
     return F.array_distinct(F.concat(F.array(word), one, two))
 
 
+SHORT = 22
+PARTS = 5
+
+
+def _part(word, size, i, shift):
+    """The i-th fifth of a term of `size` characters, looked for in word `shift` characters further on; null outside of the word."""
+    start = F.floor(size * i / PARTS) + shift
+    stop = F.floor(size * (i + 1) / PARTS) + shift
+    text = F.concat_ws(":", size, i, word.substr((start + 1).cast("int"), (stop - start).cast("int")))
+    return F.when((start >= 0) & (stop <= F.length(word)), text)
+
+
+def _fifths(term):
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: _part(term, F.length(term), i, F.lit(0)))
+
+
+def _probes(word):
+    """Where the fifths of terms within distance 2 can stand in a word. An edit touches two fifths at most (a swap at a border), so of five one is
+    whole, and it has moved by two places at most."""
+    reach = F.sequence(F.lit(-2), F.lit(2))
+    each = F.transform(reach, lambda d: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.transform(reach, lambda s: _part(word, F.length(word) + d, i, s))))
+    return F.array_distinct(F.array_compact(F.flatten(F.flatten(each))))
+
+
 def correct(words, dictionary):
     """word, term, distance and confidence; words without a candidate within distance 2 are left out."""
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+        return pd.Series([near_distance(x, y, 2) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    # Words of up to SHORT + 2 characters meet on deletions, words from SHORT on by parts; two within reach are both the one or both the other.
+    short, long = F.length("w") <= SHORT + 2, F.length("w") >= SHORT
+
+    def keyed(rows, name, columns, longer):
+        w = rows.withColumn("w", F.col(name))
+        by_letters = w.filter(short).select(*columns, F.explode(_deletions(F.col("w"))).alias("part"))
+        return by_letters.unionByName(w.filter(long).select(*columns, F.explode(longer(F.col("w"))).alias("part")))
 
-    left = words.select("word", F.explode(_deletions(F.col("word"))).alias("part"))
-    right = dictionary.select("term", "frequency", F.explode(_deletions(F.col("term"))).alias("part"))
+    left = keyed(words, "word", ["word"], _probes)
+    right = keyed(dictionary, "term", ["term", "frequency"], _fifths)
     pairs = left.join(right, "part").filter(F.abs(F.length("word") - F.length("term")) <= 2).select("word", "term", "frequency").distinct()
     # Two edits with swaps are at most four without; only what two to four plain edits separate may hold a swap.
     plain = pairs.withColumn("edits", F.levenshtein("word", "term", 4)).filter("edits >= 0")
