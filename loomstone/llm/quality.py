@@ -3,10 +3,14 @@
 Each document gets counts (words, symbols, repeated lines, words in repeated windows) and from them a vector of transformed
 statistics. For each language and source the centre and covariance of these vectors are estimated by minimum covariance
 determinant: from two starts (distance from the coordinatewise medians in units of the median absolute deviation, and
-all rows), concentration steps keep the share SUBSET of rows with the smallest distances and estimate again; the
-start with the smaller determinant wins. All estimates are grouped sums and percentile sketches, combined before they
-are shuffled, over a staged table of a few numbers a document, so a source with a third of all rows is no burden. A
-document is rejected when its squared Mahalanobis distance exceeds CUTOFF, the far tail of the chi-square law.
+all rows), concentration steps keep the share SUBSET of rows with the smallest distances and estimate again until the
+determinant stands still; the start with the smaller determinant wins. All estimates are grouped sums and percentile
+sketches, combined before they are shuffled, over a staged table of a few numbers a document, so a source with a third
+of all rows is no burden. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF, the far tail of
+the chi-square law.
+
+Small groups are no special case: a group's estimates are pooled with PRIOR rows of its language's, these with PRIOR rows
+of the corpus's, and these with PRIOR rows of the spreads WIDE, so they give way as rows come in.
 
 Statistics that are constant in most documents (no symbols, no repetition) would make the covariance singular; each has a
 floor: FLOORS**2 is added to the diagonal, the regularised form of the estimator.
@@ -20,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import SPACE, column_or_null, let, packed, staged, staged_rows, unpacked
+from loomstone.llm.common import SPACE, column_or_null, join_split, let, packed, staged, staged_rows, unpacked
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -29,14 +33,16 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 #: Share of a group's rows that the estimates rest on.
 SUBSET = 0.75
-STEPS = 3
-#: A group with fewer rows uses the estimates of its language, and a language with fewer rows rejects nothing.
-MIN_GROUP = 100
-#: Estimates of so many groups (about 800 bytes each) are broadcast; beyond it their joins are salted.
+#: A group is done when a step lowers the logarithm of its determinant by less. It cannot fall below the floors', so steps end.
+TOLERANCE = 1e-3
+#: Rows of the wider estimates that a group's own are pooled with.
+PRIOR = 100
+#: Estimates of so many groups (about 800 bytes each) are broadcast; beyond it only those of groups with many rows are.
 BROADCAST_GROUPS = 10_000
-SALTS = 32
 #: Transformed statistics and the standard deviation added to each as a floor.
 FLOORS = {"x_word_length": 0.06, "x_symbols": 0.04, "x_lines": 0.15, "x_repeats": 0.15, "x_upper": 0.05}
+#: Standard deviations that are assumed where there are no rows to tell.
+WIDE = {"x_word_length": 0.5, "x_symbols": 0.3, "x_lines": 0.5, "x_repeats": 0.5, "x_upper": 0.3}
 #: Squared distance beyond which a document is rejected; chi-square with 5 degrees of freedom exceeds 45 once in 7e7.
 CUTOFF = 45.0
 
@@ -68,7 +74,13 @@ def _repeat_words(w: Column) -> Column:
 
         return let(placed, lambda s: let(starts(s), covered))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    def doubled(hashes: Column, by: int) -> Column:
+        """Hashes of runs twice as long, each from the two runs that make it up."""
+        return let(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - by), F.slice(h, F.lit(by + 1), F.size(h) - by), lambda a, b: F.xxhash64(a, b)))
+
+    windows = F.transform(w, lambda x: F.xxhash64(x))
+    for k in range(int(math.log2(WINDOW))):
+        windows = doubled(windows, 2**k)
     repeated = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(twice(h)))
     return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(repeated)
 
@@ -176,7 +188,9 @@ def _distance(tag: str) -> Column:
 
 def _estimate(centre: Column, covariance: Column, factor: float, tag: str) -> Column:
     found = _inverse(covariance, factor)
-    return let(found, lambda f: F.struct(centre.alias("centre"), f["inverse"].alias("inverse"), f["log_det"].alias("log_det"))).alias(tag)
+    scaled = F.transform(covariance, lambda row: F.transform(row, lambda v: v * factor))
+    parts = lambda f: F.struct(centre.alias("centre"), scaled.alias("covariance"), f["inverse"].alias("inverse"), f["log_det"].alias("log_det"))
+    return let(found, parts).alias(tag)
 
 
 def _consistency(share: float, p: int) -> float:
@@ -200,20 +214,19 @@ _STARTS = ["a", "b"]
 
 
 def _with_estimates(rows: DataFrame, estimates: DataFrame, group: str, groups: int, how: str = "inner") -> DataFrame:
-    """rows joined with their group's estimates, so that a large group does not meet in one task: the estimates are sent to all
-    tasks if they are few, else the join's key is salted."""
+    """rows joined with their group's estimates, which have the group's number of rows in `size`. They are sent to all tasks if they
+    are few, else only those of large groups are, so that no large group meets in one task. rows should be staged."""
     if groups <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(estimates), group, how)
-    salted = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = rows.withColumn("_salt", F.pmod(F.xxhash64(*_X), F.lit(SALTS)).cast("int"))
-    return own.join(salted, [group, "_salt"], how).drop("_salt")
+    return join_split(rows, estimates, [group], "size", how)
 
 
 def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
-    """Minimum-covariance-determinant estimates (struct e: centre, inverse, log_det) by `group` over the columns of FLOORS.
+    """Minimum-covariance-determinant estimates (struct e: centre, covariance, inverse, log_det) by `group` over the columns of
+    FLOORS, and the group's number of rows (size).
 
-    Groups with fewer than MIN_GROUP rows are left out. Both starts take their steps in the same passes: a pass for the
-    limits of the distances and one for the moments of the rows within them.
+    Both starts take their steps in the same passes: a pass for the limits of the distances and one for the moments of the
+    rows within them. Groups whose determinants stand still take no further part, so a pass meets fewer rows each time.
     """
     rows = rows.select(group, *_X)
     p = range(len(_X))
@@ -222,26 +235,65 @@ def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
         return _with_estimates(rows, estimates, group, groups)
 
     middle = F.array(*[F.percentile_approx(x, 0.5, 1000) for x in _X]).alias("middle")
-    first = rows.groupBy(group).agg(F.count("*").alias("size"), middle, *_moments(None, "b")).filter(F.col("size") >= MIN_GROUP)
-    first = middles = staged(first.select(group, "middle", _estimate(_centre("b"), _covariance("b"), 1.0, "b")), "quality-medians")
+    first = rows.groupBy(group).agg(F.count("*").alias("size"), middle, *_moments(None, "b"))
+    first = middles = staged(first.select(group, "size", "middle", _estimate(_centre("b"), _covariance("b"), 1.0, "b")), "quality-medians")
     groups = first.count()
     apart = F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col("middle")[i]), 0.5, 1000) for i, x in enumerate(_X)]).alias("apart")
-    spread = met(first.select(group, "middle")).groupBy(group).agg(apart)
+    spread = met(first.select(group, "size", "middle")).groupBy(group).agg(apart)
     scales = F.array(*[F.array(*[F.pow(F.col("apart")[i] * 1.4826, 2) if i == j else F.lit(0.0) for j in p]) for i in p])
-    now = staged(first.join(spread, group).select(group, _estimate(F.col("middle"), scales, 1.0, "a"), "b"), "quality-start", middles)
-    factor = _consistency(SUBSET, len(_X))
-    for _ in range(STEPS):
+    # A start's own determinant is not comparable: its spread is not that of a subset.
+    start = first.join(spread, group).select(group, "size", _estimate(F.col("middle"), scales, 1.0, "a"), "b", F.lit(True).alias("first"))
+    now = staged(start, "quality-start", middles)
+    factor, settled = _consistency(SUBSET, len(_X)), []
+    while not now.isEmpty():
         limits = met(now).groupBy(group).agg(*[F.percentile_approx(_distance(t), SUBSET, 1000).alias(f"{t}_limit") for t in _STARTS])
-        limited = staged(now.join(limits, group), "quality-limits", now)
+        limited = staged(now.join(limits, group), "quality-limits")
         # The distance stands once for each start in the plan; the sums refer to whether a row is near.
         near = met(limited).select(group, *_X, *[(_distance(t) <= F.col(f"{t}_limit")).alias(f"{t}_near") for t in _STARTS])
         moments = near.groupBy(group).agg(*[m for t in _STARTS for m in _moments(F.col(f"{t}_near"), t)])
-        now = staged(moments.select(group, *[_estimate(_centre(t), _covariance(t), factor, t) for t in _STARTS]), "quality-step", limited)
-    return now.select(group, F.when(F.col("a.log_det") <= F.col("b.log_det"), F.col("a")).otherwise(F.col("b")).alias("e"))
+        after = moments.select(group, *[_estimate(_centre(t), _covariance(t), factor, f"{t}_next") for t in _STARTS])
+        falls = {t: F.col("first") | (F.col(f"{t}_next.log_det") < F.col(f"{t}.log_det") - TOLERANCE) for t in _STARTS}
+        better = [F.when(falls[t] | (F.col(f"{t}_next.log_det") < F.col(f"{t}.log_det")), F.col(f"{t}_next")).otherwise(F.col(t)).alias(t) for t in _STARTS]
+        step = now.join(after, group).select(group, "size", *better, F.lit(False).alias("first"), reduce(lambda a, b: a | b, falls.values()).alias("moved"))
+        step = staged(step, "quality-step", now, limited)
+        settled.append(step.filter(~F.col("moved")))
+        now = step.filter("moved").drop("moved")
+    done = reduce(lambda a, b: a.unionByName(b), settled) if settled else now.withColumn("moved", F.lit(False))
+    return done.select(group, "size", F.when(F.col("a.log_det") <= F.col("b.log_det"), F.col("a")).otherwise(F.col("b")).alias("e"))
+
+
+def _pooled(n: Column, own: Column, wider: Column) -> Column:
+    """Centre and covariance of n rows of own and PRIOR rows of wider (structs with centre and covariance) taken together."""
+    w = n / (n + F.lit(PRIOR))
+    p = range(len(_X))
+    apart = [own["centre"][i] - wider["centre"][i] for i in p]
+
+    def at(i: int, j: int) -> Column:
+        return w * own["covariance"][i][j] + (1 - w) * wider["covariance"][i][j] + w * (1 - w) * apart[i] * apart[j]
+
+    centre = F.array(*[w * own["centre"][i] + (1 - w) * wider["centre"][i] for i in p])
+    return F.struct(centre.alias("centre"), F.array(*[F.array(*[at(i, j) for j in p]) for i in p]).alias("covariance"))
+
+
+def pooled_estimates(found: DataFrame, levels: DataFrame) -> DataFrame:
+    """(own, size, e): the estimates of robust_estimates() for the groups `own` of levels (own, wide, all), pooled with those of the
+    groups that they lie in."""
+
+    def of(level: str) -> DataFrame:
+        return found.select(F.col("group").alias(level), F.col("e").alias(f"e_{level}"), F.col("size").alias(f"n_{level}"))
+
+    # The tables are smaller than the number of groups; the last has one row.
+    met = levels.join(of("own"), "own").join(of("wide"), "wide").join(F.broadcast(of("all")), "all")
+    spread = F.array(*[F.array(*[F.lit(v**2 if i == j else 0.0) for j in range(len(_X))]) for i, v in enumerate(WIDE.values())])
+    prior = F.struct(F.col("e_all.centre").alias("centre"), spread.alias("covariance"))
+    for level in ("all", "wide", "own"):
+        met = met.withColumn("pooled", _pooled(F.col(f"n_{level}"), F.col(f"e_{level}"), prior))
+        prior = F.col("pooled")
+    return met.select("own", F.col("n_own").alias("size"), _estimate(F.col("pooled.centre"), F.col("pooled.covariance"), 1.0, "e"))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """statistics() with `distance` (squared Mahalanobis distance, null where no group is large enough) and `kept`.
+    """statistics() with `distance` (squared Mahalanobis distance, null where no row of the group passes the base rules) and `kept`.
 
     A document is kept if the base rules pass and its distance is at most CUTOFF or null; a distance equal to CUTOFF passes, and rows
     whose distances tie at a subset's limit all count. Null texts and texts without words fail the base rules. Null languages
@@ -253,16 +305,16 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def _judged(rows: DataFrame) -> DataFrame:
     # JSON of a struct leaves nulls out, so a null language or source is a group of its own.
-    own, wide = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang", F.lit("*").alias("any")))
-    clean = rows.filter(~F.col("base_failed")).select(F.explode(F.array(own, wide)).alias("group"), *_X)
-    found = staged(robust_estimates(staged(clean, "quality-vectors"), "group"), "quality-estimates")
-    groups = found.count()
-    met = rows.withColumns({"g1": own, "g2": wide})
-    for k in (1, 2):
-        met = _with_estimates(met, found.select(F.col("group").alias(f"g{k}"), F.col("e").alias(f"e{k}")), f"g{k}", groups, "left")
-    met = met.select(*rows.columns, F.coalesce("e1", "e2").alias("e")).withColumn("distance", _distance("e")).drop("e")
+    any_ = F.lit("*").alias("any")
+    rows = rows.withColumns({"own": F.to_json(F.struct("_lang", "_source")), "wide": F.to_json(F.struct("_lang", any_)), "all": F.to_json(F.struct(any_))})
+    clean = rows.filter(~F.col("base_failed"))
+    levels = staged(clean.select("own", "wide", "all").distinct(), "quality-levels")
+    grouped = staged(clean.select(F.explode(F.array("own", "wide", "all")).alias("group"), *_X), "quality-vectors")
+    found = staged(robust_estimates(grouped, "group"), "quality-estimates", grouped)
+    pooled = staged(pooled_estimates(found, levels), "quality-pooled", found, levels)
+    met = _with_estimates(rows, pooled, "own", pooled.count(), "left").withColumn("distance", _distance("e"))
     met = met.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF)))
-    return met
+    return met.drop("own", "wide", "all", "size", "e")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -532,17 +532,37 @@ def test_quality_outliers_match_a_numpy_version(spark, monkeypatch, most):
     ends = []
     for centre, spread in ((middle, np.diag((1.4826 * np.median(abs(x - middle), axis=0)) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
         spread = spread + floors
-        for _ in range(quality.STEPS):
+        last = np.inf
+        while True:
             near = (d := distances(centre, spread)) <= np.sort(d)[int(np.ceil(quality.SUBSET * len(x))) - 1]
             centre, spread = x[near].mean(axis=0), factor * np.cov(x[near].T, bias=True) + floors
-        ends.append((np.linalg.slogdet(spread)[1], distances(centre, spread)))
-    want = dict(zip(counted["_row"].map(lambda r: r["doc_id"]), min(ends, key=lambda e: e[0])[1], strict=True))
+            if (now := np.linalg.slogdet(spread)[1]) >= last - quality.TOLERANCE:
+                break
+            last = now
+        ends.append((now, centre, spread - floors))
+    _, centre, spread = min(ends, key=lambda e: e[0])
+    n, prior = len(x), np.diag([v**2 for v in quality.WIDE.values()])
+    for _ in ("corpus", "language", "source"):  # all hold the same rows here
+        prior = (n * spread + quality.PRIOR * prior) / (n + quality.PRIOR)
+    want = dict(zip(counted["_row"].map(lambda r: r["doc_id"]), distances(centre, prior + floors), strict=True))
     for r in quality.judge(rows).collect():
         i = r["_row"]["doc_id"]
         assert abs(r["distance"] - want[i]) <= 0.05 * max(1, want[i])
         assert r["kept"] == (i < 300)
 
 
+def test_quality_small_groups_lean_on_wider_ones(spark):
+    """The verdict does not switch with the number of rows of a group: outliers of a group of one are found, and clean rows stay."""
+    texts = [(prose(i, 80 + i % 50), "en", "big") for i in range(300)]
+    for size in (1, 5, 99, 101):
+        texts += [(prose(1000 * size + i, 100), "de", f"s{size}") for i in range(size)]
+        texts += [(" ".join(w + "###" for w in prose(size + 7).split()), "de", f"s{size}")]
+    texts += [(prose(5), None, None), (" ".join(w + "###" for w in prose(8).split()), "fr", None)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for r in quality.judge(rows).collect():
+        assert r["kept"] == ("###" not in texts[r["_row"]["doc_id"]][0]), (r["distance"], texts[r["_row"]["doc_id"]][1:])
+
+
 # 8 toxicity
 
 
