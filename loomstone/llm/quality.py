@@ -9,8 +9,9 @@ sketches, combined before they are shuffled, over a staged table of a few number
 of all rows is no burden. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF, the far tail of
 the chi-square law.
 
-Small groups are no special case: a group's estimates are pooled with PRIOR rows of its language's, these with PRIOR rows
-of the corpus's, and these with PRIOR rows of the spreads WIDE, so they give way as rows come in.
+Small groups are no special case: a group's estimates are pooled with its language's, these with the corpus's, and these with
+the spreads WIDE. The own ones weigh n**2 / (n**2 + PRIOR**2) for n rows: a few odd rows alone in their group do not make
+themselves its rule, and wider estimates give way as rows come in.
 
 Statistics that are constant in most documents (no symbols, no repetition) would make the covariance singular; each has a
 floor: FLOORS**2 is added to the diagonal, the regularised form of the estimator.
@@ -35,7 +36,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SUBSET = 0.75
 #: A group is done when a step lowers the logarithm of its determinant by less. It cannot fall below the floors', so steps end.
 TOLERANCE = 1e-3
-#: Rows of the wider estimates that a group's own are pooled with.
+#: Rows at which a group's own estimates and the wider ones weigh the same.
 PRIOR = 100
 #: Estimates of so many groups (about 800 bytes each) are broadcast; beyond it only those of groups with many rows are.
 BROADCAST_GROUPS = 10_000
@@ -263,8 +264,9 @@ def robust_estimates(rows: DataFrame, group: str) -> DataFrame:
 
 
 def _pooled(n: Column, own: Column, wider: Column) -> Column:
-    """Centre and covariance of n rows of own and PRIOR rows of wider (structs with centre and covariance) taken together."""
-    w = n / (n + F.lit(PRIOR))
+    """Centre and covariance of a mixture of own, from n rows, and wider (structs with centre and covariance)."""
+    n = n.cast("double")
+    w = n * n / (n * n + F.lit(PRIOR * PRIOR))
     p = range(len(_X))
     apart = [own["centre"][i] - wider["centre"][i] for i in p]
 

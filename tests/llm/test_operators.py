@@ -541,9 +541,9 @@ def test_quality_outliers_match_a_numpy_version(spark, monkeypatch, most):
             last = now
         ends.append((now, centre, spread - floors))
     _, centre, spread = min(ends, key=lambda e: e[0])
-    n, prior = len(x), np.diag([v**2 for v in quality.WIDE.values()])
+    weight, prior = len(x) ** 2 / (len(x) ** 2 + quality.PRIOR**2), np.diag([v**2 for v in quality.WIDE.values()])
     for _ in ("corpus", "language", "source"):  # all hold the same rows here
-        prior = (n * spread + quality.PRIOR * prior) / (n + quality.PRIOR)
+        prior = weight * spread + (1 - weight) * prior
     want = dict(zip(counted["_row"].map(lambda r: r["doc_id"]), distances(centre, prior + floors), strict=True))
     for r in quality.judge(rows).collect():
         i = r["_row"]["doc_id"]
