@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.operators import graph
+from loomstone.operators import graph, vector_index
 from loomstone.registry import query
 from loomstone.sources.tables import SQL_EDGES, SQL_UNITS, edges, read, units
 
@@ -254,14 +254,18 @@ def dup_exact_files(spark, sf_dir):
 
 @query("join_pairwise_sim", "WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b ON a.vec_id <> b.vec_id) SELECT a, b, round(d, 6) AS distance FROM d WHERE d < 1.0")
 def join_pairwise_sim(spark, sf_dir):
-    """All vectors near a query vector (the query set: ids divisible by 50), compared exactly."""
-    from loomstone.operators.search import squared_distance
+    """All vectors near a query vector (the query set: ids divisible by 50): exact, from the cells of an index that can hold one."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vector_index.within(vector_index.build(v, "vec_id", "embedding"), v.filter("vec_id % 50 = 0"), "vec_id", "embedding", 1.0)
+    return found.filter("query <> key").select(F.col("key").alias("a"), F.col("query").alias("b"), F.round("distance", 6).alias("distance"))
+
 
+@query("vec_index_topk", "WITH d AS (SELECT b.vec_id AS query, a.vec_id AS key, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b ON true), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, key) AS place FROM d) SELECT query, key, CAST(place AS INTEGER) AS place, round(d, 6) AS distance FROM r WHERE place <= 10")
+def vec_index_topk(spark, sf_dir):
+    """The ten nearest vectors of every query vector (ids divisible by 50), exact, through the clustered index."""
     v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("b"), F.col("embedding").alias("q"))
-    met = v.join(q, F.col("vec_id") != F.col("b"))
-    d = met.select(F.col("vec_id").alias("a"), "b", squared_distance(F.col("embedding"), F.col("q")).alias("d"))
-    return d.filter("d < 1.0").select("a", "b", F.round("d", 6).alias("distance"))
+    found = vector_index.nearest(vector_index.build(v, "vec_id", "embedding"), v.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select("query", "key", "place", F.round("distance", 6).alias("distance"))
 
 
 @query("gr_build", f"WITH {SQL_EDGES} SELECT relationship_type, count(*) AS n, round(avg(confidence), 6) AS mean FROM edges WHERE src IN (SELECT 'p' || p_partkey FROM part) AND dst IN (SELECT 's' || s_suppkey FROM supplier) GROUP BY 1")
