@@ -29,6 +29,35 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
 
 
+#: Most hops of a focus view, and most nodes that it may ask for (they are broadcast).
+MAX_FOCUS_HOPS, MAX_FOCUS_NODES = 3, 10_000
+
+
+def focus(edges: DataFrame, start: str, hops: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The view around a node: (node, hop) of the nodes within `hops` (1 to MAX_FOCUS_HOPS) of it along edges of either direction, and
+    the edges among them, with all their columns and src_hop and dst_hop.
+
+    No more than `limit` nodes are shown, nearer ones first and within a hop by name; hops end once there are as many. The start is
+    always among them, whether it has edges or not. Null ends are no nodes.
+    """
+    if not 1 <= limit <= MAX_FOCUS_NODES:
+        raise ValueError(f"limit must lie between 1 and {MAX_FOCUS_NODES}")
+    seen, count = edges.sparkSession.createDataFrame([(start, 0)], "node string, hop int"), 1
+    frontier = seen
+    for hop in range(1, min(max(hops, 1), MAX_FOCUS_HOPS) + 1):
+        last = F.broadcast(frontier.select(F.col("node").alias("_at")))
+        out = edges.join(last, F.col("src") == F.col("_at"), "left_semi").select(F.col("dst").alias("node"))
+        back = edges.join(last, F.col("dst") == F.col("_at"), "left_semi").select(F.col("src").alias("node"))
+        met = out.unionByName(back).filter("node is not null").distinct().join(F.broadcast(seen.select("node")), "node", "left_anti")
+        frontier = staged(met.orderBy("node").limit(limit - count).withColumn("hop", F.lit(hop)), "graph-focus")
+        reached = frontier.count()
+        seen, count = seen.unionByName(frontier), count + reached
+        if not reached or count >= limit:
+            break
+    ends = [F.broadcast(seen.select(F.col("node").alias(end), F.col("hop").alias(f"{end}_hop"))) for end in ("src", "dst")]
+    return seen, edges.join(ends[0], "src").join(ends[1], "dst")
+
+
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(position, node) of a shortest directed path, however long; no rows if there is none. Among equal parents the smallest wins.
 

@@ -301,9 +301,21 @@ def gr_neighborhood(spark, sf_dir):
     return graph.neighborhood(edges(spark, sf_dir), _start(spark, "p7"), 2, directed=False)
 
 
-@query("gr_focus_hops", f"WITH {_BOTH}, h1 AS (SELECT DISTINCT dst AS node FROM e2 WHERE src = 's3') SELECT node, 1 AS hop FROM h1 WHERE node <> 's3' UNION ALL SELECT 's3', 0")
+_FOCUS = f"""{_BOTH}, h1 AS (SELECT DISTINCT dst AS node FROM e2 WHERE src = 's3'), h2 AS (SELECT DISTINCT dst AS node FROM e2 WHERE src IN (SELECT node FROM h1)), h3 AS (SELECT DISTINCT dst AS node FROM e2 WHERE src IN (SELECT node FROM h2)),
+reached AS (SELECT node, min(hop) AS hop FROM (SELECT 's3' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2 UNION ALL SELECT node, 3 FROM h3) GROUP BY node),
+view AS (SELECT * FROM reached ORDER BY hop, node LIMIT 500)"""
+
+
+@query("gr_focus_hops", f"WITH {_FOCUS} SELECT node, hop FROM view")
 def gr_focus_hops(spark, sf_dir):
-    return graph.neighborhood(edges(spark, sf_dir), _start(spark, "s3"), 1, directed=False)
+    """The nodes within three hops of a node, 500 at most (the view's limit), nearest first."""
+    return graph.focus(edges(spark, sf_dir), "s3", 3, 500)[0]
+
+
+@query("gr_focus_edges", f"WITH {_FOCUS} SELECT src, dst, relationship_type, a.hop AS src_hop, b.hop AS dst_hop FROM edges JOIN view a ON src = a.node JOIN view b ON dst = b.node")
+def gr_focus_edges(spark, sf_dir):
+    """The edges among the nodes of gr_focus_hops."""
+    return graph.focus(edges(spark, sf_dir), "s3", 3, 500)[1].select("src", "dst", "relationship_type", "src_hop", "dst_hop")
 
 
 @query("gr_shortest_path", f"WITH {_BOTH}, a AS (SELECT dst AS n FROM e2 WHERE src = 'p7'), b AS (SELECT a.n, e2.dst FROM a JOIN e2 ON e2.src = a.n), t AS (SELECT min(dst) AS far FROM b WHERE dst <> 'p7' AND dst NOT IN (SELECT n FROM a)) SELECT 0 AS position, 'p7' AS node UNION ALL SELECT 1, min(n) FROM b, t WHERE dst = far UNION ALL SELECT 2, far FROM t")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from loomstone.operators import graph
 from loomstone.operators.spelling import near_distance, osa_distance
@@ -56,3 +57,20 @@ def test_corrections_of_short_and_long_words(spark):
         assert (w in got) == bool(within)
         assert not within or (got[w][0] in within and got[w][1] == within[got[w][0]])
     assert all(len(got[w][0]) == 2_000 for w in words if len(w) > 1_900 and w in got) and sum(len(w) > 1_900 for w in got) >= 6
+
+
+def test_focus_view_stops_at_its_limits(spark):
+    edges = spark.createDataFrame([("a", "b"), ("c", "a"), ("b", "d"), ("d", "e"), ("e", "f"), ("b", "c"), ("b", "b"), (None, "a"), ("a", "b")], "src string, dst string")
+
+    def view(*args):
+        nodes, kept = graph.focus(edges, *args)
+        return sorted((r["node"], r["hop"]) for r in nodes.collect()), sorted((r["src"], r["dst"], r["src_hop"], r["dst_hop"]) for r in kept.collect())
+
+    one = [("a", "b", 0, 1), ("a", "b", 0, 1), ("b", "b", 1, 1), ("b", "c", 1, 1), ("c", "a", 1, 0)]
+    assert view("a", 1) == ([("a", 0), ("b", 1), ("c", 1)], one)
+    assert view("a", 9)[0] == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]  # three hops at most
+    assert view("a", 3, 2) == ([("a", 0), ("b", 1)], [("a", "b", 0, 1), ("a", "b", 0, 1), ("b", "b", 1, 1)])
+    assert view("a", 3, 1) == ([("a", 0)], [])
+    assert view("alone", 2) == ([("alone", 0)], [])
+    with pytest.raises(ValueError, match="limit"):
+        graph.focus(edges, "a", 1, 0)
