@@ -28,9 +28,9 @@ def reasons(path: Column, size: Column, blocked_paths: list[str] = BLOCKED_PATHS
 
 
 def evaluate(docs: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """key, reasons, allowed, redacted and n_redacted of every row; key must identify a row. Beside path and size, a detection of high
+    """key, reasons, allowed, redacted and n_redacted of every row, also where keys repeat. Beside path and size, a detection of high
     confidence quarantines. Whole texts are scanned, however long."""
-    masked = redact(docs, key, text, MASK_FROM)
-    told = docs.select(key, reasons(F.col(path), F.octet_length(text)).alias("told")).join(masked, key)
-    every = F.when(F.col("top_confidence") >= CRITICAL_FROM, F.array_append("told", F.lit("detection"))).otherwise(F.col("told"))
-    return told.select(key, every.alias("reasons"), (F.size(every) == 0).alias("allowed"), "redacted", "n_redacted")
+    told = docs.select(F.struct(F.col(key), reasons(F.col(path), F.octet_length(text)).alias("told")).alias("row"), F.col(text).alias("text"))
+    every = F.when(F.col("top_confidence") >= CRITICAL_FROM, F.array_append("row.told", F.lit("detection"))).otherwise(F.col("row.told"))
+    judged = redact(told, "row", "text", MASK_FROM).withColumn("reasons", every)
+    return judged.select(F.col("row")[key].alias(key), "reasons", (F.size("reasons") == 0).alias("allowed"), "redacted", "n_redacted")

@@ -183,7 +183,7 @@ def txt_redact_apply(spark, sf_dir):
 
 @query("txt_redact_flags")
 def txt_redact_flags(spark, sf_dir):
-    found = redaction.detect(read(spark, sf_dir, "documents"), "doc_id", "text").filter("not false_positive")
+    found = redaction.detect(read(spark, sf_dir, "documents"), "doc_id", "text").filter(~F.col("false_positive") & (F.col("confidence") >= redaction.THRESHOLD))
     return found.groupBy("doc_id").agg(F.bool_or(F.col("kind") == "secret").alias("has_secrets"), F.bool_or(F.col("kind") == "pii").alias("has_pii"), F.count("*").cast("long").alias("n"))
 
 
@@ -275,9 +275,9 @@ def red_extract_json_text(spark, sf_dir):
 @query("sink_redacted_files")
 def sink_redacted_files(spark, sf_dir):
     """What a redaction run writes: every text that changes, redacted, with the backup's hash beside it."""
-    docs = read(spark, sf_dir, "documents")
-    found = redaction.redact(docs, "doc_id", "text").filter("n_redacted > 0")
-    return found.join(docs.select("doc_id", F.md5("text").alias("backup_md5")), "doc_id").select("doc_id", F.md5("redacted").alias("redacted_md5"), "backup_md5", "n_redacted")
+    docs = read(spark, sf_dir, "documents").select(F.struct("doc_id", F.md5("text").alias("backup_md5")).alias("file"), "text")
+    found = redaction.redact(docs, "file", "text").filter("n_redacted > 0")
+    return found.select("file.doc_id", F.md5("redacted").alias("redacted_md5"), "file.backup_md5", "n_redacted")
 
 
 @query(
