@@ -82,11 +82,12 @@ SECRET_ENTROPY = 3.5
 CONTEXT = 100
 THRESHOLD = 0.5
 
-#: What every match of a type holds, as a pattern, where its own pattern doesn't begin with a literal.
+#: What every match of a type (or of a pattern) holds, where its own pattern doesn't begin with a literal: a literal, in either case if
+#: the rule's letters are, or a pattern (those that are marked by ^).
 MUST_HOLD = {
-    "api_key_aws_secret": r"[A-Za-z0-9/+=]{40}", "api_key_discord": r"\.[\w-]{6}\.", "private_key": "PRIVATE KEY-----", "bearer_token": "(?i)bearer", "basic_auth": "://",
-    "connection_string": "://", "api_key_generic": "(?i)api|secret", "ssn": "[0-9]{4}", "phone_number": r"[0-9]{4}|\+[1-9]", "email_address": "@", "credit_card": "[0-9]{4}",
-    "ip_address_v4": r"[0-9]\.[0-9]", "ip_address_v6": "[0-9a-fA-F]:[0-9a-fA-F]",
+    "api_key_aws_secret": r"^(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}", "api_key_discord": r"^\.[\w-]{6}\.", "private_key": "PRIVATE KEY-----", "bearer_token": "bearer",
+    "basic_auth": "://", "connection_string": "://", "api_key_generic": "^['\"][a-zA-Z0-9_-]{20}", "ssn": "^[0-9]{4}", "phone_number": "^[0-9]{4}", r"\b\+[1-9]\d{1,14}\b": "+",
+    "email_address": "@", "credit_card": "^[0-9]{4}", "ip_address_v4": r"^[0-9]\.[0-9]", "ip_address_v6": "^:[0-9a-fA-F]{1,4}:",
 }
 
 _FIELDS = {"type": "string", "kind": "string", "value": "string", "start": "long", "end": "long", "confidence": "double", "false_positive": "boolean", "reason": "string", "documentation": "boolean"}
@@ -170,15 +171,18 @@ def _find(text: pa.Array, rules: pa.Array) -> pa.Array:
 
 def possible_rules(text: Column, kinds: tuple[str, ...] = ("secret", "pii")) -> Column:
     """Numbers of the rules that may match, told by what their matches must hold; one test for rules that ask for the same."""
-    groups: dict[str, list[int]] = {}
-    for i, (kind, group, _, pattern, _) in enumerate(PATTERNS):
+    groups: dict[tuple[str, bool], list[int]] = {}
+    for i, (kind, group, _, pattern, either_case) in enumerate(PATTERNS):
         if group in kinds:
-            groups.setdefault(MUST_HOLD.get(kind) or re.match(r"[\w-]+", pattern)[0], []).append(i)
+            what = MUST_HOLD.get(pattern) or MUST_HOLD.get(kind) or re.match(r"[\w-]+", pattern)[0]
+            groups.setdefault((what, either_case), []).append(i)
 
-    def holds(what: str) -> Column:
-        return text.contains(what) if re.fullmatch(r"[\w@:/ -]+", what) else text.rlike(what)
+    def holds(what: str, either_case: bool) -> Column:
+        if what.startswith("^"):
+            return text.rlike(what[1:])
+        return (F.lower(text) if either_case else text).contains(what)
 
-    per = [F.when(holds(what), F.array(*[F.lit(i) for i in rules])).otherwise(F.array().cast("array<int>")) for what, rules in groups.items()]
+    per = [F.when(holds(*what), F.array(*[F.lit(i) for i in rules])).otherwise(F.array().cast("array<int>")) for what, rules in groups.items()]
     return F.flatten(F.array(*per))
 
 
@@ -191,7 +195,8 @@ def detections(docs: DataFrame, text: str, name: str, kinds: tuple[str, ...] = (
 def detect(docs: DataFrame, key: str, text: str, kinds: tuple[str, ...] = ("secret", "pii")) -> DataFrame:
     """A row for each detection: key, type, kind, value_md5, start, end, confidence, false_positive with its reason, and whether it stands by a comment
     or a code block (documentation, which is told but decides nothing)."""
-    each = detections(docs.select(key, text), text, "found", kinds).select(key, F.explode("found").alias("d"))
+    # Not explode(): for it the optimizer asks first whether there is an element, and so has the places found twice.
+    each = detections(docs.select(key, text), text, "found", kinds).select(key, F.explode_outer("found").alias("d")).filter("d is not null")
     parts = [F.col(f"d.{c}").alias(c) for c in ("start", "end", "confidence", "false_positive", "reason", "documentation")]
     return each.select(key, "d.type", "d.kind", F.md5("d.value").alias("value_md5"), *parts)
 
