@@ -97,15 +97,23 @@ def strip_tags(html: Column) -> Column:
     return squeeze(F.regexp_replace(html, r"<[^>]+>", " "))
 
 
+def _texts_of(html: Column, element: str, mark: str) -> Column:
+    """html with each element replaced by a line of its mark and its text without markup; by an empty line if there is no text."""
+    parts = F.split(F.regexp_replace(html, element, "\x01$1\x01"), "\x01", -1)
+    line = lambda inner: F.when(strip_tags(inner) == "", "\n").otherwise(F.concat(F.lit("\n" + mark), strip_tags(inner), F.lit("\n")))
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 1, line(part)).otherwise(part)), "")
+
+
 def clean_html(html: Column) -> Column:
-    """Scripts, styles, navigation, footers and frames dropped; h1-h4 become # headings and li becomes - items."""
-    out = html
+    """Scripts, styles, navigation, footers and frames dropped; h1-h4 become # headings and li becomes - items, without the markup in them.
+    U+0001, which no page shows, is dropped."""
+    out = F.translate(html, "\x01", "")
     for tag in ("script", "style", "nav", "footer", "iframe"):
         out = F.regexp_replace(out, rf"(?is)<{tag}.*?</{tag}>", " ")
     for level in range(1, 5):
-        out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n")
+        out = _texts_of(out, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "#" * level + " ")
     out = F.regexp_replace(out, r"(?i)</?(ul|ol)[^>]*>", "\n")
-    return F.regexp_replace(out, r"(?is)<li[^>]*>(.*?)</li>", "\n- $1\n")
+    return _texts_of(out, r"(?is)<li[^>]*>(.*?)</li>", "- ")
 
 
 def markdown_images(text: Column) -> Column:

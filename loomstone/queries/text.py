@@ -133,16 +133,22 @@ def txt_chunk_strategy_md(spark, sf_dir):
     return chunking.semantic_chunks(pages, "page_id", "text")
 
 
+def _sql_texts_of(html: str, element: str, mark: str) -> str:
+    bare = r"trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+    line = f"CASE WHEN i % 2 = 1 THEN x WHEN {bare} = '' THEN chr(10) ELSE chr(10) || '{mark}' || {bare} || chr(10) END"
+    return f"array_to_string(list_transform(string_split(regexp_replace({html}, '(?is){element}', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x, i: {line}), '')"
+
+
 _CLEAN = "html"
 for _tag in ("script", "style", "nav", "footer", "iframe"):
     _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_tag}.*?</{_tag}>', ' ', 'g')"
 for _level in range(1, 5):
-    _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<h{_level}[^>]*>(.*?)</h{_level}>', chr(10) || '{'#' * _level} \\1' || chr(10), 'g')"
+    _CLEAN = _sql_texts_of(_CLEAN, f"<h{_level}[^>]*>(.*?)</h{_level}>", "#" * _level + " ")
 _CLEAN = f"regexp_replace({_CLEAN}, '(?i)</?(ul|ol)[^>]*>', chr(10), 'g')"
-_CLEAN = f"regexp_replace({_CLEAN}, '(?is)<li[^>]*>(.*?)</li>', chr(10) || '- \\1' || chr(10), 'g')"
+_CLEAN = _sql_texts_of(_CLEAN, "<li[^>]*>(.*?)</li>", "- ")
 
 
-@query("txt_html_clean", f"SELECT page_id, md5({_CLEAN}) AS clean_md5, CAST(length({_CLEAN}) AS BIGINT) AS size FROM pages")
+@query("txt_html_clean", f"SELECT page_id, md5(c) AS clean_md5, CAST(length(c) AS BIGINT) AS size FROM (SELECT page_id, {_CLEAN} AS c FROM pages)")
 def txt_html_clean(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", T.clean_html(F.col("html")).alias("c"))
     return p.select("page_id", F.md5("c").alias("clean_md5"), F.length("c").cast("long").alias("size"))

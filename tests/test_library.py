@@ -103,6 +103,8 @@ def test_text_rules(spark):
     long = "x" * 200 + " needle " + "y" * 200
     assert one(spark, T.snippet(F.lit(long), "needle")) == "..." + long[111:297] + "..."
     assert one(spark, T.clean_html(F.lit("<nav>n</nav><h2 a='b'>T</h2><ul><li>i</li></ul><script>s</script>"))) == " \n## T\n\n\n- i\n\n "
+    marked = "<h1><a href='x'>Big</a>  <b>day</b></h1>a<b>c</b>\x01<li><i> </i></li><li>one <em>two</em>\n</li><h3></h3>"
+    assert one(spark, T.clean_html(F.lit(marked))) == "\n# Big day\na<b>c</b>\n\n- one two\n\n"
     code = one(spark, T.code_blocks(F.lit("a ```py\nx = 1\n``` b ```\ny\n```")))
     assert [(c["language"], c["code"]) for c in code] == [("py", "x = 1\n"), ("", "y\n")]
     assert one(spark, T.markdown_images(F.lit("![alt](u) ![](v)")))[1]["src"] == "v" and one(spark, T.html_images(F.lit("<img a src='q.png'>"))) == ["q.png"]
