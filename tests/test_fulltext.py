@@ -107,3 +107,20 @@ def test_precedence():
 def test_an_index_of_nothing(spark, tmp_path):
     fulltext.build(spark.createDataFrame([], "id long, text string"), "id", {"text": F.col("text")}, str(tmp_path))
     assert fulltext.matches(spark, str(tmp_path), "a OR b*").collect() == []
+
+
+def test_building_holds_pieces_of_bounded_length(spark, tmp_path, monkeypatch):
+    rows = [(7, "a b a " * 700, "s a"), (8, "a " * 128, None), (9, None, "b"), (7, "b", "s"), (10, "", "")]
+    seen = []
+    kept = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, *a, **k: seen.append(self) or kept(self, *a, **k))
+    table = spark.createDataFrame(rows, "id long, text string, source string").coalesce(1)
+    fulltext.build(table, "id", {"text": F.col("text"), "source": F.col("source")}, str(tmp_path))
+    assert max(seen[0].agg(F.max(F.size("words"))).first()) == fulltext.SLICE
+    found = fulltext._postings(spark, str(tmp_path)).collect()
+    want = []
+    for i, text, source in rows:
+        words = {"text": (text or "").split(), "source": (source or "").split()}
+        for f, held in words.items():
+            want += [(i, w, f, [k for k, x in enumerate(held) if x == w], sum(map(len, words.values()))) for w in set(held)]
+    assert sorted((r["key"], r["term"], r["field"], r["places"], r["len"]) for r in found) == sorted(want)
