@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,17 +119,66 @@ def _visits(index: VectorIndex, queries: DataFrame, key: str, vector: str) -> Da
     return met.join(F.broadcast(index.cells), "cell")
 
 
-def _compared(index: VectorIndex, visits: DataFrame) -> DataFrame:
-    """(query, key, distance): squared distances of the visits' queries from the vectors of their cells."""
-    parts = visits.select("query", "target", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    met = index.vectors.join(parts, ["cell", "part"])
-    return met.select("query", "key", squared_distance(F.col("vector"), F.col("target")).alias("distance"))
+#: Targets that a row of a cell's visits holds, and vectors that they meet at once.
+TARGETS, BLOCK = 256, 1024
+
+
+def _compared(index: VectorIndex, visits: DataFrame, keep: float | int) -> DataFrame:
+    """(query, key, distance): squared distances of the visits' queries from the vectors of their cells that can matter.
+
+    keep: a float, distances below it; an int k, the k smallest of a query in each task, ties by key. The visits of a cell are packed,
+    TARGETS in a row, and meet its vectors, BLOCK in a row, so a matrix product finds what is near; whatever it leaves within its rounding is
+    computed again in the order of the dimensions.
+    """
+    dims = index.centres.shape[1]
+    deal = F.pmod(F.xxhash64("query"), F.ceil(F.col("n") / TARGETS))
+    sizes = visits.groupBy("cell").agg(F.count("*").alias("n"))
+    # No more than MAX_CELLS rows of numbers are broadcast.
+    asked = visits.drop("n").join(F.broadcast(sizes), "cell").withColumn("pack", deal)
+    asked = asked.groupBy("cell", "pack", "parts").agg(F.collect_list(F.struct("query", "target")).alias("asked"))
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("asked.query").alias("queries"), F.flatten("asked.target").alias("targets"))
+    blocks = index.cells.select("cell", F.ceil(F.col("n") / F.col("parts") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).alias("block")
+    held = index.vectors.join(F.broadcast(blocks), "cell").groupBy("cell", "part", block).agg(F.collect_list(F.struct("key", "vector")).alias("held"))
+    held = held.select("cell", "part", F.col("held.key").alias("keys"), F.flatten("held.vector").alias("vectors"))
+    met = held.join(asked, ["cell", "part"]).select("keys", "vectors", "queries", "targets")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, queries = (batch.column(c)[i].values for c in ("keys", "queries"))
+                rows, targets = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims) for c in ("vectors", "targets"))
+                near = (targets**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :] - 2 * targets @ rows.T
+                slack = 1e-9 * (1 + (targets**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1).max())
+                if isinstance(keep, int):
+                    limit = np.partition(near, min(keep, len(keys)) - 1, axis=1)[:, min(keep, len(keys)) - 1 :][:, :1] + slack
+                else:
+                    limit = keep + slack
+                q, r = np.nonzero(near <= limit)
+                apart = np.zeros(len(q))
+                for d in range(dims):
+                    apart += (rows[r, d] - targets[q, d]) ** 2
+                if isinstance(keep, int) and len(q):  # of copies no more than k stay
+                    rank = np.empty(len(keys), np.int64)
+                    rank[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+                    order = np.lexsort((rank[r], apart, q))
+                    q, r, apart = q[order], r[order], apart[order]
+                    first = np.searchsorted(q, q)
+                    stay = np.arange(len(q)) - first < keep
+                    q, r, apart = q[stay], r[stay], apart[stay]
+                for j in range(0, len(q), 1 << 16):
+                    at = slice(j, j + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(q[at])), keys.take(pa.array(r[at])), pa.array(apart[at])], ["query", "key", "distance"])
+
+    kinds = {c: met.schema[c].dataType.elementType.simpleString() for c in ("queries", "keys")}
+    # A row holds up to BLOCK vectors and TARGETS targets, so few of them go to Python at once.
+    return met.mapInArrow(compare, f"query {kinds['queries']}, key {kinds['keys']}, distance double")
 
 
 def within(index: VectorIndex, queries: DataFrame, key: str, vector: str, below: float) -> DataFrame:
     """(query, key, distance): all vectors at a squared distance of less than `below` from a query. Exact."""
     visits = _visits(index, queries, key, vector).filter(F.col("gap") - F.col("radius") <= below**0.5 + SLACK)
-    return _compared(index, visits).filter(F.col("distance") < below)
+    return _compared(index, visits, float(below)).filter(F.col("distance") < below)
 
 
 def nearest(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, probes: int = 8, exact: bool = True) -> DataFrame:
@@ -143,10 +193,10 @@ def nearest(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: in
         return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
     visits = _visits(index, queries, key, vector)
-    first = top(_compared(index, visits.filter(F.col("rank") < probes)))
+    first = top(_compared(index, visits.filter(F.col("rank") < probes), k))
     if not exact:
         return first
     first, visits = staged(first, "vector-first"), staged(visits.filter(F.col("rank") >= probes), "vector-visits")
     limit = first.filter(F.col("place") == k).select("query", F.sqrt("distance").alias("limit"))
     rest = visits.join(limit, "query", "left").filter(F.col("limit").isNull() | (F.col("gap") - F.col("radius") <= F.col("limit") + SLACK))
-    return top(first.drop("place").unionByName(_compared(index, rest)))
+    return top(first.drop("place").unionByName(_compared(index, rest, k)))

@@ -56,3 +56,16 @@ def test_no_vectors(spark, table):
     empty = vector_index.build(table.filter("id < 0"), "id", "v")
     assert vector_index.nearest(empty, table, "id", "v", 3).count() == 0
     assert vector_index.within(vector_index.build(table, "id", "v"), table.filter("id < 0"), "id", "v", 1.0).count() == 0
+
+
+def test_vectors_meet_queries_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = np.concatenate([np.repeat(rng.normal(size=(1, 5)), 1500, axis=0), rng.normal(size=(700, 5))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, v array<double>")
+    index, asked = vector_index.build(table, "id", "v", cells=6), table.filter("id % 100 = 0")
+    found = vector_index.within(index, asked, "id", "v", 0.8)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each pair that is compared
+    d = distances(rows)
+    assert {(r["query"], r["key"]) for r in found.collect()} == {(q, int(k)) for q in range(0, len(rows), 100) for k in np.flatnonzero(d[q] < 0.8)}
+    got = {(r["query"], r["place"]): r["key"] for r in vector_index.nearest(index, asked, "id", "v", 4, probes=2).collect()}
+    assert got == {(q, n + 1): int(k) for q in range(0, len(rows), 100) for n, k in enumerate(np.lexsort((np.arange(len(rows)), np.round(d[q], 12)))[:4])}
