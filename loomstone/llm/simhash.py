@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm import near_copies
 from loomstone.llm.common import join_split, plain, staged
 from loomstone.llm.components import components, keep_representatives
 
@@ -48,9 +47,8 @@ def _shingle_hashes(text: bytes) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: bytes | None) -> int:
-    """SimHash of a text: bit b is 1 if it is set in over half of the shingle hashes; 0 for no words."""
-    hashes = _shingle_hashes(text or b"")
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes: bit b is 1 if it is set in over half of them; 0 for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         block = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -59,6 +57,11 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None) -> int:
+    """SimHash of a text's shingles; 0 for no words."""
+    return majority(_shingle_hashes(text or b""))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
@@ -198,8 +201,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, jaccard: bool = False) -> DataFrame:
     """docs without near-duplicates: the representative of every component stays, with all columns of docs.
 
-    With jaccard, documents are linked whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more (near_copies: the same
-    tiles, exclusive-or and bit counts over wider fingerprints, which lose no such pair). Of rows that repeat the
+    With jaccard, documents are linked whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more (near_copies: SimHash
+    by the same tile comparison and a check of the whole sets, then wider fingerprints for the pairs that it does not join). Of rows that repeat the
     representative's doc_id and text one stays, the one with the smallest hash of the whole row. The cases of near_duplicates() hold.
     """
+    from loomstone.llm import near_copies  # which builds on this module
+
     return keep_representatives(docs, near_copies.near_duplicates(docs) if jaccard else near_duplicates(docs, radius))
