@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.scratch import staged
@@ -128,24 +128,29 @@ def keyword_pairs(units: DataFrame, key: str, keywords: str, threshold: float) -
     return scored.filter(F.col("similarity") >= threshold).distinct()
 
 
-def keyword_links(queries: DataFrame, units: DataFrame, key: str, keywords: str, threshold: float) -> DataFrame:
-    """(id, n, similarity): for every query the sets of keywords with a Jaccard similarity of at least threshold, its own among
-    them, and how many units have each set.
+def keyword_links(queries: DataFrame, units: DataFrame, keywords: str, threshold: float) -> DataFrame:
+    """(k, n, similarity): for every distinct sorted set of keywords of the queries the sets with a Jaccard similarity of at least threshold,
+    its own among them, and how many units have each set.
 
-    Both sides are brought down to distinct sets first. Sets meet on keywords by the same prefix filter as in keyword_pairs().
+    Both sides are brought down to distinct sets first. Sets meet on keywords by the same prefix filter as in keyword_pairs(); two that share
+    several words of their prefixes count at the first of them only, so no pair is shuffled or held to be told from its repeats.
     """
-    sets = units.select(F.array_sort(F.array_distinct(keywords)).alias("k")).filter(F.size("k") > 0).groupBy("k").agg(F.count("*").alias("n"))
-    asked = queries.select(key, F.array_sort(F.array_distinct(keywords)).alias("k"))
+    sets = units.select(keyword_set(keywords).alias("k")).filter(F.size("k") > 0).groupBy("k").agg(F.count("*").alias("n"))
     rarity = sets.select("n", F.explode("k").alias("w")).groupBy("w").agg(F.sum("n").alias("df"))
 
-    def prefix(of: DataFrame) -> DataFrame:
-        each = of.select("k", F.explode("k").alias("w")).join(rarity, "w").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+    def prefix(of: DataFrame, name: str) -> DataFrame:
+        each = of.withColumn("w", F.explode("k")).join(rarity, "w").groupBy(*of.columns).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
         size = F.size("k")
-        return each.select("k", F.explode(F.slice(F.transform("o", lambda x: x["w"]), F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("w"))
+        first = F.slice(F.transform("o", lambda x: x["w"]), F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
+        return each.select(*of.columns, first.alias(name)).withColumn("w", F.explode(name))
 
-    left = prefix(asked.select("k").distinct()).withColumnRenamed("k", "ka")
-    met = left.join(prefix(sets.select("k")).withColumnRenamed("k", "kb"), "w").select("ka", "kb").distinct()
+    left = prefix(queries.select(keyword_set(keywords).alias("k")).distinct(), "pa").withColumnRenamed("k", "ka")
+    met = left.join(prefix(sets, "pb").withColumnRenamed("k", "kb"), "w").filter(F.col("w") == F.array_intersect("pa", "pb")[0])
     shared = F.size(F.array_intersect("ka", "kb"))
-    scored = met.withColumn("similarity", shared / (F.size("ka") + F.size("kb") - shared)).filter(F.col("similarity") >= threshold - 1e-9)
-    counted = scored.join(sets, scored["kb"] == sets["k"]).select("ka", "n", "similarity")
-    return asked.join(counted, asked["k"] == counted["ka"]).select(F.col(key).alias("id"), "n", "similarity")
+    scored = met.select(F.col("ka").alias("k"), "n", (shared / (F.size("ka") + F.size("kb") - shared)).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold - 1e-9)
+
+
+def keyword_set(keywords: str) -> Column:
+    """Keywords as a sorted set."""
+    return F.array_sort(F.array_distinct(keywords))

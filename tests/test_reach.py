@@ -74,3 +74,17 @@ def test_focus_view_stops_at_its_limits(spark):
     assert view("alone", 2) == ([("alone", 0)], [])
     with pytest.raises(ValueError, match="limit"):
         graph.focus(edges, "a", 1, 0)
+
+
+def test_links_between_keyword_sets_come_once_for_each_set(spark):
+    """Units of equal keywords, queries among them, add no rows, and sets that share several rare words meet once."""
+    rng = np.random.default_rng(6)
+    sets = [sorted(set(rng.choice(list("abcdefgh"), rng.integers(0, 6)))) for _ in range(60)]
+    units = spark.createDataFrame([(i, [*s, *s[:1]]) for i, s in enumerate(sets)], "id int, k array<string>")
+    for threshold in (0.3, 0.8):
+        got = sorted((tuple(r["k"]), r["n"], round(r["similarity"], 9)) for r in graph.keyword_links(units.filter("id % 2 = 0"), units, "k", threshold).collect())
+        want = []
+        for a in {tuple(s) for s in sets[::2] if s}:
+            near = [s for s in {tuple(s) for s in sets if s} if len({*a} & {*s}) / len({*a} | {*s}) >= threshold - 1e-9]
+            want += [(a, sum(tuple(x) == s for x in sets), round(len({*a} & {*s}) / len({*a} | {*s}), 9)) for s in near]
+        assert got == sorted(want)
