@@ -9,16 +9,18 @@ from loomstone.scratch import staged
 
 
 def neighborhood(edges: DataFrame, start: DataFrame, hops: int, directed: bool = True) -> DataFrame:
-    """(node, hop) of all nodes within `hops` of the start nodes (node), with the smallest hop."""
+    """(node, hop) of all nodes within `hops` of the start nodes (node), with the smallest hop.
+
+    Each step reads the edges once, as they are, and only what it reaches is brought down to distinct nodes.
+    """
     both = edges.select("src", "dst")
     if not directed:
         both = both.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = both.distinct()
-    seen = start.select("node", F.lit(0).alias("hop"))
+    seen = staged(start.select("node", F.lit(0).alias("hop")), "graph-frontier")
     frontier = seen
     for hop in range(1, hops + 1):
         step = frontier.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = staged(step.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "graph-frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -61,11 +63,12 @@ def focus(edges: DataFrame, start: str, hops: int = 1, limit: int = 50) -> tuple
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(position, node) of a shortest directed path, however long; no rows if there is none. Among equal parents the smallest wins.
 
-    Each step joins the nodes reached last with the edges; the search ends at the target or where nothing new is reached.
+    Each step joins the nodes reached last with the edges; the search ends at the target or where nothing new is reached. Every step reads
+    the edges once, as they are, so edges that are dear to compute should be staged; repeated ones do no harm.
     """
     spark = edges.sparkSession
-    pairs = staged(edges.select("src", "dst").distinct(), "graph-pairs")
-    visited = spark.createDataFrame([(source, None, 0)], "node string, parent string, hop int")
+    pairs = edges.select("src", "dst")
+    visited = staged(spark.createDataFrame([(source, None, 0)], "node string, parent string, hop int"), "graph-frontier")
     frontier, hop = visited, 0
     while frontier.filter(F.col("node") == target).isEmpty():
         hop += 1

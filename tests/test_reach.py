@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.operators import graph
 from loomstone.operators.spelling import near_distance, osa_distance
@@ -88,3 +89,20 @@ def test_links_between_keyword_sets_come_once_for_each_set(spark):
             near = [s for s in {tuple(s) for s in sets if s} if len({*a} & {*s}) / len({*a} | {*s}) >= threshold - 1e-9]
             want += [(a, sum(tuple(x) == s for x in sets), round(len({*a} & {*s}) / len({*a} | {*s}), 9)) for s in near]
         assert got == sorted(want)
+
+
+def test_steps_through_edges_that_repeat(spark):
+    """Edges need not be distinct, and every step leaves a table, so none is computed again by the next."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    raw = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "c")], "src string, dst string").coalesce(1)
+    edges = raw.select("src", counted("dst").alias("dst"))
+    start = spark.createDataFrame([("a",)], "node string")
+    got = sorted((r["node"], r["hop"]) for r in graph.neighborhood(edges, start, 3).collect())
+    assert got == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("x", 1)] and reads.value <= 3 * 7
+    assert sorted(tuple(r) for r in graph.shortest_path(edges, "a", "d").collect()) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
