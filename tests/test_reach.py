@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import graph
 from loomstone.operators.spelling import near_distance, osa_distance
+from loomstone.queries import search
 from loomstone.queries.search import correct
 
 
@@ -106,3 +107,13 @@ def test_steps_through_edges_that_repeat(spark):
     got = sorted((r["node"], r["hop"]) for r in graph.neighborhood(edges, start, 3).collect())
     assert got == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("x", 1)] and reads.value <= 3 * 7
     assert sorted(tuple(r) for r in graph.shortest_path(edges, "a", "d").collect()) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def test_only_pairs_that_may_hold_a_swap_are_compared_in_python(spark, monkeypatch):
+    def refuse(a, b, limit):
+        raise AssertionError(f"{a} and {b} hold no swap")
+
+    monkeypatch.setattr(search, "near_distance", refuse)
+    words = spark.createDataFrame([("abcdefgh",), ("mnopq",)], "word string")
+    terms = spark.createDataFrame([("xbcdefgy", 1), ("xycdefwz", 1), ("mnopqrs", 2)], "term string, frequency long")
+    assert sorted((r["word"], r["term"], r["distance"]) for r in correct(words, terms).collect()) == [("abcdefgh", "xbcdefgy", 2), ("mnopq", "mnopqrs", 2)]
