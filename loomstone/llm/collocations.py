@@ -8,10 +8,13 @@ ends). A pass from length k to k + 1
 * merge-joins what is left with itself on adjacent places: the phrases at places p and p + 1 overlap in all but their ends, so they
   give the phrase of k + 1 words at p. A phrase is as rare as its rarest part, so no frequent phrase is lost.
 
-Relations are persisted. A row holds the occurrences of one chunk (documents of one language, CHUNK words or a few more) as an array sorted by
-place, and beside it the chunk's distinct phrases with their counts. So a chunk adds one row for each of its phrases to a
+Relations are persisted by chunks (documents of one language, CHUNK words or a few more): the occurrences of a chunk as an array sorted by
+place, and its distinct phrases with their counts. So a chunk adds one row for each of its phrases to a
 group-count, however often they occur; of a phrase's rows none is more than one in the number of phrases of a chunk, whatever its share of all
 words. Frequent phrases come back to their chunks by the chunk's number. A phrase is named by its first dictionary place, so names are exact.
+
+Both arrays are cut into rows of a bounded length that lie in small row groups, and frequent phrases are packed and sorted to their chunks, so
+no task of the JVM holds a chunk's phrases as objects or more than a few rows of arrays, however many phrases are frequent.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from loomstone.llm.common import column_or_null, plain, release, staged
 
 #: Words after which a chunk is closed, at the next end of a piece.
 CHUNK = 1 << 19
+#: Phrases, and occurrences, in a row of a relation, rows that Python returns at once, and MB of a row group of a relation's table.
+PHRASES, OCCURRENCES, ROWS, GROUP_MB = 1 << 13, 1 << 16, 16, 4
+#: Frequent phrases of all chunks that are packed by chunk at a time.
+PACK = 1 << 20
 #: Languages whose chunks a task keeps open, and bytes of a text that are split into words at a time.
 OPEN = 64
 SLICE = 1 << 20
@@ -40,7 +47,8 @@ TOP = 2000
 RANK_PARTS = 256
 
 _TO_PIECES = bytes(10 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_RELATION = "chunk long, lang string, n long, ids array<int>, counts array<int>"
+#: Rows of occurrences have ids, rows of phrases counts and the arrays that name them; at is the place of the row's first one in its chunk.
+_RELATION = "chunk long, at int, ids array<int>, counts array<int>"
 
 
 class _Numbers(dict):
@@ -62,21 +70,32 @@ class _Chunk:
         self.parts.append(found)
         self.size += len(found)
 
-    def row(self, number: int, lang: str) -> pa.RecordBatch:
+    def rows(self, number: int, lang: str) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate(self.parts)
         counts = np.bincount(ids[ids >= 0], minlength=len(self.numbers) - 2).astype(np.int32)
         words = pa.array(list(self.numbers)[2:], pa.binary()).cast(pa.string())
-        return _relation_row(number, lang, int(counts.sum()), ids, counts, words=words)
+        n = int(counts.sum())
+        for batch in _relation_rows(number, ids, counts, words=words):
+            at = batch.column("at").to_numpy()
+            sizes = pa.array([n if i == 0 and v else None for i, v in zip(at, batch.column("ids").is_valid().to_pylist(), strict=True)], pa.int64())
+            yield batch.append_column("lang", pa.array([lang] * len(at), pa.string())).append_column("n", sizes)
 
 
-def _list(values: np.ndarray | pa.Array) -> pa.ListArray:
-    values = values if isinstance(values, pa.Array) else pa.array(values)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _lists(values: np.ndarray | pa.Array, size: int) -> pa.ListArray:
+    """values in lists of `size`."""
+    ends = np.minimum(np.arange(-(-len(values) // size) + 1) * size, len(values))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _relation_row(number: int, lang: str, n: int, ids: np.ndarray, counts: np.ndarray, **keys: np.ndarray | pa.Array) -> pa.RecordBatch:
-    columns = [pa.array([number], pa.int64()), pa.array([lang], pa.string()), pa.array([n], pa.int64()), *map(_list, (ids, counts, *keys.values()))]
-    return pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "n", "ids", "counts", *keys])
+def _relation_rows(number: int, ids: np.ndarray, counts: np.ndarray, **keys: np.ndarray | pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk's occurrences, then those of its phrases."""
+    held = {"ids": _lists(ids, OCCURRENCES), **{name: _lists(values, PHRASES) for name, values in {"counts": counts, **keys}.items()}}
+    for size, own in ((OCCURRENCES, ["ids"]), (PHRASES, ["counts", *keys])):
+        for start in range(0, len(held[own[0]]), ROWS):
+            n = len(held[own[0]][start : start + ROWS])
+            lists = [values[start : start + n] if name in own else pa.nulls(n, values.type) for name, values in held.items()]
+            columns = [pa.array([number] * n, pa.int64()), pa.array((np.arange(n) + start) * size, pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "at", *held])
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -100,7 +119,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number
         for lang in langs:
             chunk = opened.pop(lang)
-            yield chunk.row(number, lang)
+            yield from chunk.rows(number, lang)
             number += chunk.size
 
     for batch in batches:
@@ -115,12 +134,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from closed(list(opened))
 
 
+def _written(df: DataFrame, name: str, group_mb: int | None = None) -> DataFrame:
+    """staged(); the shuffle files behind it, as large as the input, go now and not when the driver happens to collect its garbage."""
+    out = staged(df, name, group_mb=group_mb)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """R1: one row a chunk, with the chunk's words and their counts."""
+    """R1: the chunks' words and their counts, with lang, and in the first row of each chunk n, its number of words."""
     bare, own = plain(docs)
     lang = F.coalesce(column_or_null(bare, own, "lang", "string"), F.lit("und"))
     rows = bare.select(lang.alias("lang"), F.col(own["text"]).cast("string").alias("text"))
-    return staged(rows.mapInArrow(_chunks, f"{_RELATION}, words array<string>"), "setm-words")
+    return staged(rows.mapInArrow(_chunks, f"{_RELATION}, words array<string>, lang string, n long"), "setm-words", group_mb=GROUP_MB)
 
 
 def frequent(relation: DataFrame, keys: list[str], arrays: list[str], least: int) -> DataFrame:
@@ -128,39 +154,83 @@ def frequent(relation: DataFrame, keys: list[str], arrays: list[str], least: int
     entry of each key whose place gives it its name, keys and a (the occurrences)."""
     lang = ["lang"] if "lang" in keys else []
     zipped = F.arrays_zip(*arrays, "counts")
-    each = relation.select("chunk", *lang, F.posexplode(zipped).alias("place", "entry"))
-    each = each.select("chunk", "place", *lang, *[F.col(f"entry.{c}").alias(c) for c in arrays], F.col("entry.counts").alias("n"))
+    each = relation.filter("counts is not null").select("chunk", "at", *lang, F.posexplode(zipped).alias("place", "entry"))
+    each = each.select("chunk", (F.col("at") + F.col("place")).alias("place"), *lang, *[F.col(f"entry.{c}").alias(c) for c in arrays], F.col("entry.counts").alias("n"))
     one = Window.partitionBy(*keys)
     each = each.select("chunk", "place", *keys, F.sum("n").over(one).alias("a"), F.min(F.col("chunk") + F.col("place")).over(one).alias("name"))
     first = F.col("chunk") + F.col("place") == F.col("name")
     found = each.filter(F.col("a") >= least).select("chunk", "place", "name", *[F.when(first, F.col(c)).alias(c) for c in (*keys, "a")])
-    return staged(found, "setm-frequent")
+    return _written(found, "setm-frequent")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, place, name) to rows of many places of one chunk."""
+    held: list[list[np.ndarray]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        chunks, places, names = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(chunks, kind="stable")
+        chunks, places, names = chunks[order], places[order], names[order]
+        starts = np.flatnonzero(np.diff(chunks, prepend=chunks[0] - 1))
+        for i in range(0, len(starts), ROWS):
+            at = [*starts[i : i + ROWS], *starts[i + ROWS : i + ROWS + 1], *[len(chunks)] * (i + ROWS >= len(starts))]
+            ends = pa.array(np.array(at) - at[0], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[at[0] : at[-1]])) for x in (places, names)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks[at[:-1]]), *lists], names=["chunk", "places", "names"])
+
+    size = 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("chunk", "place", "name")])
+        size += batch.num_rows
+        if size >= PACK:
+            yield from out()
+            held, size = [], 0
+    if size:
+        yield from out()
+
+
+def _grown(number: int, ids: np.ndarray, places: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A chunk of R_k semi-joined with its frequent phrases, then merge-joined with itself on adjacent places."""
+    named = np.full(max(int(ids.max(initial=0)), int(places.max(initial=0))) + 1, -1, np.int64)
+    named[places] = names
+    kept = (ids >= 0) & (named[ids] >= 0)
+    met = np.flatnonzero(kept[:-1] & kept[1:])
+    pairs, which, counts = np.unique(ids[met].astype(np.int64) * len(named) + ids[met + 1], return_inverse=True, return_counts=True)
+    if len(pairs):
+        grown = np.full(len(ids), -1, np.int32)
+        grown[met] = which
+        yield from _relation_rows(number, grown, counts.astype(np.int32), first=named[pairs // len(named)], rest=named[pairs % len(named)])
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """R_k semi-joined with the frequent phrases of its chunk, then merge-joined with itself on adjacent places."""
+    """Chunk by chunk from rows sorted by chunk: those with ids by their place, then those with the frequent phrases."""
+    chunk, held = None, {"ids": [], "places": [], "names": []}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held["places"]:
+            yield from _grown(chunk, *map(np.concatenate, held.values()))
+        for parts in held.values():
+            parts.clear()
+
     for batch in batches:
-        for row in range(batch.num_rows):
-            number, lang, n, ids, places, names = (batch.column(i)[row] for i in range(6))
-            ids, places, names = ids.values.to_numpy(), places.values.to_numpy(), names.values.to_numpy()
-            named = np.full(max(int(ids.max(initial=0)), int(places.max(initial=0))) + 1, -1, np.int64)
-            named[places] = names
-            kept = (ids >= 0) & (named[ids] >= 0)
-            met = np.flatnonzero(kept[:-1] & kept[1:])
-            pairs, which, counts = np.unique(ids[met].astype(np.int64) * len(named) + ids[met + 1], return_inverse=True, return_counts=True)
-            if len(pairs):
-                grown = np.full(len(ids), -1, np.int32)
-                grown[met] = which
-                left, right = named[pairs // len(named)], named[pairs % len(named)]
-                yield _relation_row(number.as_py(), lang.as_py(), n.as_py(), grown, counts.astype(np.int32), first=left, rest=right)
+        for row, number in enumerate(batch.column("chunk").to_pylist()):
+            if number != chunk:
+                yield from out()
+                chunk = number
+            for name, parts in held.items():
+                if (value := batch.column(name)[row]).is_valid:
+                    parts.append(value.values.to_numpy().copy())  # or else the batch would stay
+    yield from out()
 
 
 def extended(relation: DataFrame, found: DataFrame) -> DataFrame:
     """R_{k+1} from R_k and its frequent entries."""
-    entries = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("entries"))
-    met = relation.select("chunk", "lang", "n", "ids").join(entries, "chunk")
-    rows = met.select("chunk", "lang", "n", "ids", F.col("entries.place").alias("places"), F.col("entries.name").alias("names"))
-    return staged(rows.mapInArrow(_extend, f"{_RELATION}, first array<long>, rest array<long>"), "setm-phrases")
+    entries = found.select("chunk", "place", "name").mapInArrow(_packed, "chunk long, places array<int>, names array<long>")
+    none = F.lit(None)
+    rows = relation.filter("ids is not null").select("chunk", "at", "ids", none.cast("array<int>").alias("places"), none.cast("array<long>").alias("names"))
+    rows = rows.unionByName(entries.select("chunk", none.cast("int").alias("at"), none.cast("array<int>").alias("ids"), "places", "names"))
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_last("at"))
+    return _written(dealt.mapInArrow(_extend, f"{_RELATION}, first array<long>, rest array<long>"), "setm-phrases", GROUP_MB)
 
 
 def mined(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,48 @@ def test_collocations_over_many_chunks_and_slices(spark, monkeypatch):
     assert found_collocations(spark, rows, 2, top=5, longest=4) == plain_collocations(rows, top=5, longest=4)
 
 
+def test_collocations_meet_no_rows_that_grow_with_a_chunk(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, " ".join(f"w{i}" for i in rng.integers(0, 20_000, 80_000)), "en"), (2, "a b c. " * 3000, "fr")]
+    frame = spark.createDataFrame([(*r, "s", 1, 2, "x") for r in rows], DOCUMENTS).coalesce(1)
+    relation = collocations.occurrences(frame)
+    found = collocations.frequent(relation, ["lang", "words"], ["words"], 2)
+    for table, names in ((relation, "words"), (collocations.extended(relation, found), "first")):
+        size, most, kinds, rows_of = table.selectExpr(f"max(size({names}))", "max(size(ids))", f"sum(size({names}))", "count(*)").first()
+        assert size <= collocations.PHRASES and most <= collocations.OCCURRENCES
+        assert kinds > 2 * collocations.PHRASES and rows_of > 4  # so it was cut
+    assert found_collocations(spark, rows, 1, least=2, top=500) == plain_collocations(rows, least=2, top=500)
+
+
+def test_a_chunk_grows_alike_however_its_rows_are_cut(monkeypatch):
+    rng = np.random.default_rng(3)
+    chunks = {number: (np.where(rng.random(400) < 0.1, -1, rng.integers(0, 30, 400)).astype(np.int32), rng.permutation(30)[:20].astype(np.int32)) for number in (5, 9, 1 << 40)}
+    chunks[11] = (np.array([0, 1, 0, 1], np.int32), np.array([], np.int32))
+
+    def grown(cut):
+        for name, value in (("PHRASES", cut), ("OCCURRENCES", 2 * cut), ("ROWS", 3), ("PACK", 25)):
+            monkeypatch.setattr(collocations, name, value)
+        entries = [(n, int(p), n + int(p)) for n, (_, places) in chunks.items() for p in places]
+        entries = [entries[i] for i in rng.permutation(len(entries))]
+        flat = [pa.RecordBatch.from_pylist([dict(zip(("chunk", "place", "name"), e, strict=True)) for e in entries[i : i + 10]]) for i in range(0, len(entries), 10)]
+        rows = [r for b in collocations._packed(iter(flat)) for r in b.to_pylist()]
+        assert sorted((r["chunk"], p, n) for r in rows for p, n in zip(r["places"], r["names"], strict=True)) == sorted(entries)
+        for n, (ids, _) in chunks.items():
+            rows += [{"chunk": n, "at": i, "ids": ids[i : i + cut].tolist()} for i in range(0, len(ids), cut)]
+        rows.sort(key=lambda r: (r["chunk"], "at" not in r, r.get("at", 0)))
+        kind = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("ids", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("names", pa.list_(pa.int64()))])
+        out = [r for b in collocations._extend(iter([pa.RecordBatch.from_pylist(rows[i : i + 4], kind) for i in range(0, len(rows), 4)])) for r in b.to_pylist()]
+        assert all(len(r["counts"] or []) <= cut and len(r["ids"] or []) <= 2 * cut for r in out)
+        return {n: {c: [x for r in out if r["chunk"] == n for x in r[c] or []] for c in ("ids", "counts", "first", "rest")} for n in chunks}
+
+    whole = grown(1000)
+    assert grown(7) == whole and all(whole[n]["counts"] for n in (5, 9, 1 << 40)) and not whole[11]["ids"]
+    for n, (ids, places) in chunks.items():
+        here = set(places.tolist())
+        want = Counter((n + a, n + b) for a, b in zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True) if a in here and b in here)
+        assert dict(zip(zip(whole[n]["first"], whole[n]["rest"], strict=True), whole[n]["counts"], strict=True)) == want
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCUMENTS)).collect() == []
 
