@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import loomstone.queries  # noqa: F401  registers the queries
+from loomstone import registry
 from loomstone.operators import cooccurrence
 
 
@@ -56,3 +58,20 @@ def test_nothing_asked_or_there(spark, terms):
     assert cooccurrence.pairs(terms, F.col("id") == 7).count() == 0
     empty = spark.createDataFrame([], "id long, term long")
     assert cooccurrence.heaviest(empty, F.col("id") % 50 == 0, 5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["gr_cooccur_network"])
+def test_every_thread_is_asked(spark, tmp_path, name):
+    rng = random.Random(8)
+    turns = [(1 + i % 40, i // 40, "user", " ".join(f"w{rng.randrange(25)}" for _ in range(6))) for i in range(80)]
+    turns += [(7, 0, "user", "w1 w2"), (7, 0, "user", "w1 w2"), (None, 1, "user", "w1 w2 w3"), (-50, 1, "user", "w1 w2 W3"), (99, 1, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    held: dict[int, set[str]] = {}
+    for thread, _, _, text in turns:
+        if thread is not None and text:
+            held.setdefault(thread, set()).update(text.lower().split())
+    plain = [(a, b, len(held[a] & held[b])) for a in held for b in held if a != b and held[a] & held[b]]
+    ranked = [(a, b, r) for a in held for r, (_, _, b) in enumerate(sorted((-w, src, dst) for src, dst, w in plain if src == a), 1) if r <= 100]
+    want = {"join_cooccur": plain, "win_cooccur_top100": ranked, "gr_cooccur_network": sorted((p for p in plain if p[2] >= 2), key=lambda p: (-p[2], p[0], p[1]))[:200]}[name]
+    got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 150 and any(p[0] % 50 for p in want)
