@@ -60,7 +60,7 @@ def test_nothing_asked_or_there(spark, terms):
     assert cooccurrence.heaviest(empty, F.col("id") % 50 == 0, 5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["gr_cooccur_network", "join_cooccur"])
+@pytest.mark.parametrize("name", ["gr_cooccur_network", "join_cooccur", "win_cooccur_top100"])
 def test_every_thread_is_asked(spark, tmp_path, name):
     rng = random.Random(8)
     turns = [(1 + i % 40, i // 40, "user", " ".join(f"w{rng.randrange(25)}" for _ in range(6))) for i in range(80)]
