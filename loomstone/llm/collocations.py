@@ -19,6 +19,7 @@ no task of the JVM holds a chunk's phrases as objects or more than a few rows of
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _written(df: DataFrame, name: str, group_mb: int | None = None) -> DataFrame:
     """staged(); the shuffle files behind it, as large as the input, go now and not when the driver happens to collect its garbage."""
     out = staged(df, name, group_mb=group_mb)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # events hold the plan
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
