@@ -247,7 +247,7 @@ def mined(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[Da
     one = F.array("a")
     word = F.col("words")
     first = found.filter("a is not null").select("name", "lang", word.alias("phrase"), word.alias("last"), "a", one.alias("heads"), one.alias("tails"))
-    levels = [staged(first, "setm-level")]
+    levels = [_written(first, "setm-level")]  # by now the last step's jobs are let go, too
     for _ in range(longest - 1):
         before, relation = relation, extended(relation, found)
         release(before)
@@ -258,7 +258,7 @@ def mined(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[Da
         right = shorter.select(F.col("name").alias("rest"), "last", "tails")
         joined = found.filter("a is not null").select("name", "a", "first", "rest").join(left, "first").join(right, "rest")
         levels.append(
-            staged(
+            _written(
                 joined.select(
                     "name", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a",
                     F.concat("heads", F.array("a")).alias("heads"), F.concat("tails", F.array("a")).alias("tails"), "first", "rest",
